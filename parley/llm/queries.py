@@ -15,5 +15,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.toxicity import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.sharding import shard_documents
+
+    return shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.language_id import predict_languages
+
+    return predict_languages(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
+    "op6_sharding": op6_sharding,
+    "op8_language_id": op8_language_id,
+}
 ORACLES: dict[str, str] = {}
