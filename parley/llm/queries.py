@@ -15,6 +15,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.licenses import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.toxicity import score_documents
 
@@ -33,10 +39,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.decontamination import find_contamination
+
+    return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLES: dict[str, str] = {}
