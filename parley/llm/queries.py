@@ -45,6 +45,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.url_filters import judge_urls
+
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op3_toxicity": op3_toxicity,
@@ -52,5 +58,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_url_filters": op10_url_filters,
 }
 ORACLES: dict[str, str] = {}
