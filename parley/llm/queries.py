@@ -33,6 +33,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.language_id import predict_languages
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
