@@ -27,6 +27,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.embeddings import link_embeddings
+
+    return link_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.sharding import shard_documents
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
