@@ -21,6 +21,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("places")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.line_dedup import find_duplicate_lines
+
+    return find_duplicate_lines(_read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.toxicity import score_documents
 
@@ -65,6 +71,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_embeddings": op5_embeddings,
