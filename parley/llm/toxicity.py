@@ -19,7 +19,9 @@ from pyspark.sql.types import DoubleType
 from parley.llm._shared import id_remainder, materialize
 
 #: Lengths of the n-grams, bits of their hash, features kept, and rows that the regression is fitted on at most.
-LENGTHS, BITS, FEATURES, FIT_ROWS = (3, 4, 5, 6), 20, 1 << 13, 20_000
+LENGTHS, BITS, FEATURES, FIT_ROWS = (3, 4, 5, 6), 20, 1 << 13, 10_000
+#: Labels up to which they are broadcast to the texts (some 50 MB); beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Standard errors between a feature's shares in the two classes from which it is kept.
 CLEAR = 4.0
 SMOOTHING, RIDGE, STEPS, CUT = 1.0, 1e-4, 400, 0.7
@@ -74,7 +76,7 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray) -> tuple
     """Weights (times the ratios) and bias of a ridge logistic regression; both classes weigh the same."""
     sizes = np.array([len(x) for x in rows])
     at = np.repeat(np.arange(len(rows)), sizes)
-    columns = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    columns = np.concatenate(rows)
     values = ratios[columns]
     norm = max(1.0, float(np.sqrt(np.bincount(at, values * values, len(rows)).mean())))
     values = values / norm
@@ -156,6 +158,7 @@ def score_documents(
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     seen = seen.where(~held_out(F.col("doc_id")))
+    seen = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
     model = train(text.where(~held_out(F.col("doc_id"))).join(seen, "doc_id"))
     scored = text.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(F.col("text"), model).alias("score")
