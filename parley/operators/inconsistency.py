@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as rules
 from parley.operators.escalation import assess
-from parley.operators.metrics import BY_SPEAKER, seconds
+from parley.operators.metrics import by_speaker, seconds
 from parley.operators.signals import dominant_emotion
 
 #: Family, and the score from which its windows are of medium level.
@@ -49,9 +49,9 @@ def _hits(turns: DataFrame, family: int, eligible: Column, hit: Column) -> DataF
 
 def _turnarounds(turns: DataFrame, family: int, state: str, reach_ms: int) -> DataFrame:
     """A speaker's state against the same speaker's state before, if that ended shortly before."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(BY_SPEAKER)
+    gap = F.col("start_ms") - F.lag("end_ms").over(by_speaker())
     rows = turns.withColumns(
-        {"was": F.lag(state).over(BY_SPEAKER), "was_ms": F.lag("start_ms").over(BY_SPEAKER), "since": gap}
+        {"was": F.lag(state).over(by_speaker()), "was_ms": F.lag("start_ms").over(by_speaker()), "since": gap}
     )
     turned = (F.col("was") != F.col(state)) & F.col("since").between(0, reach_ms)
     return rows.where(turned).select(

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ORDER = ("start_ms", "end_ms", "utt_id")
-BY_SESSION = Window.partitionBy("session_id").orderBy(*ORDER)
-BY_SPEAKER = Window.partitionBy("session_id", "speaker").orderBy(*ORDER)
+
+
+def by_session() -> WindowSpec:
+    """A session's utterances in sequence order."""
+    return Window.partitionBy("session_id").orderBy(*ORDER)
+
+
+def by_speaker() -> WindowSpec:
+    """A speaker's utterances in sequence order."""
+    return Window.partitionBy("session_id", "speaker").orderBy(*ORDER)
 
 
 def seconds(ms: Column) -> Column:
@@ -37,11 +45,11 @@ def sequence(utterances: DataFrame) -> DataFrame:
     before = ["utt_id", "speaker", "start_ms", "end_ms"]
     return utterances.repartition("session_id").select(
         "*",
-        F.row_number().over(BY_SESSION).cast("long").alias("seq"),
+        F.row_number().over(by_session()).cast("long").alias("seq"),
         F.coalesce("word_count", word_count(F.col("text"))).alias("words"),
         F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
         F.col("text").contains("?").alias("question"),
-        *[F.lag(c).over(BY_SESSION).alias(f"prev_{c}") for c in before],
+        *[F.lag(c).over(by_session()).alias(f"prev_{c}") for c in before],
     ).withColumns(
         {
             "gap_ms": F.col("start_ms") - F.col("prev_end_ms"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.metrics import BY_SESSION
+from parley.operators.metrics import by_session
 
 
 def dominant_emotion(emotion: Column) -> Column:
@@ -68,7 +68,7 @@ def emotion_aggregate(utterances: DataFrame, keys: list[str]) -> DataFrame:
 def trend_points(seq: DataFrame) -> DataFrame:
     """Scored utterances in order, with the score before."""
     points = seq.where("sent_label is not null and score_e4 is not null")
-    return points.withColumn("prev_score_e4", F.lag("score_e4").over(BY_SESSION))
+    return points.withColumn("prev_score_e4", F.lag("score_e4").over(by_session()))
 
 
 def sentiment_trend(points: DataFrame) -> DataFrame:

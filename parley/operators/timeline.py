@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.metrics import BY_SESSION, BY_SPEAKER, seconds
+from parley.operators.metrics import by_session, by_speaker, seconds
 from parley.thresholds import Thresholds
 
 COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec"]
 
 
 def _numbered(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.withColumn("marker_id", F.concat(F.lit(f"{kind}_"), F.row_number().over(BY_SESSION)))
+    return rows.withColumn("marker_id", F.concat(F.lit(f"{kind}_"), F.row_number().over(by_session())))
 
 
 def _marker(rows: DataFrame, kind: str, time: Column, severity: Column, start: Column, end: Column, evidence: Column) -> DataFrame:
@@ -77,9 +77,9 @@ def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
     """A speaker's score moves far from that of the same speaker's utterance just before."""
     rows = seq.withColumns(
         {
-            "own_score": F.lag("score_e4").over(BY_SPEAKER),
-            "own_label": F.lag("sent_label").over(BY_SPEAKER),
-            "own_start": F.lag("start_ms").over(BY_SPEAKER),
+            "own_score": F.lag("score_e4").over(by_speaker()),
+            "own_label": F.lag("sent_label").over(by_speaker()),
+            "own_start": F.lag("start_ms").over(by_speaker()),
         }
     )
     step = F.col("score_e4") - F.col("own_score")

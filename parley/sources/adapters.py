@@ -22,8 +22,8 @@ TEMPLATES = [
     "Let's schedule a follow-up call next Tuesday for 30 minutes.",
     "Can you email me the invoice details?",
     "I want to speak to a manager, this is unacceptable!",
-    "One bitcoin is worth {v} dollars.",
-    "The temperature in Paris is {v} degrees.",
+    "Bitcoin is at {v} dollars.",
+    "The temperature in Paris is {v} C today.",
     "Gold costs {v} dollars per ounce today.",
     "Um, maybe, I guess it was fine, er, I think so.",
     "See https://example.com/help?id={v} for details, case 42.",
@@ -33,7 +33,7 @@ TEMPLATES = [
     "It is not a problem, no issue at all.",
     "Bye, have a nice day.",
     "The capital of France is Paris.",
-    "1 USD equals {v} EUR right now.",
+    "USD to EUR is {v} right now.",
     "We need to fix this urgently, John will handle the upload tomorrow.",
     "I feel sad and upset about the awful delay.",
 ]
