@@ -150,7 +150,7 @@ QUERIES |= {
     ),
     "audio_quality": lambda spark, folder: quality.audio_quality(signals_table(spark, folder), 1600, 16),
     "claims": _of_turns(detected_claims),
-    "claim_verdicts": lambda spark, folder: claim_results(spark, folder).drop("start", "end"),
+    "claim_verdicts": lambda spark, folder: claim_results(spark, folder).drop("start", "end", "claim_text"),
     "claim_stats": lambda spark, folder: claims.claim_stats(claim_results(spark, folder), ["session_id"]),
     "task_recommendations": _detector(recommend.task_recommendations),
     "meeting_recommendations": _detector(recommend.meeting_recommendations),
