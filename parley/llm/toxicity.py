@@ -76,7 +76,7 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray) -> tuple
     """Weights (times the ratios) and bias of a ridge logistic regression; both classes weigh the same."""
     sizes = np.array([len(x) for x in rows])
     at = np.repeat(np.arange(len(rows)), sizes)
-    columns = np.concatenate(rows)
+    columns = np.concatenate(rows).astype(np.int64)
     values = ratios[columns]
     norm = max(1.0, float(np.sqrt(np.bincount(at, values * values, len(rows)).mean())))
     values = values / norm
