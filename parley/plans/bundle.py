@@ -15,7 +15,7 @@ SPEAKER = ["session_id", "speaker"]
 
 @dataclass
 class Bundle:
-    """Tables by session; all are lazy and share the placed utterances."""
+    """Tables by session; all are lazy and share the placed utterances. ``turns.unpersist()`` when done."""
 
     turns: DataFrame
     sessions: DataFrame
@@ -49,7 +49,8 @@ class Bundle:
 
 
 def build_bundle(utterances: DataFrame, thresholds: Thresholds | None = None) -> Bundle:
-    turns = inconsistency.read_turns(metrics.sequence(utterances))
+    # every table below reads the placed utterances: keep them, with their partitioning, instead of placing them again
+    turns = inconsistency.read_turns(metrics.sequence(utterances)).persist()
     sessions, speakers = metrics.session_metrics(turns), metrics.speaker_metrics(turns)
     sentiment, emotion = signals.sentiment_aggregate(turns, ["session_id"]), signals.emotion_aggregate(turns, ["session_id"])
     speaker_sentiment, speaker_emotion = signals.sentiment_aggregate(turns, SPEAKER), signals.emotion_aggregate(turns, SPEAKER)

@@ -113,8 +113,8 @@ def _list(values: list) -> str:
 
 #: The same rows in SQL; the emotion map is given as its two names and whole hundredths.
 UTTERANCES_SQL = f"""
-u0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) k, epoch_ms(ts) ms,
-         min(epoch_ms(ts)) OVER (PARTITION BY user_id) first_ms,
+u0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) k, epoch_us(ts) // 1000 ms,
+         min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) first_ms,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) pos FROM events),
 u AS (SELECT CAST(user_id AS VARCHAR) session_id, 'u' || event_id utt_id, pos,
         CASE WHEN event_type IN ('click', 'view') THEN 'agent' WHEN event_type IN ('purchase', 'error') THEN 'customer'
