@@ -129,3 +129,29 @@ u AS (SELECT CAST(user_id AS VARCHAR) session_id, 'u' || event_id utt_id, pos,
         CASE WHEN k % 9 <> 0 THEN {_list([e[2] for e in EMOTIONS])}[k % 8 + 1] END e2,
         CASE WHEN k % 9 <> 0 THEN {_list([e[3] for e in EMOTIONS])}[k % 8 + 1] END v2,
         event_id % 13 = 0 overlap, (event_id % 97) / 96.0 confidence FROM u0)"""
+
+
+def diarized_from_utterances(utterances: DataFrame) -> DataFrame:
+    """The same times and speakers as diarized turns."""
+    return utterances.select(
+        "session_id", "pos", "speaker", "start_ms", "end_ms", "confidence", F.lit(None).cast("double").alias("diarization_confidence")
+    )
+
+
+def asr_from_utterances(utterances: DataFrame) -> DataFrame:
+    """Recognised segments: the texts of three utterances in a row, with made-up probabilities."""
+    number = F.floor((F.col("pos") - 1) / 3)
+    event = F.substring("utt_id", 2, 20).cast("long")
+    rows = utterances.select("session_id", number.alias("segment"), "pos", "start_ms", "end_ms", "text", event.alias("event_id"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return rows.groupBy("session_id", "segment").agg(
+        F.min("start_ms").alias("start_ms"),
+        F.max("end_ms").alias("end_ms"),
+        F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
+        (-(F.min("event_id") % 100) / 100.0).alias("avg_logprob"),
+        ((F.min("event_id") % 20) / 100.0).alias("no_speech_prob"),
+    ).withColumnRenamed("segment", "pos")
+
+
+ASR_SQL = """asr AS (SELECT session_id, (pos - 1) // 3 pos, min(start_ms) start_ms, max(end_ms) end_ms, string_agg(text, ' ' ORDER BY pos) text,
+    -(min(CAST(utt_id[2:] AS BIGINT)) % 100) / 100.0 avg_logprob, (min(CAST(utt_id[2:] AS BIGINT)) % 20) / 100.0 no_speech_prob FROM u GROUP BY session_id, (pos - 1) // 3)"""
