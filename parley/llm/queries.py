@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -81,4 +85,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {}
