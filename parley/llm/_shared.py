@@ -15,6 +15,10 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+#: Folders made for applications without the setting.
+_own_folders: dict[str, str] = {}
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -29,8 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, or (in tests) a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        own = spark.sparkContext.applicationId
+        if own not in _own_folders:
+            _own_folders[own] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        folder = _own_folders[own]
     return folder.rstrip("/")
 
 
