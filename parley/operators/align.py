@@ -26,7 +26,7 @@ def slice_words(asr: DataFrame) -> DataFrame:
     rows = asr.where("trim(text) != ''").withColumns(
         {"n": F.size(words), "length": F.greatest((F.col("end_ms") - F.col("start_ms")).cast("double"), F.lit(0.001))}
     )
-    rows = rows.select("session_id", "pos", "start_ms", "end_ms", "n", "length", F.posexplode(words).alias("at", "word"))
+    rows = rows.select("session_id", "pos", "start_ms", "end_ms", "n", "length", F.posexplode(words).alias("at", "word")).withColumn("at", F.col("at").cast("long"))
     part = F.col("length") / F.col("n")
     return rows.select(
         "session_id",

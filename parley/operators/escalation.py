@@ -105,7 +105,7 @@ def assess(signals: DataFrame, speakers: DataFrame, kind: str, nothing: str, *st
         "session_id",
         level.alias("level"),
         score.alias("score"),
-        F.coalesce(F.size("fired"), F.lit(0)).alias("signal_count"),
+        F.coalesce(F.size("fired"), F.lit(0)).cast("long").alias("signal_count"),
         primary.alias("primary_speaker"),
         F.when(level == "none", nothing).otherwise(text).alias("summary"),
     )

@@ -118,7 +118,7 @@ def inconsistency_windows(hits: DataFrame, signals: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("family", "at"))
     return rows.select(
         "session_id",
-        number.alias("number"),
+        number.cast("long").alias("number"),
         "signal_type",
         "level",
         "speaker",

@@ -159,7 +159,7 @@ def top_keywords(turns: DataFrame, k: int = 5, similarity: DataFrame | None = No
         rows = rows.join(similarity, ["utt_id", "term"], "left")
         rows = rows.withColumn("weight", F.col("weight") + F.coalesce("similarity", F.lit(0.0))).drop("similarity")
     order = Window.partitionBy("session_id", "utt_id").orderBy(F.desc("weight"), "term")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
 def break_long_words(text: Column, at: int = 40) -> Column:

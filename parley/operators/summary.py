@@ -63,13 +63,13 @@ def notable_concerns(flags: DataFrame, most: int = 6) -> DataFrame:
     rows = flags.select("session_id", text.alias("concern"), _rank(F.col("severity")).alias("r"), "place")
     first = rows.groupBy("session_id", "concern").agg(F.min(F.struct(-F.col("r"), F.col("place"))).alias("at"))
     order = Window.partitionBy("session_id").orderBy("at")
-    return first.withColumn("number", F.row_number().over(order)).where(F.col("number") <= most).select("session_id", "number", "concern")
+    return first.withColumn("number", F.row_number().over(order).cast("long")).where(F.col("number") <= most).select("session_id", "number", "concern")
 
 
 def key_moments(timeline: DataFrame, most: int = 5) -> DataFrame:
     """The most severe markers, the latest first among equals."""
     order = Window.partitionBy("session_id").orderBy(F.desc(_rank(F.col("severity"))), F.desc("time_sec"), "place")
-    rows = timeline.withColumn("number", F.row_number().over(order)).where(F.col("number") <= most)
+    rows = timeline.withColumn("number", F.row_number().over(order).cast("long")).where(F.col("number") <= most)
     kind = F.replace("type", F.lit("_"), F.lit(" "))
     text = _say("At ", fixed(F.col("time_sec")), "s, ", F.coalesce(F.concat("speaker", F.lit(" ")), F.lit("")), "showed a ", kind, " signal (", F.col("severity"), ").")
     return rows.select("session_id", "number", "marker_id", text.alias("moment"))

@@ -45,7 +45,7 @@ class Bundle:
         more = inconsistency.inconsistency_markers(self.inconsistency_windows, self.inconsistency)
         rows = self.markers.drop("place").unionByName(more)
         order = Window.partitionBy("session_id").orderBy("time_sec", "marker_id")
-        return rows.withColumn("place", F.row_number().over(order))
+        return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def build_bundle(utterances: DataFrame, thresholds: Thresholds | None = None) -> Bundle:
