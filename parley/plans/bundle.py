@@ -2,46 +2,113 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators import escalation, inconsistency, metrics, scores, signals, timeline
 from parley.thresholds import Thresholds
 
-SPEAKER = ["session_id", "speaker"]
+SESSION, SPEAKER = ["session_id"], ["session_id", "speaker"]
 
 
-@dataclass
 class Bundle:
-    """Tables by session; all are lazy and share the placed utterances. ``turns.unpersist()`` when done."""
-
-    turns: DataFrame
-    sessions: DataFrame
-    speakers: DataFrame
-    session_sentiment: DataFrame
-    speaker_sentiment: DataFrame
-    session_emotion: DataFrame
-    speaker_emotion: DataFrame
-    points: DataFrame
-    trend: DataFrame
-    volatility: DataFrame
-    markers: DataFrame
-    escalation_signals: DataFrame
-    escalation: DataFrame
-    inconsistency_signals: DataFrame
-    inconsistency_windows: DataFrame
-    inconsistency: DataFrame
-    scores: DataFrame
-    speaker_flags: DataFrame
-    session_flags: DataFrame
-
-    @property
+    """Tables by session, each planned when it is first asked for.
+
+    All read the placed utterances, which are kept with their partitioning instead of being placed again;
+    ``turns.unpersist()`` lets them go.
+    """
+
+    def __init__(self, utterances: DataFrame, thresholds: Thresholds | None = None):
+        self.utterances, self.thresholds = utterances, thresholds or Thresholds()
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return inconsistency.read_turns(metrics.sequence(self.utterances)).persist()
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return metrics.session_metrics(self.turns)
+
+    @cached_property
+    def speakers(self) -> DataFrame:
+        return metrics.speaker_metrics(self.turns)
+
+    @cached_property
+    def session_sentiment(self) -> DataFrame:
+        return signals.sentiment_aggregate(self.turns, SESSION)
+
+    @cached_property
+    def speaker_sentiment(self) -> DataFrame:
+        return signals.sentiment_aggregate(self.turns, SPEAKER)
+
+    @cached_property
+    def session_emotion(self) -> DataFrame:
+        return signals.emotion_aggregate(self.turns, SESSION)
+
+    @cached_property
+    def speaker_emotion(self) -> DataFrame:
+        return signals.emotion_aggregate(self.turns, SPEAKER)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return signals.trend_points(self.turns)
+
+    @cached_property
+    def trend(self) -> DataFrame:
+        return signals.sentiment_trend(self.points)
+
+    @cached_property
+    def volatility(self) -> DataFrame:
+        return signals.emotion_volatility(self.turns, self.points)
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        """The timeline that escalation sees."""
+        return timeline.build_timeline(self.turns, self.speakers, self.points, self.trend, self.thresholds)
+
+    @cached_property
+    def escalation_signals(self) -> DataFrame:
+        return escalation.escalation_signals(self.trend, self.session_sentiment, self.speaker_emotion, self.speakers, self.markers)
+
+    @cached_property
+    def escalation(self) -> DataFrame:
+        return escalation.assess_escalation(self.escalation_signals, self.speakers)
+
+    @cached_property
+    def inconsistent_turns(self) -> DataFrame:
+        return inconsistency.inconsistent_turns(self.turns)
+
+    @cached_property
+    def inconsistency_signals(self) -> DataFrame:
+        return inconsistency.inconsistency_signals(self.inconsistent_turns)
+
+    @cached_property
+    def inconsistency_windows(self) -> DataFrame:
+        return inconsistency.inconsistency_windows(self.inconsistent_turns, self.inconsistency_signals)
+
+    @cached_property
+    def inconsistency(self) -> DataFrame:
+        return inconsistency.assess_inconsistency(self.inconsistency_signals, self.speakers)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return scores.compute_scores(self.sessions, self.speakers, self.trend, self.volatility)
+
+    @cached_property
+    def speaker_flags(self) -> DataFrame:
+        return scores.speaker_flags(self.speakers, self.speaker_emotion, self.thresholds)
+
+    @cached_property
+    def session_flags(self) -> DataFrame:
+        return scores.session_flags(
+            self.speakers, self.session_sentiment, self.trend, self.escalation, self.inconsistency, self.thresholds
+        )
+
+    @cached_property
     def timeline(self) -> DataFrame:
         """Markers with those of inconsistency, which escalation does not see."""
-        from pyspark.sql import Window
-
         more = inconsistency.inconsistency_markers(self.inconsistency_windows, self.inconsistency)
         rows = self.markers.drop("place").unionByName(more)
         order = Window.partitionBy("session_id").orderBy("time_sec", "marker_id")
@@ -49,38 +116,4 @@ class Bundle:
 
 
 def build_bundle(utterances: DataFrame, thresholds: Thresholds | None = None) -> Bundle:
-    # every table below reads the placed utterances: keep them, with their partitioning, instead of placing them again
-    turns = inconsistency.read_turns(metrics.sequence(utterances)).persist()
-    sessions, speakers = metrics.session_metrics(turns), metrics.speaker_metrics(turns)
-    sentiment, emotion = signals.sentiment_aggregate(turns, ["session_id"]), signals.emotion_aggregate(turns, ["session_id"])
-    speaker_sentiment, speaker_emotion = signals.sentiment_aggregate(turns, SPEAKER), signals.emotion_aggregate(turns, SPEAKER)
-    points = signals.trend_points(turns)
-    trend = signals.sentiment_trend(points)
-    volatility = signals.emotion_volatility(turns, points)
-    markers = timeline.build_timeline(turns, speakers, points, trend, thresholds)
-    fired = escalation.escalation_signals(trend, sentiment, speaker_emotion, speakers, markers)
-    escalated = escalation.assess_escalation(fired, speakers)
-    hits = inconsistency.inconsistent_turns(turns)
-    families = inconsistency.inconsistency_signals(hits)
-    inconsistent = inconsistency.assess_inconsistency(families, speakers)
-    return Bundle(
-        turns,
-        sessions,
-        speakers,
-        sentiment,
-        speaker_sentiment,
-        emotion,
-        speaker_emotion,
-        points,
-        trend,
-        volatility,
-        markers,
-        fired,
-        escalated,
-        families,
-        inconsistency.inconsistency_windows(hits, families),
-        inconsistent,
-        scores.compute_scores(sessions, speakers, trend, volatility),
-        scores.speaker_flags(speakers, speaker_emotion, thresholds),
-        scores.session_flags(speakers, sentiment, trend, escalated, inconsistent, thresholds),
-    )
+    return Bundle(utterances, thresholds)
