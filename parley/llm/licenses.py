@@ -39,12 +39,13 @@ class Template:
 
 #: The phrases whose places are reported, with their labels.
 BASE = (
-    Template("mit", "mit license", "mit license"),
+    Template("mit", "under the mit license", "under the mit license"),
     Template("apache-2", "apache license version 2", "apache license version 2"),
     Template("cc-by-nc", "cc by nc", "cc by nc"),
 )
 #: Further licence notices, found if their key phrase stands and enough of the rest does.
 MORE = (
+    Template("mit", "the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
     Template("mit", "spdx license identifier mit", "license identifier mit"),
     Template("apache-2", "spdx license identifier apache 2 0", "license identifier apache 2"),

@@ -3,18 +3,20 @@ from parley.llm.licenses import scan_licenses
 
 def test_phrases_places_and_labels(spark):
     texts = {
-        1: "Under the MIT-License; mit license again. The MIT licensed one",
+        1: "Under the MIT-License; mit license again. The MIT licensed one, under the mit license",
         2: "Apache License, Version 2.0 and CC BY-NC",
         3: "licensed under the GNU General Public License, version 3",
         4: "the mit and a license",
         5: "GNU General Public License",
+        6: "MIT License",
     }
     found = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert (found[1].n_base, found[1].first_word, found[1].last_word, found[1].base_labels) == (2, 2, 4, "mit")
+    assert (found[1].n_base, found[1].first_word, found[1].last_word, found[1].base_labels) == (2, 0, 11, "mit")
     assert (found[2].n_base, found[2].base_labels, found[2].labels) == (2, "apache-2,cc-by-nc", "apache-2,cc-by-nc")
     assert (found[3].n_base, found[3].base_labels, found[3].labels, found[3].first_word) == (0, "", "gpl-3", None)
     assert (found[4].labels, found[4].score) == ("", 0.0)
     assert found[5].labels == ""
+    assert (found[6].n_base, found[6].base_labels, found[6].labels) == (0, "", "mit")
     assert found[2].n_words == 9
 
 
