@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.numbers import round_binary
 from parley.thresholds import Thresholds
 
 
@@ -62,7 +63,7 @@ def score_breakdown(scores: DataFrame) -> DataFrame:
     items = F.array(
         *[
             F.struct(
-                F.lit(score).alias("score"), F.lit(part).alias("component"), F.lit(weight).alias("weight"), F.round(value, 3).alias("value")
+                F.lit(score).alias("score"), F.lit(part).alias("component"), F.lit(weight).alias("weight"), round_binary(F.col(value), 3).alias("value")
             )
             for score, part, weight, value in parts
         ]

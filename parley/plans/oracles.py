@@ -262,7 +262,7 @@ ORACLES: dict[str, str] = {
     "inconsistency": sql("SELECT * FROM inc", "inc"),
     "scores": sql("SELECT * FROM sc", "sc"),
     "score_breakdown": sql(
-        "SELECT session_id, i.score, i.component, i.weight, round(i.value, 3) value FROM (SELECT session_id, unnest(["
+        "SELECT session_id, i.score, i.component, i.weight, printf('%.3f', i.value)::DOUBLE value FROM (SELECT session_id, unnest(["
         + ", ".join(
             f"{{'score': '{s}', 'component': '{c}', 'weight': {w}::DOUBLE, 'value': {v}}}"
             for s, c, w, v in (

@@ -3,6 +3,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from parley.functions import numbers
 from parley.functions import text as rules
 from parley.operators import align, claims, metrics, quality, recommend, timeline
 from parley.plans.bundle import build_bundle
@@ -37,6 +38,14 @@ def test_metrics_of_a_short_call(spark):
     assert [r.duration_sec for r in metrics.pauses(seq).orderBy("duration_sec").collect()] == [0.5, 1.0]
 
 
+def test_rounding_by_the_binary_value(spark):
+    values = [n / 10000 for n in range(-10000, 10001, 5)] + [random.Random(1).random() for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for digits in (3, 4):
+        found = rows.select("v", numbers.round_binary(F.col("v"), digits).alias("r")).collect()
+        assert all(r.r == (None if r.v is None else round(r.v, digits)) for r in found)
+
+
 def test_silent_and_touching_turns(spark):
     seq = metrics.sequence(session(spark, ("a", 1, 1, ""), ("b", 1, 1, "")))
     assert {(r.speaking_ratio, r.word_ratio) for r in metrics.speaker_metrics(seq).collect()} == {(0.0, 0.0)}
