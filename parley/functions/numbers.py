@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Splits a double between 0 and 1 into two parts whose products with a small power of ten are exact.
+#: Splits a double into two parts whose products with a small power of ten are exact.
 SPLIT = float(1 << 26)
 
 
 def round_binary(value: Column, digits: int) -> Column:
-    """``value`` (of size 1 at most) rounded by its exact binary value, half to even.
+    """``value`` (of size 32,768 at most) rounded to ``digits`` (up to 4) by its exact binary value, half to even.
 
     Spark's ``round`` works on the shortest decimal text, where 0.5055 is a tie; its binary value lies below one.
     """

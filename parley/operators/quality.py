@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from parley.functions.numbers import round_binary
 from parley.operators.metrics import ratio, word_count
 
 SILENCE_DB, NEAR_SILENCE_DB, SPEECH_DB = -60.0, -45.0, -35.0
@@ -88,17 +89,18 @@ def transcript_proxy(segments: DataFrame) -> DataFrame:
         F.round(F.col("last") / 1000, 3).alias("duration_sec"),
         word_count(F.col("text")).alias("total_words"),
         "num_segments",
-        F.round(word_count(F.col("text")) / seconds, 3).alias("words_per_sec"),
-        F.round(F.col("spoken") / F.col("num_segments") / 1000, 3).alias("avg_segment_sec"),
-        F.round(repeated, 3).alias("repetition_ratio"),
+        round_binary(word_count(F.col("text")) / seconds, 3).alias("words_per_sec"),
+        round_binary(F.col("spoken") / F.col("num_segments") / 1000, 3).alias("avg_segment_sec"),
+        round_binary(repeated, 3).alias("repetition_ratio"),
     )
 
 
 def diarization_proxy(diarized: DataFrame) -> DataFrame:
+    """Speakers, segments and their mean length."""
     return diarized.groupBy("session_id").agg(
         F.count_distinct("speaker").alias("num_speakers"),
         F.count("*").alias("num_segments"),
-        F.round(F.avg(F.col("end_ms") - F.col("start_ms")) / 1000, 3).alias("avg_segment_sec"),
+        round_binary(F.avg(F.col("end_ms") - F.col("start_ms")) / 1000, 3).alias("avg_segment_sec"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.numbers import round_binary
 from parley.operators.metrics import by_session, by_speaker, seconds
 from parley.thresholds import Thresholds
 
@@ -38,7 +39,7 @@ def dominance_markers(speakers: DataFrame, t: Thresholds) -> DataFrame:
     rows = speakers.where((speaking >= t.dominance_speaking_ratio) | (words >= t.dominance_word_ratio))
     rows = rows.withColumn("marker_id", F.concat(F.lit("dominance_"), "speaker"))
     first, last = F.col("first_spoke_at_sec"), F.col("last_spoke_at_sec")
-    evidence = F.struct(F.round(speaking, 3).alias("speaking_ratio"), F.round(words, 3).alias("word_ratio"))
+    evidence = F.struct(round_binary(speaking, 3).alias("speaking_ratio"), round_binary(words, 3).alias("word_ratio"))
     return _marker(rows, "dominance_window", first, _high_if((speaking >= 0.75) | (words >= 0.75)), first, last, evidence)
 
 
@@ -85,8 +86,8 @@ def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
     step = F.col("score_e4") - F.col("own_score")
     rows = _numbered(rows.where(F.abs(step) >= t.shift_e4), "emotional_shift")
     evidence = F.struct(
-        F.round(F.col("own_score") / 10000, 3).alias("previous_score"),
-        F.round(F.col("score_e4") / 10000, 3).alias("current_score"),
+        round_binary(F.col("own_score") / 10000, 3).alias("previous_score"),
+        round_binary(F.col("score_e4") / 10000, 3).alias("current_score"),
         F.round(F.abs(step) / 10000, 3).alias("delta"),
         F.when(step > 0, "up").otherwise("down").alias("direction"),
         F.coalesce("own_label", F.lit("")).alias("previous_label"),

@@ -57,6 +57,7 @@ QUERIES: dict[str, Query] = {
         lambda asr, turns: _rounded(align.best_segment(turns.drop("confidence"), asr), "confidence").drop("diarization_confidence")
     ),
     "overlap_windows": _of(lambda asr, turns: align.overlap_windows(turns)),
+    "marked_overlap": _of(lambda asr, turns: align.mark_overlap(turns, align.overlap_windows(turns)).drop("diarization_confidence")),
     "speaker_segments": _of(lambda asr, turns: _rounded(align.align(asr, turns), "confidence", "diarization_confidence")),
     "conversation_turns": _of(lambda asr, turns: align.conversation_turns(align.align(asr, turns))),
     "roles": _of(lambda asr, turns: align.roles(turns)),
@@ -65,6 +66,8 @@ QUERIES: dict[str, Query] = {
     "segment_stats": _of(lambda asr, turns: quality.segment_stats(_aligned(asr, turns))),
     "conversation_stats": _of(lambda asr, turns: quality.conversation_stats(_aligned(asr, turns), turns)),
     "transcript_proxy": _of(lambda asr, turns: quality.transcript_proxy(asr)),
+    "diarization_proxy": _of(lambda asr, turns: quality.diarization_proxy(turns)),
+    "alignment_health": _of(lambda asr, turns: quality.alignment_health(asr, _aligned(asr, turns))),
     "evaluation": _of(lambda asr, turns: quality.evaluation(asr, turns, _aligned(asr, turns), asr.groupBy("session_id").agg(F.max("text").alias("text")))),
     "speaker_summaries": of_bundle(
         lambda b: summary.speaker_summaries(b.speakers, b.speaker_sentiment, b.speaker_emotion, b.speaker_flags)
@@ -102,6 +105,14 @@ ORACLES: dict[str, str] = {
     "AND least(u.end_ms, a.end_ms) > greatest(u.start_ms, a.start_ms) GROUP BY ALL) SELECT session_id, pos, speaker, start_ms, end_ms, "
     "round(coalesce(c, 0.5), 6) confidence FROM u LEFT JOIN b USING (session_id, pos)",
     "overlap_windows": f"WITH {UTTERANCES_SQL}, {_OVERLAP} SELECT * FROM ow",
+    "marked_overlap": f"WITH {UTTERANCES_SQL}, {_OVERLAP}, h AS (SELECT *, EXISTS (SELECT 1 FROM ow WHERE ow.session_id = u.session_id AND "
+    "least(ow.end_ms, u.end_ms) > greatest(ow.start_ms, u.start_ms)) hit FROM u) SELECT session_id, pos, CASE WHEN hit THEN 'SPEAKER_UNKNOWN' ELSE speaker END speaker, "
+    "start_ms, end_ms, CASE WHEN hit THEN least(coalesce(confidence, 1.0), 0.55) ELSE confidence END confidence, hit overlap FROM h",
+    "diarization_proxy": f"WITH {UTTERANCES_SQL} SELECT session_id, count(DISTINCT speaker) num_speakers, count(*) num_segments, "
+    "printf('%.3f', avg(end_ms - start_ms) / 1000)::DOUBLE avg_segment_sec FROM u GROUP BY 1",
+    "alignment_health": f"WITH {_ALIGNED}, n AS (SELECT session_id, count(*) s FROM al GROUP BY 1) SELECT session_id, a asr_segments, coalesce(s, 0) speaker_segments, "
+    "round(coalesce(s, 0) / a, 3) coverage, greatest(a - coalesce(s, 0), 0) unassigned_asr_segments_est "
+    "FROM (SELECT session_id, count(*) a FROM asr GROUP BY 1) LEFT JOIN n USING (session_id)",
     "roles": f"WITH {UTTERANCES_SQL}, {_TIMES} SELECT session_id, speaker, CASE place WHEN 1 THEN 'CUSTOMER' WHEN 2 THEN 'AGENT' ELSE speaker END role FROM tm",
     "capped_speakers": f"WITH {UTTERANCES_SQL}, {_TIMES} SELECT session_id, pos, CASE WHEN place > 2 OR share < 0.05 THEN 'SPEAKER_UNKNOWN' ELSE speaker END speaker, "
     "start_ms, end_ms, CASE WHEN place > 2 OR share < 0.05 THEN least(confidence, 0.6) ELSE confidence END confidence, n > 2 cap_applied FROM u JOIN tm USING (session_id, speaker)",
@@ -115,7 +126,8 @@ ORACLES: dict[str, str] = {
     "FROM al GROUP BY 1) JOIN (SELECT session_id, arg_min(start_ms, pos) f, arg_max(end_ms, pos) l FROM u GROUP BY 1) USING (session_id)",
     "transcript_proxy": f"WITH {UTTERANCES_SQL}, {ASR_SQL}, t AS (SELECT session_id, arg_max(end_ms, pos) l, count(*) n, sum(end_ms - start_ms)::BIGINT sp, "
     "string_split(lower(string_agg(text, ' ' ORDER BY pos)), ' ') k FROM asr GROUP BY 1) SELECT session_id, round(l / 1000, 3) duration_sec, len(k) total_words, n num_segments, "
-    "round(len(k) / greatest(l / 1000, 1e-6), 3) words_per_sec, round(sp / n / 1000, 3) avg_segment_sec, round(1 - len(list_distinct(k)) / len(k), 3) repetition_ratio FROM t",
+    "printf('%.3f', len(k) / greatest(l / 1000, 1e-6)::DOUBLE)::DOUBLE words_per_sec, printf('%.3f', sp / n / 1000)::DOUBLE avg_segment_sec, "
+    "printf('%.3f', 1 - len(list_distinct(k)) / len(k))::DOUBLE repetition_ratio FROM t",
     "notable_concerns": sql(
         f"SELECT session_id, number, concern FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY r DESC, p) number FROM "
         f"(SELECT session_id, coalesce(speaker || ': ', '') || reason concern, max({_RANK}) r, min(CASE WHEN speaker IS NULL THEN 1000000 + list_position("
