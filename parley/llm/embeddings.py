@@ -81,6 +81,9 @@ def tables_for(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     found = np.stack([np.asarray(v, np.float64) for v in vectors])
+    # by a power of two, which is exact, so that squares of huge and tiny components stay in range
+    _, exponent = np.frexp(np.abs(found).max(axis=1, keepdims=True))
+    found = np.ldexp(found, -exponent)
     return found / np.sqrt((found * found).sum(axis=1, keepdims=True))
 
 

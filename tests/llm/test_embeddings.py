@@ -71,3 +71,9 @@ def test_odd_rows(spark):
     assert [r.component_id for r in found if r.vec_id is None] == [1]
     assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in found if r.vec_id in (2, 3, 4, 5, 6, 7, 8, 10))
     assert e.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 1e199], 1), (3, [1e-200, 1e-201], 1), (4, [0.0, 5e-324], 1)]
+    found = e.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
