@@ -7,6 +7,12 @@ line probes the indexes of the lengths within reach with the substrings at the f
 What is found is checked by the parity of its words (an edit changes at most three) and verified by a banded
 bit-parallel edit distance.
 
+Longer lines also link when few of their words differ: one word in 20, at least one from six words on. A pair
+within that many word edits shares a run of words. Lines of up to 19 words meet by their first or last half; in
+longer ones the run is so long that both hold a window of equal word grams, whose smallest hash is a key of both.
+Members of a bucket first link to its smallest line (a star, not all pairs); only lines of different classes are
+then paired, so that a family of near copies costs no square.
+
 Everything is DataFrame expressions. Equal lines are grouped first, with a combine before the shuffle, so copies of
 a line are one row of the join; the join's rows hold hashes, not texts.
 """
@@ -19,6 +25,12 @@ from pyspark.sql import functions as F
 from parley.llm._shared import connected_components, materialize
 
 MAX_EDITS, MIN_CHARS = 1, 20
+#: A word edit is allowed for so many words, and one from ``FEW_WORDS`` on.
+WORDS_AN_EDIT, FEW_WORDS = 20, 6
+#: Words up to which a line meets others by its halves, words of a gram, and (words from, to, grams in a window):
+#: lines of 19 words and more within the allowed edits share 9 words in a row at least, from 39 on 13.
+HALVES, GRAM = 19, 5
+WINDOWS = ((HALVES, 2 * WORDS_AN_EDIT, 5), (2 * WORDS_AN_EDIT - 1, 1 << 30, 9))
 #: Lines to verify up to which their ids are broadcast (some 100 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -180,6 +192,112 @@ def link_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits).select("a", "b")
 
 
+def allowed_word_edits(words: Column) -> Column:
+    """Word edits up to which lines link, of which the one with fewer words has ``words``."""
+    return F.when(words < FEW_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(words / WORDS_AN_EDIT).cast("int")))
+
+
+def _word_keys(words: Column) -> Column:
+    """Keys of which two lines share one if they differ by the allowed word edits (or by one character, from 19 words on)."""
+    n = F.size(words)
+    halves = []
+    for shorter in (0, 1):  # the line with fewer words has as many as this one, or one less
+        least = n - shorter
+        half = F.floor(least / 2).cast("int")
+        halves.append(F.xxhash64(F.lit("front"), least, F.slice(words, 1, half)))
+        halves.append(F.xxhash64(F.lit("back"), least, F.slice(words, n - half + 1, half)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def windows(grams: Column, size: int) -> Column:
+        least = F.transform(F.sequence(F.lit(1), F.size(grams) - size + 1), lambda i: F.array_min(F.slice(grams, i, size)))
+        return F.transform(F.array_distinct(least), lambda h: F.xxhash64(F.lit(size), h))
+
+    def grams(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(h) - GRAM + 1), lambda i: F.xxhash64(F.slice(h, i, GRAM)))
+
+    none = F.array().cast("array<long>")
+    keys = [F.when((n >= FEW_WORDS) & (n <= HALVES), F.array(*halves)).otherwise(none)]
+    within = [F.when((n >= first) & (n <= last), size) for first, last, size in WINDOWS]
+
+    def by_window(g: Column) -> Column:
+        return F.concat(*[F.when(here.isNotNull(), windows(g, size)).otherwise(none) for here, (*_, size) in zip(within, WINDOWS, strict=True)])
+
+    found = _let(hashes, lambda h: _let(grams(h), by_window))  # each computed once a line
+    return F.concat(*keys, F.when(n >= HALVES, found).otherwise(none))
+
+
+def word_distance_within(a: Column, b: Column, most: Column) -> Column:
+    """Whether two arrays of words are within ``most`` insertions, deletions and substitutions of words.
+
+    Each word is written as one character, its number among the words of both.
+    """
+
+    def letters(words: Column, known: Column) -> Column:
+        def letter(word: Column) -> Column:
+            code = F.array_position(known, word) + 255
+            code = F.when(code >= 0xD800, code + 0x800).otherwise(code)  # not those of surrogates
+            return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(words, letter), "")
+
+    def rest(pair: Column) -> Column:
+        """Both without the words they share at the front; then reversed."""
+        x, y = pair["x"], pair["y"]
+        n = F.least(F.size(x), F.size(y))
+        first = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p == q), False)
+        same = F.when(first == 0, n).otherwise(first - 1).cast("int")
+        return _let(
+            same,
+            lambda k: F.struct(F.reverse(F.slice(x, k + 1, F.size(x))).alias("x"), F.reverse(F.slice(y, k + 1, F.size(y))).alias("y")),
+        )
+
+    def close(pair: Column) -> Column:
+        known = F.array_distinct(F.concat(pair["x"], pair["y"]))
+        return _let(known, lambda k: F.call_function("levenshtein", letters(pair["x"], k), letters(pair["y"], k), most) >= 0)
+
+    pair = F.struct(a.alias("x"), b.alias("y"))
+    return _let(pair, lambda p: _let(rest(p), lambda q: _let(rest(q), close)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Those ``pairs`` of ids that the allowed word edits or ``max_edits`` characters part."""
+    one, two = (texts.select(*[F.col(c).alias(f"{c}_{x}") for c in texts.columns]) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("lid_a")).join(two, F.col("b") == F.col("lid_b"))
+    most = allowed_word_edits(F.least("n_a", "n_b"))
+    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= F.greatest(2 * most, F.lit(3 * max_edits))
+    apart = F.abs(F.col("n_a") - F.col("n_b"))
+    near = (apart <= F.greatest(most, F.lit(max_edits))) & alike
+    by_words = (apart <= most) & word_distance_within(F.split("line_a", " "), F.split("line_b", " "), most)
+    by_chars = F.call_function("levenshtein", "line_a", "line_b", F.lit(max_edits)) >= 0
+    return both.where(near).where(by_words | by_chars).select("a", "b")
+
+
+def link_lines_by_words(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids that join lines into the classes of ``allowed_word_edits`` (not every pair of a class).
+
+    Lines of 19 words and more also link within ``max_edits`` characters, if that is one.
+    """
+    keyed = lines.select("lid", F.explode(_word_keys(F.split("line", " "))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("lid").alias("pivot"), F.max("lid").alias("last")).where("pivot != last")
+    held = materialize(keyed.join(shared.select("key", "pivot"), "key"), "line-buckets")
+    ids = held.select("lid").distinct()
+    texts = lines.join(ids, "lid", "left_semi").select("lid", "line")
+    texts = materialize(texts.select("*", F.size(F.split("line", " ")).alias("n"), _word_parity(F.col("line")).alias("parity")), "bucket-texts")
+    stars = held.where("lid != pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
+    stars = materialize(_verified(stars, texts, max_edits), "line-stars")
+    roots = connected_components(stars, "line-star-classes")
+    known = held.join(roots, held.lid == roots.node, "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
+    known = materialize(known, "line-known")
+    # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself
+    major = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    major = major.agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    mixed = known.join(major.select("key", F.col("m.root").alias("major")), "key")
+    minor = mixed.where("root != major").select("key", F.col("lid").alias("x"), F.col("root").alias("x_root"))
+    met = minor.join(mixed, "key").where("x_root != root")
+    met = met.select(F.least("x", "lid").alias("a"), F.greatest("x", "lid").alias("b")).distinct()
+    return stars.unionAll(_verified(met, texts, max_edits))
+
+
 def find_duplicate_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -202,7 +320,11 @@ def find_duplicate_lines(
     placed = placed.where(F.length("line") >= min_chars)
     distinct = placed.groupBy("line").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     distinct = materialize(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
-    links = link_lines(distinct.select("lid", "line"), max_edits)
+    lines = distinct.select("lid", "line")
+    n_words = F.size(F.split("line", " "))
+    # from 19 words on a single edit is found by words
+    by_chars = lines.where(n_words <= HALVES) if max_edits == 1 else lines
+    links = link_lines(by_chars, max_edits).unionAll(link_lines_by_words(lines, max_edits))
     classes = connected_components(links, "line-classes")
     hashed = distinct.select("lid", "least", "copies", *_hash(F.col("line")))
     member = hashed.join(classes, hashed.lid == classes.node, "left").where("copies > 1 or root is not null")

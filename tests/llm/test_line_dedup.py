@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from parley.llm.line_dedup import drop_duplicate_lines, edit_distance_within, find_duplicate_lines, link_lines
+from parley.llm.line_dedup import drop_duplicate_lines, edit_distance_within, find_duplicate_lines, link_lines, link_lines_by_words
 
 
 def distance(a, b):
@@ -70,3 +70,51 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted(str(r.text) for r in kept.collect()) == sorted(str(r.text) for r in odd.collect())  # repeats are one document
     assert find_duplicate_lines(none).count() == 0 and drop_duplicate_lines(none).count() == 0
+
+
+def test_one_word_in_twenty_may_differ(spark):
+    rng = random.Random(3)
+    words = ["alpha", "b", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    lines = set()
+    for n in [*range(5, 24), *range(37, 43), 59, 60, 61, 80, 119, 120]:
+        for _ in range(2):
+            base = [rng.choice(words) + str(rng.randrange(50)) for _ in range(n)]
+            lines.add(" ".join(base))
+            for edits in (1, 2, 3, 4, 6, 7):
+                copy = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(copy))
+                    copy[at : at + rng.randrange(2)] = [rng.choice(words)] * rng.randrange(2)
+                lines.add(" ".join(copy))
+            at = " ".join(base).index(" ")
+            lines.add(" ".join(base)[:at] + " ".join(base)[at + 1 :])  # one character
+    lines = sorted(lines)
+    root = list(range(len(lines)))
+
+    def find(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    split = [x.split(" ") for x in lines]
+    for i, a in enumerate(split):
+        for j in range(i):
+            few = min(len(a), len(split[j]))
+            most = 0 if few < 6 else max(1, few // 20)
+            if abs(len(a) - len(split[j])) > most + 1 or len(set(a) & set(split[j])) < few // 3:
+                continue
+            if (most and distance(a, split[j]) <= most) or (abs(len(lines[i]) - len(lines[j])) <= 1 and distance(lines[i], lines[j]) <= 1):
+                x, y = find(root, i), find(root, j)
+                root[max(x, y)] = min(x, y)
+    got = list(range(len(lines)))
+    rows = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    for r in link_lines_by_words(rows).unionAll(link_lines(rows.where("size(split(line, ' ')) <= 19"))).collect():
+        x, y = find(got, r.a), find(got, r.b)
+        got[max(x, y)] = min(x, y)
+    assert [find(got, i) for i in got] == [find(root, i) for i in root]
+
+
+def test_a_line_with_one_word_swapped_is_near(spark):
+    a = "A reed ntre is the one that stands in the middle of this line"
+    docs = spark.createDataFrame([(1, a), (2, a.replace("A reed", "The reed")), (3, "quite another line with some words in it")], "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in find_duplicate_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
