@@ -304,6 +304,7 @@ def find_duplicate_lines(
     text_col: str = "text",
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """Which lines of every row of ``docs`` repeat a line that is kept.
 
@@ -311,16 +312,17 @@ def find_duplicate_lines(
     ``dropped`` (their numbers from 0, in order); ``text_key`` (a hash of the text). Lines are what newlines
     separate, compared character by character. Of a class of lines the one in the document with the smallest id
     stays (of several there, that of the smallest hash, at its first place); null ids come last. Lines of fewer
-    than ``min_chars`` characters all stay. Null text has no lines. Rows that repeat id and text count as one
+    than ``exact_chars`` characters (``min_chars`` if not given; 1: all that are not empty) all stay; those of fewer
+    than ``min_chars`` repeat only lines equal to them. Null text has no lines. Rows that repeat id and text count as one
     document and get equal results; an empty table gives no rows. Only the two named columns are read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = ["doc_id", "text_key"]
     placed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    placed = placed.where(F.length("line") >= min_chars)
+    placed = placed.where(F.length("line") >= (min_chars if exact_chars is None else exact_chars))
     distinct = placed.groupBy("line").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     distinct = materialize(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
-    lines = distinct.select("lid", "line")
+    lines = distinct.where(F.length("line") >= min_chars).select("lid", "line")
     n_words = F.size(F.split("line", " "))
     # from 19 words on a single edit is found by words
     by_chars = lines.where(n_words <= HALVES) if max_edits == 1 else lines
@@ -355,12 +357,13 @@ def find_duplicate_lines(
     )
 
 
-def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", exact_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines that repeat a kept one, all columns in place; ``n_chars_col`` is counted anew.
 
-    A document whose every line repeats a kept line goes, for nothing of it is left.
+    A document whose every line repeats a kept line goes, for nothing of it is left. Lines under ``exact_chars``
+    characters are not dropped: a corpus keeps its list marks, braces and one-word lines.
     """
-    found = find_duplicate_lines(docs, id_col, text_col).where("size(dropped) > 0").distinct()
+    found = find_duplicate_lines(docs, id_col, text_col, exact_chars=exact_chars).where("size(dropped) > 0").distinct()
     found = found.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), F.col("dropped").alias("d_lines"), F.col("n_lines").alias("d_n"))
     on = docs[id_col].eqNullSafe(found.d_id) & (F.xxhash64(docs[text_col]) == found.d_key)
     joined = docs.join(found, on, "left").where("d_lines is null or size(d_lines) < d_n")

@@ -28,7 +28,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.line_dedup import find_duplicate_lines
 
-    return find_duplicate_lines(_read(spark, sf_dir, "documents")).drop("text_key")
+    return find_duplicate_lines(_read(spark, sf_dir, "documents"), exact_chars=1).drop("text_key")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

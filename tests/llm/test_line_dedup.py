@@ -118,3 +118,10 @@ def test_a_line_with_one_word_swapped_is_near(spark):
     a = "A reed ntre is the one that stands in the middle of this line"
     docs = spark.createDataFrame([(1, a), (2, a.replace("A reed", "The reed")), (3, "quite another line with some words in it")], "doc_id long, text string")
     assert {r.doc_id: r.n_near for r in find_duplicate_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_short_lines_repeat_too(spark):
+    docs = spark.createDataFrame([(1, "short\n\nshort"), (2, "\nshort\nshorx")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_exact, r.n_near, list(r.dropped)) for r in find_duplicate_lines(docs, exact_chars=1).collect()}
+    assert found == {1: (1, 0, [2]), 2: (1, 0, [1])}
+    assert {r.text for r in drop_duplicate_lines(docs).collect()} == {r.text for r in docs.collect()}
