@@ -145,9 +145,22 @@ def simhash_components(
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all their columns.
+    """One row of ``docs`` for each group of near copies, with all its columns.
 
-    Rows with a null id belong to no document that could be kept in their place, so they stay.
+    It is the row of the smallest id (null ids come last) and, of several texts of that id, of the smallest text
+    hash; of rows that repeat both, one.
     """
-    found = simhash_components(docs, id_col, text_col).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(found, docs[id_col] == found.doc_id, "left_anti")
+    key = {"k_id": docs[id_col], "k_text": F.xxhash64(docs[text_col])}
+    rows = docs.select(*[c.alias(n) for n, c in key.items()], fingerprints(docs[text_col]).alias("fp"))
+    # a row for each id and text, with the number of its copies
+    rows = materialize(rows.groupBy("k_id", "k_text", "fp").agg(F.count("*").alias("copies")), "simhash-rows")
+    roots = materialize(link_fingerprints(rows.groupBy("fp").agg(F.sum("copies").alias("n"))), "simhash-roots")
+    first = F.min(F.struct(F.col("k_id").isNull().alias("last"), "k_id", "k_text", "copies")).alias("k")
+    keepers = rows.join(roots, "fp").groupBy("root").agg(first).select("k.k_id", "k.k_text", "k.copies")
+    keepers = materialize(keepers, "simhash-keepers")
+    on = docs[id_col].eqNullSafe(keepers.k_id) & (key["k_text"] == keepers.k_text)
+    kept = docs.join(keepers.where("copies = 1"), on, "left_semi")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    several = docs.join(keepers.where("copies > 1"), on, "left_semi").select(*[c.alias(n) for n, c in key.items()], row.alias("row"))
+    several = several.groupBy("k_id", "k_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.unionAll(several.select("row.*"))

@@ -56,3 +56,12 @@ def test_odd_rows(spark, odd, none):
     kept = keep_one_of_each(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, None, 5}
     assert 3 not in {r.doc_id for r in kept.collect()}
+
+
+def test_rows_are_kept_not_ids(spark):
+    x, y, z = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ox", "yak", "zebu"))
+    rows = [(1, x, "a"), (2, x, "b"), (2, y, "c"), (3, z, "d"), (3, z, "d"), (None, "one " + y, "e"), (None, "q w e r t", "f"), (None, "q w e r t", "f")]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    near = (fingerprint(y) ^ fingerprint("one " + y)) % (1 << 64)
+    expected = [rows[0], rows[2], rows[3], rows[6]] + ([rows[5]] if near.bit_count() > 4 else [])
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, expected))
