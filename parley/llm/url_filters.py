@@ -3,7 +3,8 @@
 Explicit rules decide first. Their verdicts are also labels: each host's paths form a tree whose variable segments
 (numbers, hexadecimal keys, values that hardly recur) become wildcards and whose branches with statistically equal
 shares of bad pages are merged. A page that no rule fits is judged by its deepest template with enough labelled
-pages: it is blocked if the template's smoothed share of bad ones is high.
+pages, or else by coarser evidence: the whole host, the same path over all hosts of the domain, its first segment
+there, the whole domain. It is blocked if the smoothed share of bad pages there is high.
 
 Everything is DataFrame expressions. The trees are built over counts by host and generalised path, level by level.
 """
@@ -23,8 +24,6 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Levels of the tree; deeper segments belong to the template of their level-4 ancestor.
-DEPTH = 4
 #: Share of its parent's pages from which a segment stays as it is, labelled pages that a template needs,
 #: weight of the overall share of bad pages in a template's share, share from which it is blocked, and the
 #: normal quantile up to which two branches count as equal.
@@ -53,10 +52,10 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 
 
 def generalise(path: Column) -> Column:
-    """The path's segments, as far as ``DEPTH``; segments that are variable by form are wildcards."""
+    """The path's segments; segments that are variable by form are wildcards."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     return F.transform(
-        F.slice(segments, 1, DEPTH),
+        segments,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), "<number>")
         .when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "<key>")
         .otherwise(s),
@@ -72,7 +71,7 @@ def _grow(shapes: DataFrame, level: int, literal: float, labelled: int, equal: f
     )
     kids = kids.join(kids.groupBy(*on).agg(F.sum("n").alias("all")), on)
     by_form = F.col("segment").startswith("<")
-    kids = kids.withColumn("node", F.when(by_form | (F.col("n") >= literal * F.col("all")), F.col("segment")).otherwise("*"))
+    kids = kids.withColumn("node", F.when(by_form | (F.col("seen") >= labelled) | (F.col("n") >= literal * F.col("all")), F.col("segment")).otherwise("*"))
     # siblings in the order of their share of bad pages; a clear step up begins another branch
     nodes = kids.groupBy(*on, "node").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     known = nodes.where((F.col("seen") >= labelled) & (F.col("node") != "*") & ~F.col("node").startswith("<"))
@@ -94,9 +93,34 @@ def _grow(shapes: DataFrame, level: int, literal: float, labelled: int, equal: f
     better = ~ended & (F.col("node_seen") >= labelled)
     for column, now in (("template", F.col("prefix")), ("t_seen", F.col("node_seen")), ("t_bad", F.col("node_bad"))):
         shapes = shapes.withColumn(column, F.when(better, now).otherwise(F.col(column)))
+    # below a node with fewer labelled pages none has enough
+    shapes = shapes.withColumn("open", better & (F.size("segments") > level + 1))
     return materialize(shapes.drop("segment", "node", "node_seen", "node_bad"), f"templates-{level}")
 
 
+def _back_off(shapes: DataFrame, labelled: int) -> DataFrame:
+    """Evidence for the shapes without a template, from the finest of the coarser groups with enough labelled pages."""
+    labels = F.split("host", "[.]")
+    # the last two labels; a host of fewer has no domain that others share
+    domain = F.when(F.size(labels) > 1, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
+    shapes = shapes.withColumn("domain", domain).withColumn("whole", F.xxhash64("segments")).withColumn("top", F.get("segments", F.lit(0)))
+    of_domain = F.concat(F.lit("*."), F.col("domain"), F.lit("/"))
+    levels = (
+        (["host"], F.lit("/")),
+        (["domain", "whole"], F.concat(of_domain, F.array_join("segments", "/"))),
+        (["domain", "top"], F.concat(of_domain, F.col("top"))),
+        (["domain"], of_domain),
+    )
+    for on, name in levels:
+        counts = shapes.groupBy(*on).agg(F.sum("seen").alias("c_seen"), F.sum("bad").alias("c_bad")).where(F.col("c_seen") >= labelled)
+        shapes = shapes.join(counts, on, "left")
+        use = F.col("template").isNull() & F.col("c_seen").isNotNull()
+        for column, now in (("t_seen", F.col("c_seen")), ("t_bad", F.col("c_bad")), ("template", name)):
+            shapes = shapes.withColumn(column, F.when(use, now).otherwise(F.col(column)))
+        shapes = shapes.drop("c_seen", "c_bad")
+    return materialize(shapes.drop("domain", "whole", "top"), "templates-coarse")
+
+
 def judge_urls(
     pages: DataFrame,
     rules: tuple[tuple[str, str], ...] = RULES,
@@ -111,7 +135,8 @@ def judge_urls(
     """A verdict for every row of ``pages``.
 
     Columns: ``page_id``; ``host``; ``path``; ``rule`` (null if none fits); ``verdict`` (``allow`` or ``block``);
-    ``template`` (the host's deepest template above the page with at least ``labelled`` labelled pages, else null);
+    ``template`` (the host's deepest template above the page with at least ``labelled`` labelled pages; else ``/`` for
+    the host or ``*.domain/...`` for the hosts of its domain, if those have as many; else null);
     ``purity`` (1 less its smoothed share of bad pages, else null). Null urls and urls without ``://`` have an
     empty host and path, fit no rule, and are allowed unless their template is not. Repeated rows get equal
     results and count each; an empty table gives no rows. Only the two named columns are read.
@@ -133,8 +158,12 @@ def judge_urls(
     )
     shapes = materialize(shapes, "url-shapes")
     overall = shapes.agg((F.sum("bad") / F.nullif(F.sum("seen"), F.lit(0))).alias("share")).first()["share"] or 0.0
-    for level in range(DEPTH):
+    level, more = 0, True
+    while more:
         shapes = _grow(shapes, level, literal, labelled, equal)
+        more = bool(shapes.where("open").limit(1).count())
+        level += 1
+    shapes = _back_off(shapes.drop("open"), labelled)
     share = (F.col("t_bad") + prior * overall) / (F.col("t_seen") + prior)
     templates = shapes.select("host", "segments", "template", share.alias("share"))
     judged = rows.join(templates, ["host", "segments"], "left")

@@ -38,3 +38,15 @@ def test_odd_rows(spark):
     rows = judge_urls(pages.selectExpr("*", "1 as host", "2 as n", "3 as segment", "4 as found")).collect()
     assert len(rows) == 4 and {r.verdict for r in rows} == {"allow"}
     assert judge_urls(pages.limit(0)).count() == 0
+
+
+def test_pages_without_a_template_fall_back(spark):
+    rows = [f"http://a.x.org/bad/{k}" for k in range(60)] + ["http://a.x.org/new/1", "http://b.x.org/bad/77", "http://b.y.org/bad/1"]
+    rows += [f"http://c.z.org/1/2/3/4/{'ok' if k % 2 else 'bad'}/{k}" for k in range(120)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = (("block", "a.x.org/bad/"), ("allow", "c.z.org/1/2/3/4/ok/"), ("block", "c.z.org/1/2/3/4/bad/"))
+    found = {rows[r.page_id]: r for r in judge_urls(pages, rules).collect()}
+    assert (found["http://a.x.org/new/1"].template, found["http://a.x.org/new/1"].verdict) == ("/", "block")
+    assert (found["http://b.x.org/bad/77"].template, found["http://b.x.org/bad/77"].verdict) == ("*.x.org/bad/<number>", "block")
+    assert (found["http://b.y.org/bad/1"].template, found["http://b.y.org/bad/1"].verdict) == (None, "allow")
+    assert found["http://c.z.org/1/2/3/4/ok/1"].template.startswith("/<number>/<number>/<number>/<number>/ok")
