@@ -35,45 +35,38 @@ def read_turns(seq: DataFrame) -> DataFrame:
     return rows.withColumn("emotion_side", rules.emotion_polarity(F.col("emotion_top"))).drop("tokens")
 
 
-def _hits(turns: DataFrame, family: int, eligible: Column, hit: Column) -> DataFrame:
-    return turns.where(eligible).select(
-        "session_id",
-        F.lit(family).alias("family"),
-        "seq",
-        "speaker",
-        F.col("start_ms").alias("from_ms"),
-        "end_ms",
-        F.coalesce(hit, F.lit(False)).alias("hit"),
-    )
+def _hit(family: int, eligible: Column, hit: Column, from_ms: Column) -> Column:
+    parts = {"family": F.lit(family), "from_ms": from_ms, "hit": F.coalesce(hit, F.lit(False))}
+    return F.when(eligible, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
-def _turnarounds(turns: DataFrame, family: int, state: str, reach_ms: int) -> DataFrame:
-    """A speaker's state against the same speaker's state before, if that ended shortly before."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(by_speaker())
-    rows = turns.withColumns(
-        {"was": F.lag(state).over(by_speaker()), "was_ms": F.lag("start_ms").over(by_speaker()), "since": gap}
-    )
-    turned = (F.col("was") != F.col(state)) & F.col("since").between(0, reach_ms)
-    return rows.where(turned).select(
-        "session_id", F.lit(family).alias("family"), "seq", "speaker", F.col("was_ms").alias("from_ms"), "end_ms", F.lit(True).alias("hit")
-    )
+def _turnaround(family: int, state: Column, known: Column, reach_ms: int) -> Column:
+    """A hit where a speaker's known state differs from the same speaker's known state before, which ended shortly before."""
+    seen = F.when(known, F.struct(state.alias("state"), F.col("start_ms").alias("from"), F.col("end_ms").alias("to")))
+    was = F.last(seen, ignorenulls=True).over(by_speaker().rowsBetween(Window.unboundedPreceding, -1))
+    turned = known & (was["state"] != state) & (F.col("start_ms") - was["to"]).between(0, reach_ms)
+    return _hit(family, turned, F.lit(True), was["from"])
 
 
 def inconsistent_turns(turns: DataFrame) -> DataFrame:
-    """Every eligible turn of a family and whether it is a hit; families are numbered from 1 in their order."""
-    polar = F.col("label").isin("positive", "negative")
-    side = F.col("emotion_side")
-    mismatch = _hits(turns, 1, polar & F.col("lexical").isNotNull(), F.col("lexical") != F.col("label"))
-    opposed = ((F.col("label") == "positive") & (side == "negative")) | ((F.col("label") == "negative") & (side == "positive"))
-    contradiction = _hits(turns, 2, polar & side.isNotNull(), opposed)
-    reversal = _turnarounds(turns.where(side.isin("positive", "negative")), 3, "emotion_side", REVERSAL_MS)
-    statements = _turnarounds(turns.where("stance is not null"), 4, "stance", STANCE_MS)
+    """Every eligible turn of a family and whether it is a hit; families are numbered from 1 in their order.
+
+    One pass: a turn's hits of all families are made side by side.
+    """
+    label, lexical, side = F.col("label"), F.col("lexical"), F.col("emotion_side")
+    polar = label.isin("positive", "negative")
+    opposed = ((label == "positive") & (side == "negative")) | ((label == "negative") & (side == "positive"))
     flat = F.lower("emotion_top").isin("neutral", "calm")
-    masked = _hits(turns, 5, flat & ((F.col("lexical") == "negative") | (F.col("label") == "negative")), F.lit(True))
-    rows = mismatch
-    for part in (contradiction, reversal, statements, masked):
-        rows = rows.unionByName(part)
-    return rows
+    own = F.col("start_ms")
+    hits = F.array(
+        _hit(1, polar & lexical.isNotNull(), lexical != label, own),
+        _hit(2, polar & side.isNotNull(), opposed, own),
+        _turnaround(3, side, F.coalesce(side.isin("positive", "negative"), F.lit(False)), REVERSAL_MS),
+        _turnaround(4, F.col("stance"), F.col("stance").isNotNull(), STANCE_MS),
+        _hit(5, flat & ((lexical == "negative") | (label == "negative")), F.lit(True), own),
+    )
+    rows = turns.withColumn("hits", F.array_compact(hits)).select("session_id", "seq", "speaker", "end_ms", F.explode("hits").alias("h"))
+    return rows.select("session_id", "h.family", "seq", "speaker", "h.from_ms", "end_ms", "h.hit")
 
 
 def inconsistency_signals(hits: DataFrame) -> DataFrame:

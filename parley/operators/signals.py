@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from parley.operators.metrics import by_session
+from parley.operators.metrics import ORDER, by_session
 
 
 def dominant_emotion(emotion: Column) -> Column:
@@ -65,15 +65,9 @@ def emotion_aggregate(utterances: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def trend_points(seq: DataFrame) -> DataFrame:
-    """Scored utterances in order, with the score before."""
-    points = seq.where("sent_label is not null and score_e4 is not null")
-    return points.withColumn("prev_score_e4", F.lag("score_e4").over(by_session()))
-
-
-def sentiment_trend(points: DataFrame) -> DataFrame:
+def sentiment_trend(seq: DataFrame) -> DataFrame:
     """Direction and slope from the first to the last scored utterance; a single one is stable."""
-    ends = points.groupBy("session_id").agg(
+    ends = seq.where("sent_label is not null and score_e4 is not null").groupBy("session_id").agg(
         F.min_by("score_e4", "seq").alias("first"), F.max_by("score_e4", "seq").alias("last"), F.count("*").alias("points")
     )
     slope = F.when(F.col("points") < 2, 0).otherwise(F.col("last") - F.col("first"))
@@ -87,18 +81,21 @@ def sentiment_trend(points: DataFrame) -> DataFrame:
     return ends.select("session_id", direction.alias("direction"), (slope / 10000).alias("slope"), "points")
 
 
-def emotion_volatility(seq: DataFrame, points: DataFrame) -> DataFrame:
+def emotion_volatility(seq: DataFrame) -> DataFrame:
     """0.65 times the mean step of the score and 0.35 times the share of changes of the dominant emotion.
 
     Scores follow the sequence order, emotions the input order. Sessions without either have 0.
     """
-    steps = points.groupBy("session_id").agg(F.avg(F.abs(F.col("score_e4") - F.col("prev_score_e4"))).alias("step"))
-    felt = seq.where("emotion is not null and size(emotion) > 0").withColumn("top", dominant_emotion(F.col("emotion")))
-    before = F.lag("top").over(Window.partitionBy("session_id").orderBy("pos"))
-    felt = felt.select("session_id", (F.col("top") != before).alias("switch"))
-    switches = felt.groupBy("session_id").agg(F.count_if("switch").alias("switches"), F.count("*").alias("n"))
+    score = F.when(F.col("sent_label").isNotNull(), F.col("score_e4"))
+    felt = F.coalesce(F.col("emotion").isNotNull() & (F.size("emotion") > 0), F.lit(False))
+    rows = seq.select("session_id", "pos", *ORDER, score.alias("score"), F.when(felt, F.struct(dominant_emotion(F.col("emotion")).alias("top"))).alias("felt"))
+
+    def last_before(value: str, order: WindowSpec) -> Column:
+        return F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+    was = last_before("felt", Window.partitionBy("session_id").orderBy("pos"))
+    rows = rows.withColumns({"step": F.abs(F.col("score") - last_before("score", by_session())), "switch": F.col("felt.top") != was["top"]})
+    sums = rows.groupBy("session_id").agg(F.avg("step").alias("step"), F.count_if("switch").alias("switches"), F.count("felt").alias("n"))
     share = F.when(F.col("n") > 1, F.col("switches") / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    raw = 0.65 * F.coalesce(F.col("step") / 10000, F.lit(0.0)) + 0.35 * F.coalesce(share, F.lit(0.0))
-    sessions = seq.select("session_id").distinct()
-    joined = sessions.join(steps, "session_id", "left").join(switches, "session_id", "left")
-    return joined.select("session_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4).alias("emotion_volatility"))
+    raw = 0.65 * F.coalesce(F.col("step") / 10000, F.lit(0.0)) + 0.35 * share
+    return sums.select("session_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4).alias("emotion_volatility"))

@@ -12,10 +12,6 @@ from parley.thresholds import Thresholds
 COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec"]
 
 
-def _numbered(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.withColumn("marker_id", F.concat(F.lit(f"{kind}_"), F.row_number().over(by_session())))
-
-
 def _marker(rows: DataFrame, kind: str, time: Column, severity: Column, start: Column, end: Column, evidence: Column) -> DataFrame:
     return rows.select(
         "session_id",
@@ -52,39 +48,35 @@ def tension_markers(speakers: DataFrame, t: Thresholds) -> DataFrame:
     return _marker(rows, "high_tension", first, _high_if((interruptions >= 4) | (overlaps >= 4)), first, last, evidence)
 
 
-def pause_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
-    rows = _numbered(seq.where(F.col("gap_ms") >= t.long_pause_ms), "engagement_drop")
+def _mark(kind: str, holds: Column, time: Column, severity: Column, start: Column, end: Column, evidence: Column) -> Column:
+    """A marker of a turn, null where it does not hold."""
+    parts = {"type": F.lit(kind), "time_sec": time, "severity": severity, "start_sec": start, "end_sec": end, "evidence": F.to_json(evidence)}
+    return F.when(holds, F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def _pause(t: Thresholds) -> Column:
     evidence = F.struct(
         seconds(F.col("gap_ms")).alias("pause_duration_sec"),
         F.col("prev_speaker").alias("speaker_before"),
         F.col("speaker").alias("speaker_after"),
     )
     start, severity = seconds(F.col("prev_end_ms")), _high_if(F.col("gap_ms") >= t.severe_pause_ms)
-    return _marker(rows, "engagement_drop", start, severity, start, seconds(F.col("start_ms")), evidence)
+    return _mark("engagement_drop", F.col("gap_ms") >= t.long_pause_ms, start, severity, start, seconds(F.col("start_ms")), evidence)
 
 
-def interruption_markers(seq: DataFrame) -> DataFrame:
-    rows = _numbered(seq.where("interrupts"), "interruption")
+def _interruption(t: Thresholds) -> Column:
     evidence = F.struct(
         F.col("prev_speaker").alias("interrupted_speaker"),
         seconds(F.col("prev_end_ms") - F.col("start_ms")).alias("overlap_sec"),
         F.col("utt_id").alias("utterance_id"),
     )
     start = seconds(F.col("start_ms"))
-    return _marker(rows, "interruption", start, F.lit("medium"), start, seconds(F.col("end_ms")), evidence)
+    return _mark("interruption", F.col("interrupts"), start, F.lit("medium"), start, seconds(F.col("end_ms")), evidence)
 
 
-def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+def _shift(t: Thresholds) -> Column:
     """A speaker's score moves far from that of the same speaker's utterance just before."""
-    rows = seq.withColumns(
-        {
-            "own_score": F.lag("score_e4").over(by_speaker()),
-            "own_label": F.lag("sent_label").over(by_speaker()),
-            "own_start": F.lag("start_ms").over(by_speaker()),
-        }
-    )
     step = F.col("score_e4") - F.col("own_score")
-    rows = _numbered(rows.where(F.abs(step) >= t.shift_e4), "emotional_shift")
     evidence = F.struct(
         round_binary(F.col("own_score") / 10000, 3).alias("previous_score"),
         round_binary(F.col("score_e4") / 10000, 3).alias("current_score"),
@@ -93,35 +85,65 @@ def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
         F.coalesce("own_label", F.lit("")).alias("previous_label"),
         F.coalesce("sent_label", F.lit("")).alias("current_label"),
     )
-    start, end = seconds(F.col("own_start")), seconds(F.col("end_ms"))
-    severity = _high_if(F.abs(step) >= t.severe_shift_e4)
-    return _marker(rows, "emotional_shift", seconds(F.col("start_ms")), severity, start, end, evidence)
+    start, end, severity = seconds(F.col("own_start")), seconds(F.col("end_ms")), _high_if(F.abs(step) >= t.severe_shift_e4)
+    return _mark("emotional_shift", F.abs(step) >= t.shift_e4, seconds(F.col("start_ms")), severity, start, end, evidence)
 
 
-def decline_markers(points: DataFrame, trend: DataFrame) -> DataFrame:
-    """In a declining session, the first scored utterance with a clear step down."""
-    order = Window.partitionBy("session_id").orderBy("seq")
-    down = points.where(F.col("score_e4") - F.col("prev_score_e4") <= -800)
-    down = down.withColumn("place", F.row_number().over(order)).where("place = 1")
-    rows = down.join(trend.where("direction = 'declining'"), "session_id")
-    rows = rows.withColumn("marker_id", F.lit("session_tone_decline"))
-    evidence = F.struct(F.col("direction").alias("trend_direction"), F.col("slope").alias("trend_slope"))
+def _decline(t: Thresholds) -> Column:
+    """A scored utterance with a clear step down; the first one of a declining session is a marker."""
     start, end = seconds(F.col("start_ms")), seconds(F.col("end_ms"))
-    return _marker(rows, "session_tone_decline", start, F.lit("medium"), start, end, evidence)
+    evidence = F.struct(F.lit("declining").alias("trend_direction"))
+    return _mark("session_tone_decline", F.col("score_e4") - F.col("prev_score") <= -800, start, F.lit("medium"), start, end, evidence)
+
+
+TURN_MARKERS = {"engagement_drop": _pause, "interruption": _interruption, "emotional_shift": _shift, "session_tone_decline": _decline}
+
+
+def turn_markers(seq: DataFrame, t: Thresholds, *kinds: str) -> DataFrame:
+    """Markers of single turns, numbered by kind in sequence order: one pass over a session's turns, one numbering."""
+    own = {"own_score": "score_e4", "own_label": "sent_label", "own_start": "start_ms"}
+    scored = F.col("sent_label").isNotNull() & F.col("score_e4").isNotNull()
+    before = by_session().rowsBetween(Window.unboundedPreceding, -1)
+    rows = seq.withColumns(
+        {name: F.lag(c).over(by_speaker()) for name, c in own.items()}
+        | {"prev_score": F.when(scored, F.last(F.when(scored, F.col("score_e4")), ignorenulls=True).over(before))}
+    )
+    marks = F.array_compact(F.array(*[TURN_MARKERS[k](t) for k in kinds or TURN_MARKERS]))
+    rows = rows.select("session_id", "seq", "speaker", F.explode(marks).alias("m")).select("session_id", "seq", "speaker", "m.*")
+    number = F.row_number().over(Window.partitionBy("session_id", "type").orderBy("seq"))
+    rows = rows.withColumn("number", number).withColumn("marker_id", F.concat("type", F.lit("_"), "number"))
+    return rows.select(*COLUMNS, "evidence", "number")
+
+
+def pause_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+    return turn_markers(seq, t, "engagement_drop").drop("number")
+
+
+def interruption_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+    return turn_markers(seq, t, "interruption").drop("number")
+
+
+def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+    return turn_markers(seq, t, "emotional_shift").drop("number")
+
+
+def decline_markers(seq: DataFrame, trend: DataFrame, t: Thresholds) -> DataFrame:
+    """In a declining session, the first scored utterance with a clear step down."""
+    return _declining(turn_markers(seq, t, "session_tone_decline"), trend)
+
+
+def _declining(markers: DataFrame, trend: DataFrame) -> DataFrame:
+    """Without the steps down that are not the first of a declining session; that one tells the session's slope."""
+    decline = F.col("type") == "session_tone_decline"
+    falling = trend.where("direction = 'declining'").select("session_id", "direction", "slope")
+    rows = markers.where(~decline | (F.col("number") == 1)).join(falling, "session_id", "left").where(~decline | F.col("slope").isNotNull())
+    evidence = F.to_json(F.struct(F.col("direction").alias("trend_direction"), F.col("slope").alias("trend_slope")))
+    rows = rows.withColumns({"marker_id": F.when(decline, F.col("type")).otherwise(F.col("marker_id")), "evidence": F.when(decline, evidence).otherwise(F.col("evidence"))})
+    return rows.select(*COLUMNS, "evidence")
 
 
-def build_timeline(seq: DataFrame, speakers: DataFrame, points: DataFrame, trend: DataFrame, t: Thresholds | None = None) -> DataFrame:
+def build_timeline(seq: DataFrame, speakers: DataFrame, trend: DataFrame, t: Thresholds | None = None) -> DataFrame:
     """All markers of a session with their place in the order of time and marker id."""
     t = t or Thresholds()
-    parts = [
-        dominance_markers(speakers, t),
-        pause_markers(seq, t),
-        interruption_markers(seq),
-        shift_markers(seq, t),
-        decline_markers(points, trend),
-        tension_markers(speakers, t),
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    rows = _declining(turn_markers(seq, t), trend).unionByName(dominance_markers(speakers, t)).unionByName(tension_markers(speakers, t))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("time_sec", "marker_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import claims, escalation, inconsistency, language, metrics, quality, recommend, scores, signals, timeline
+from parley.operators import claims, escalation, language, metrics, quality, recommend, scores, signals, timeline
 from parley.plans.bundle import SPEAKER, Bundle, build_bundle
 from parley.sources.adapters import read_table, utterances_from_events
 from parley.thresholds import Thresholds
@@ -23,10 +23,6 @@ def of_sequence(table: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: table(metrics.sequence(utterances_from_events(spark, folder)))
 
 
-def _trend_of(seq: DataFrame) -> DataFrame:
-    return signals.sentiment_trend(signals.trend_points(seq))
-
-
 def _markers(kind: Callable[[DataFrame], DataFrame]) -> Query:
     return of_sequence(lambda seq: kind(seq).select(*timeline.COLUMNS))
 
@@ -43,23 +39,23 @@ QUERIES: dict[str, Query] = {
     "speaker_sentiment": of_sequence(lambda s: signals.sentiment_aggregate(s, SPEAKER)),
     "emotion_distribution": of_sequence(lambda s: signals.emotion_distribution(s, ["session_id"])),
     "speaker_emotion": of_sequence(lambda s: signals.emotion_aggregate(s, SPEAKER)),
-    "sentiment_trend": of_sequence(_trend_of),
-    "emotion_volatility": of_sequence(lambda s: signals.emotion_volatility(s, signals.trend_points(s))),
+    "sentiment_trend": of_sequence(signals.sentiment_trend),
+    "emotion_volatility": of_sequence(signals.emotion_volatility),
     "dominance_markers": _markers(lambda s: timeline.dominance_markers(metrics.speaker_metrics(s), T)),
     "tension_markers": _markers(lambda s: timeline.tension_markers(metrics.speaker_metrics(s), T)),
     "pause_markers": _markers(lambda s: timeline.pause_markers(s, T)),
-    "interruption_markers": _markers(timeline.interruption_markers),
+    "interruption_markers": _markers(lambda s: timeline.interruption_markers(s, T)),
     "shift_markers": _markers(lambda s: timeline.shift_markers(s, T)),
-    "decline_markers": _markers(lambda s: timeline.decline_markers(signals.trend_points(s), _trend_of(s))),
+    "decline_markers": _markers(lambda s: timeline.decline_markers(s, signals.sentiment_trend(s), T)),
     "timeline": of_bundle(lambda b: b.timeline.drop("evidence")),
     "marker_clusters": of_bundle(lambda b: escalation.marker_clusters(b.markers).drop("at")),
     "escalation_signals": of_bundle(lambda b: b.escalation_signals),
     "escalation": of_bundle(lambda b: b.escalation),
     "read_turns": of_bundle(
-        lambda b: b.turns.select("session_id", "utt_id", "lexical", "stance", "emotion_top", "emotion_side")
+        lambda b: b.read_turns.select("session_id", "utt_id", "lexical", "stance", "emotion_top", "emotion_side")
     ),
     "inconsistent_turns": of_bundle(
-        lambda b: inconsistency.inconsistent_turns(b.turns).select("session_id", "family", "seq", "speaker", "hit")
+        lambda b: b.inconsistent_turns.select("session_id", "family", "seq", "speaker", "hit")
     ),
     "inconsistency_signals": of_bundle(lambda b: b.inconsistency_signals),
     "inconsistency_windows": of_bundle(lambda b: b.inconsistency_windows),
@@ -68,6 +64,16 @@ QUERIES: dict[str, Query] = {
     "score_breakdown": of_bundle(lambda b: scores.score_breakdown(b.scores)),
     "speaker_flags": of_bundle(lambda b: b.speaker_flags.drop("place")),
     "session_flags": of_bundle(lambda b: b.session_flags.drop("place")),
+    "session_insights": of_bundle(
+        lambda b: b.insights.withColumns(
+            {
+                "speakers": F.array_join("speakers.speaker", ","),
+                "timeline": F.array_join("timeline.marker_id", ","),
+                "flags": F.array_join("flags.type", ","),
+                "speaker_flags": F.array_join("speaker_flags.type", ","),
+            }
+        )
+    ),
 }
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import align, quality, summary
-from parley.plans.bundle import build_bundle
 from parley.plans.oracles import sql
 from parley.plans.queries import Query, of_bundle
 from parley.sources import store
@@ -29,16 +28,6 @@ def _aligned(asr: DataFrame, turns: DataFrame) -> DataFrame:
     return align.align_words(align.slice_words(asr), turns)
 
 
-def _overall(spark: SparkSession, folder: str) -> DataFrame:
-    from parley.operators.metrics import dominant_speaker
-
-    b = build_bundle(utterances_from_events(spark, folder))
-    return summary.overall_summary(
-        b.sessions, b.scores, dominant_speaker(b.speakers), b.session_sentiment, b.trend, b.session_emotion, b.escalation, b.inconsistency,
-        b.session_flags,
-    )
-
-
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
     turns = utterances_from_events(spark, folder)
     return turns.select("session_id", F.col("start_ms").alias("created_at"), (F.col("start_ms") * 1000 + F.col("pos")).alias("updated_at"), "text")
@@ -72,7 +61,7 @@ QUERIES: dict[str, Query] = {
     "speaker_summaries": of_bundle(
         lambda b: summary.speaker_summaries(b.speakers, b.speaker_sentiment, b.speaker_emotion, b.speaker_flags)
     ),
-    "overall_summary": _overall,
+    "overall_summary": of_bundle(lambda b: b.overall),
     "notable_concerns": of_bundle(lambda b: summary.notable_concerns(b.session_flags)),
     "key_moments": of_bundle(lambda b: summary.key_moments(b.timeline)),
     "transcript_excerpt": lambda spark, folder: summary.transcript_excerpt(utterances_from_events(spark, folder)),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators.recommend import export_rows
-from parley.plans.bundle import build_bundle
+from parley.plans.bundle import Bundle, build_bundle
+from parley.sources.scratch import discard, materialize
 from parley.sources.store import upsert
 
 
@@ -21,9 +22,8 @@ def evidence_requests(claims: DataFrame, ttl: str = "60 seconds") -> DataFrame:
     return claims.withWatermark("asked_at", ttl).dropDuplicatesWithinWatermark(["signature"])
 
 
-def insight_records(utterances: DataFrame) -> DataFrame:
+def insight_records(b: Bundle) -> DataFrame:
     """One record per session: its scores and levels as JSON."""
-    b = build_bundle(utterances)
     level = lambda df, name: df.select("session_id", F.col("level").alias(name))
     rows = b.scores.join(level(b.escalation, "escalation"), "session_id").join(level(b.inconsistency, "inconsistency"), "session_id")
     payload = F.to_json(F.struct(*[c for c in rows.columns if c != "session_id"]))
@@ -38,10 +38,13 @@ def insights_as_sessions_arrive(utterances: DataFrame, path: str, checkpoint: st
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        records = insight_records(rows)
+        bundle = build_bundle(rows)
+        records = materialize(insight_records(bundle), "insight-records")
         upsert(records, path)
         if then is not None:
             then(records)
+        bundle.discard()
+        discard(records)
 
     return utterances.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
