@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,15 @@ from parley.sources.scratch import discard, materialize
 from parley.thresholds import Thresholds
 
 SESSION, SPEAKER = ["session_id"], ["session_id", "speaker"]
+#: The tables of a whole bundle; each reads those of earlier steps only.
+STEPS = (
+    ("turns",),
+    ("sessions", "speakers", "session_sentiment", "session_emotion", "speaker_emotion", "trend", "inconsistent_turns"),
+    ("markers", "scores", "inconsistency_signals"),
+    ("escalation_signals", "inconsistency"),
+    ("escalation",),
+    ("session_flags",),
+)
 
 
 class Bundle:
@@ -36,6 +46,12 @@ class Bundle:
         discard(*self._written)
         self._written = []
 
+    def prepare(self) -> None:
+        """Write the shared tables; those that do not read each other are written side by side."""
+        with ThreadPoolExecutor(len(STEPS[1])) as threads:
+            for step in STEPS:
+                list(threads.map(lambda name: getattr(self, name), step))
+
     @cached_property
     def turns(self) -> DataFrame:
         return self._keep(metrics.sequence(self.utterances), "turns")
@@ -143,6 +159,7 @@ class Bundle:
     @cached_property
     def insights(self) -> DataFrame:
         """Every table of the bundle in one row per session: lists in their order, the rest as columns."""
+        self.prepare()
 
         def listed(table: DataFrame, name: str, *order: str) -> DataFrame:
             item = F.struct(*order, *[c for c in table.columns if c != "session_id" and c not in order])
