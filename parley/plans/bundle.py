@@ -46,11 +46,11 @@ class Bundle:
         discard(*self._written)
         self._written = []
 
-    def prepare(self) -> None:
+    def prepare(self, without: tuple[str, ...] = ()) -> None:
         """Write the shared tables; those that do not read each other are written side by side."""
         with ThreadPoolExecutor(len(STEPS[1])) as threads:
             for step in STEPS:
-                list(threads.map(lambda name: getattr(self, name), step))
+                list(threads.map(lambda name: getattr(self, name), [name for name in step if name not in without]))
 
     @cached_property
     def turns(self) -> DataFrame:
@@ -136,6 +136,7 @@ class Bundle:
 
     @cached_property
     def session_flags(self) -> DataFrame:
+        self.prepare(("sessions", "session_emotion", "scores", "session_flags"))
         found = scores.session_flags(
             self.speakers, self.session_sentiment, self.trend, self.escalation, self.inconsistency, self.thresholds
         )
@@ -144,6 +145,7 @@ class Bundle:
     @cached_property
     def timeline(self) -> DataFrame:
         """Markers with those of inconsistency, which escalation does not see."""
+        self.prepare(("sessions", "session_sentiment", "session_emotion", "speaker_emotion", "scores", "escalation_signals", "escalation", "session_flags"))
         more = inconsistency.inconsistency_markers(self.inconsistency_windows, self.inconsistency)
         rows = self.markers.drop("place").unionByName(more)
         order = Window.partitionBy("session_id").orderBy("time_sec", "marker_id")
