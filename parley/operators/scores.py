@@ -10,7 +10,7 @@ from parley.thresholds import Thresholds
 
 
 def _unit(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(value, 4)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), round_binary(value, 4)))
 
 
 def compute_scores(sessions: DataFrame, speakers: DataFrame, trend: DataFrame, volatility: DataFrame) -> DataFrame:

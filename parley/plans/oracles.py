@@ -181,11 +181,11 @@ PARTS: dict[str, str] = {
         SELECT session_id, 'inconsistency_' || number, 'inconsistency_candidate', start_sec, iw.speaker, iw."level", start_sec, end_sec
         FROM iw JOIN inc USING (session_id) WHERE inc."level" <> 'none')""",
     "sc": """SELECT session_id, dominance_score, engagement_score, conflict_score,
-        greatest(0.0, least(1.0, round((1.0::DOUBLE - dominance_score) * 0.35::DOUBLE + (1.0::DOUBLE - conflict_score) * 0.40::DOUBLE
-          + engagement_score * 0.25::DOUBLE, 4))) cooperation_score, emotion_volatility_score, pause_part, question_part, trend_part FROM
-        (SELECT *, greatest(0.0, least(1.0, round(0.7::DOUBLE * pause_part + 0.3::DOUBLE * question_part + trend_part, 4))) engagement_score FROM
+        greatest(0.0, least(1.0, printf('%.4f', (1.0::DOUBLE - dominance_score) * 0.35::DOUBLE + (1.0::DOUBLE - conflict_score) * 0.40::DOUBLE
+          + engagement_score * 0.25::DOUBLE)::DOUBLE)) cooperation_score, emotion_volatility_score, pause_part, question_part, trend_part FROM
+        (SELECT *, greatest(0.0, least(1.0, printf('%.4f', 0.7::DOUBLE * pause_part + 0.3::DOUBLE * question_part + trend_part)::DOUBLE)) engagement_score FROM
           (SELECT session_id, greatest(0.0, least(1.0, round(dominance, 4))) dominance_score,
-             greatest(0.0, least(1.0, round(events / total_utterances, 4))) conflict_score, emotion_volatility emotion_volatility_score,
+             greatest(0.0, least(1.0, printf('%.4f', events::DOUBLE / total_utterances)::DOUBLE)) conflict_score, emotion_volatility emotion_volatility_score,
              1.0::DOUBLE - least(avg_pause_sec / 5.0::DOUBLE, 1.0) pause_part, least(total_questions / total_utterances, 1.0) question_part,
              CASE direction WHEN 'improving' THEN 0.05::DOUBLE WHEN 'declining' THEN -0.05::DOUBLE ELSE 0.0::DOUBLE END trend_part
            FROM sm JOIN (SELECT session_id, max(speaking_ratio) dominance, sum(interruption_count + overlap_count) events FROM sp GROUP BY 1) USING (session_id)
