@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.scratch import discard, materialize
+
+__all__ = ["discard", "materialize"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words made of digits, ASCII letters and everything outside ASCII.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -15,10 +16,6 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-#: Folders made for applications without the setting.
-_own_folders: dict[str, str] = {}
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -29,28 +26,6 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or (in tests) a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext.applicationId
-        if own not in _own_folders:
-            _own_folders[own] = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        folder = _own_folders[own]
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    It cuts the lineage: what follows starts from files that survive a lost executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Node and smallest node reachable, for every node of ``edges`` (columns ``a``, ``b``, of one type).
 
@@ -70,7 +45,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # small star: a node and its smaller neighbours move to the smallest of them
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = materialize(small.unionAll(root.select("a", F.col("m").alias("b"))).distinct(), name)
+        before_stars, stars = stars, materialize(small.unionAll(root.select("a", F.col("m").alias("b"))).distinct(), name)
+        discard(before_stars, large)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(

@@ -1,20 +1,23 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``max_edits`` insertions, deletions and substitutions of each other are one class, and a corpus keeps
-one occurrence of each class. Distinct lines are cut into ``max_edits + 1`` segments, so that a line with at most
-that many edits still holds one segment unchanged. An index maps length, segment number and segment to lines; each
-line probes the indexes of the lengths within reach with the substrings at the few starts where a match can lie.
-What is found is checked by the parity of its words (an edit changes at most three) and verified by a banded
-bit-parallel edit distance.
-
-Longer lines also link when few of their words differ: one word in 20, at least one from six words on. A pair
-within that many word edits shares a run of words. Lines of up to 19 words meet by their first or last half; in
-longer ones the run is so long that both hold a window of equal word grams, whose smallest hash is a key of both.
-Members of a bucket first link to its smallest line (a star, not all pairs); only lines of different classes are
-then paired, so that a family of near copies costs no square.
-
-Everything is DataFrame expressions. Equal lines are grouped first, with a combine before the shuffle, so copies of
-a line are one row of the join; the join's rows hold hashes, not texts.
+Lines link within one character, and from six words on also when few of their words differ: one word edit in 20
+words, one at least. Edits are insertions, deletions and substitutions. Classes are what links join, and a corpus
+keeps one occurrence of each class.
+
+A line of few words is cut into ``max_edits + 1`` segments of characters, a line of up to 39 words into two segments
+of words, so that one segment of a linked pair is unchanged. An index maps length, segment number and segment to
+lines; each line probes it with the substrings at the few starts where a match can lie, for its own length and the
+one below. In longer lines a linked pair shares 13 words in a row, so that both choose the same word of a window
+(the one of the smallest hash), whose five words are a key of both.
+
+Buckets are settled without all pairs: members first link to their bucket's smallest line (a star), then only lines
+of different classes are paired. A bucket of more than ``BUCKET`` lines of different classes is split before that:
+two lines within t word edits share one of their t + 1 rarest words (of the words of such buckets), and lines within
+one character share half of what is left of them, again and again. What pairs up is checked by the parity of its
+words and verified by a banded bit-parallel edit distance, or by the distance of words.
+
+Everything is DataFrame expressions. Texts are read once for the keys, which are hashes; copies of a line are
+combined before each shuffle.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from parley.llm._shared import connected_components, materialize
 MAX_EDITS, MIN_CHARS = 1, 20
 #: A word edit is allowed for so many words, and one from ``FEW_WORDS`` on.
 WORDS_AN_EDIT, FEW_WORDS = 20, 6
-#: Words up to which a line meets others by its halves, words of a gram, and (words from, to, grams in a window):
-#: lines of 19 words and more within the allowed edits share 9 words in a row at least, from 39 on 13.
-HALVES, GRAM = 19, 5
-WINDOWS = ((HALVES, 2 * WORDS_AN_EDIT, 5), (2 * WORDS_AN_EDIT - 1, 1 << 30, 9))
-#: Lines to verify up to which their ids are broadcast (some 100 MB); beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Words from which lines meet by windows (two word edits are allowed from there), words of a window and of a key:
+#: lines of 40 words within the allowed edits share 13 words in a row at least.
+LONG, WINDOW, GRAM = 2 * WORDS_AN_EDIT, 9, 5
+#: Rows of a bucket with several classes above which it is split.
+BUCKET = 256
+#: Rows up to which keys or ids are broadcast (some 50 MB); beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _hash(line: Column) -> list[Column]:
@@ -61,14 +65,14 @@ def _index_keys(line: Column, length: Column, max_edits: int) -> Column:
     return F.array(*keys)
 
 
-def _probe_keys(line: Column, length: Column, max_edits: int) -> Column:
-    """Keys in the indexes of lines that are as long or up to ``max_edits`` shorter.
+def _probe_keys(line: Column, length: Column, max_edits: int, least: int = 0) -> Column:
+    """Keys in the indexes of lines that are as long (with ``least`` 0) or up to ``max_edits`` shorter.
 
     With i segments before and k behind a match, at most i edits lie before it or at most k behind, which leaves
     few starts.
     """
     keys = []
-    for shorter in range(max_edits + 1):
+    for shorter in range(least, max_edits + 1):
         other = length - shorter
         for i in range(max_edits + 1):
             start, size = _segment(other, i, max_edits + 1)
@@ -161,35 +165,9 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     return _let(pair, lambda p: _let(trimmed(p), lambda q: _let(trimmed(q), lambda r: walk(r["x"], r["y"]))))
 
 
-def link_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of ids (column ``lid``) of different lines (column ``line``) within ``max_edits`` edits.
-
-    Lines shorter than ``max_edits + 1`` characters can't be cut and link with nothing.
-    """
-    length = F.length("line")
-    sketch = lines.where(length > max_edits).select(
-        "lid", length.alias("n"), _word_parity(F.col("line")).alias("parity"), "line"
-    )
-    held = sketch.select(
-        F.explode(_index_keys(F.col("line"), F.col("n"), max_edits)).alias("key"),
-        F.col("lid").alias("a"),
-        F.col("parity").alias("parity_a"),
-    )
-    asked = sketch.select(
-        F.explode(_probe_keys(F.col("line"), F.col("n"), max_edits)).alias("key"),
-        F.col("lid").alias("b"),
-        F.col("parity").alias("parity_b"),
-    )
-    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 3 * max_edits
-    pairs = asked.join(held, "key").where((F.col("a") != F.col("b")) & alike)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_ROWS else ids
-    texts = materialize(lines.join(ids, "lid", "left_semi").select("lid", "line"), "line-texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
-    both = both.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits).select("a", "b")
+def _in_size(table: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """``table`` joined by ``key`` with ``other``, which is broadcast up to a checked size."""
+    return table.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, key)
 
 
 def allowed_word_edits(words: Column) -> Column:
@@ -197,33 +175,52 @@ def allowed_word_edits(words: Column) -> Column:
     return F.when(words < FEW_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(words / WORDS_AN_EDIT).cast("int")))
 
 
-def _word_keys(words: Column) -> Column:
-    """Keys of which two lines share one if they differ by the allowed word edits (or by one character, from 19 words on)."""
-    n = F.size(words)
-    halves = []
-    for shorter in (0, 1):  # the line with fewer words has as many as this one, or one less
-        least = n - shorter
-        half = F.floor(least / 2).cast("int")
-        halves.append(F.xxhash64(F.lit("front"), least, F.slice(words, 1, half)))
-        halves.append(F.xxhash64(F.lit("back"), least, F.slice(words, n - half + 1, half)))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-
-    def windows(grams: Column, size: int) -> Column:
-        least = F.transform(F.sequence(F.lit(1), F.size(grams) - size + 1), lambda i: F.array_min(F.slice(grams, i, size)))
-        return F.transform(F.array_distinct(least), lambda h: F.xxhash64(F.lit(size), h))
+def line_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
+    """A line's keys, each an array of the key and whether it is in the index (1) or only asks (0)."""
+    words = F.split(line, " ")
 
-    def grams(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - GRAM + 1), lambda i: F.xxhash64(F.slice(h, i, GRAM)))
+    def entries(keys: Column, held: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(bool(held)).alias("held")))
 
-    none = F.array().cast("array<long>")
-    keys = [F.when((n >= FEW_WORDS) & (n <= HALVES), F.array(*halves)).otherwise(none)]
-    within = [F.when((n >= first) & (n <= last), size) for first, last, size in WINDOWS]
+    def by_chars() -> Column:
+        n = F.length(line)
+        keys = F.concat(entries(_index_keys(line, n, max_edits), 1), entries(_probe_keys(line, n, max_edits, 1), 0))
+        return F.when(n > max_edits, keys).otherwise(none)
 
-    def by_window(g: Column) -> Column:
-        return F.concat(*[F.when(here.isNotNull(), windows(g, size)).otherwise(none) for here, (*_, size) in zip(within, WINDOWS, strict=True)])
+    def by_halves(w: Column, shorter: int) -> Column:
+        """For pairs of which the one with fewer words has as many as this line, or one less."""
+        least = F.size(w) - shorter
+        half = F.floor(least / 2).cast("int")
+        front = F.xxhash64(F.lit("front"), least, F.slice(w, 1, half))
+        back = F.xxhash64(F.lit("back"), least, F.slice(w, F.size(w) - half + 1, half))
+        return F.when((least >= FEW_WORDS) & (least < LONG), entries(F.array(front, back), 1 - shorter)).otherwise(none)
+
+    def by_windows(w: Column) -> Column:
+        # hash and place of a word in one number: the smallest of a window is the same word in both lines
+        place = (1 << 32) - 1
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
+
+        def chosen(h: Column) -> Column:
+            least = F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW - GRAM + 2), lambda i: F.array_min(F.slice(h, i, WINDOW)))
+            gram = lambda m: F.xxhash64(F.slice(w, m.bitwiseAND(F.lit(place)).cast("int") + 1, GRAM))
+            return entries(F.array_distinct(F.transform(F.array_distinct(least), gram)), 1)
+
+        return _let(hashes, chosen)
+
+    none = F.array().cast("array<struct<key:bigint,held:boolean>>")
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        return F.when((n > LONG) & F.lit(max_edits == 1), by_windows(w)).otherwise(
+            F.concat(
+                F.when((n <= FEW_WORDS) | F.lit(max_edits > 1), by_chars()).otherwise(none),
+                F.when(n >= FEW_WORDS, by_halves(w, 0)).otherwise(none),
+                F.when(n > FEW_WORDS, by_halves(w, 1)).otherwise(none),
+                F.when(n >= LONG, by_windows(w)).otherwise(none),
+            )
+        )
 
-    found = _let(hashes, lambda h: _let(grams(h), by_window))  # each computed once a line
-    return F.concat(*keys, F.when(n >= HALVES, found).otherwise(none))
+    return _let(words, of)
 
 
 def word_distance_within(a: Column, b: Column, most: Column) -> Column:
@@ -268,34 +265,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     apart = F.abs(F.col("n_a") - F.col("n_b"))
     near = (apart <= F.greatest(most, F.lit(max_edits))) & alike
     by_words = (apart <= most) & word_distance_within(F.split("line_a", " "), F.split("line_b", " "), most)
-    by_chars = F.call_function("levenshtein", "line_a", "line_b", F.lit(max_edits)) >= 0
+    by_chars = (F.abs(F.length("line_a") - F.length("line_b")) <= max_edits) & (edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits)
     return both.where(near).where(by_words | by_chars).select("a", "b")
 
 
-def link_lines_by_words(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Pairs ``a``, ``b`` of ids that join lines into the classes of ``allowed_word_edits`` (not every pair of a class).
-
-    Lines of 19 words and more also link within ``max_edits`` characters, if that is one.
+class _Links:
+    """Links found so far, and how buckets are settled."""
+
+    def __init__(self, texts: DataFrame, max_edits: int):
+        self.texts, self.max_edits, self.found = texts, max_edits, None
+
+    def _add(self, pairs: DataFrame) -> None:
+        links = materialize(_verified(pairs, self.texts, self.max_edits), "line-links")
+        self.found = links if self.found is None else self.found.unionAll(links)
+
+    def settle(self, keyed: DataFrame, split: bool) -> DataFrame | None:
+        """Link the lines of each bucket (columns ``key``, ``lid``, ``held``); rows of buckets that must be split first.
+
+        Without ``split`` every bucket is settled, whatever its size.
+        """
+        sizes = keyed.groupBy("key").agg(F.min(F.when(F.col("held"), F.col("lid"))).alias("pivot"), F.count("*").alias("n"))
+        shared = keyed.join(sizes.where("n > 1 and pivot is not null"), "key")
+        stars = shared.where("lid != pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
+        self._add(stars)
+        roots = connected_components(self.found, "line-star-classes")
+        known = shared.join(roots, shared.lid == roots.node, "left").select("key", "lid", "held", "n", F.coalesce("root", "lid").alias("root"))
+        known = materialize(known, "line-known")
+        # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself
+        major = known.groupBy("key", "root").agg(F.count("*").alias("k"), F.first("n").alias("n")).groupBy("key")
+        major = major.agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("classes"), F.first("n").alias("size")).where("classes > 1")
+        mixed = known.join(major.select("key", F.col("m.root").alias("major"), "size"), "key")
+        mixed = materialize(mixed.select("key", "lid", "held", "root", "major", "size"), "line-mixed")
+        cold = mixed.where(F.col("size") <= BUCKET) if split else mixed
+        minor = cold.where("root != major").select("key", F.col("lid").alias("x"), F.col("held").alias("x_held"), F.col("root").alias("x_root"))
+        met = minor.join(cold, "key").where("x_root != root and (held or x_held)")
+        self._add(met.select(F.least("x", "lid").alias("a"), F.greatest("x", "lid").alias("b")).distinct())
+        if not split:
+            return None
+        hot = mixed.where(F.col("size") > BUCKET).select("key", "lid", "held")
+        return None if hot.isEmpty() else hot
+
+    def by_rare_words(self, hot: DataFrame) -> DataFrame:
+        """Buckets of the lines of a hot bucket that share one of their rarest words, each occurrence being a word of its own."""
+        lids = hot.select("lid").distinct()
+        words = self.texts.join(lids, "lid").select("lid", F.explode(F.split("line", " ")).alias("word")).groupBy("lid", "word").agg(F.count("*").alias("k"))
+        words = words.select("lid", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k"), F.xxhash64("word").alias("w"))
+        words = materialize(words.select("lid", F.xxhash64("w", "k").alias("w")), "line-words")
+        frequency = words.groupBy("w").agg(F.count("*").alias("df"))
+        ranked = words.join(frequency, "w").withColumn("place", F.row_number().over(Window.partitionBy("lid").orderBy("df", "w")))
+        rare = ranked.join(self.texts.select("lid", allowed_word_edits(F.col("n")).alias("most")), "lid").where("place <= greatest(most, 1) + 1")
+        return hot.join(rare.select("lid", "w"), "lid").select(F.xxhash64("key", "w").alias("key"), "lid", "held")
+
+    def by_halves(self, hot: DataFrame) -> None:
+        """Settle what one character parts: lines in a hot bucket share one half of what they have not been found to share."""
+        texts = self.texts.where(F.col("n") <= LONG).select("lid", "line")  # in longer lines it is a matter of two word edits
+        asks = [hot.join(texts, "lid").select(F.col("key").alias("scope"), "lid", F.lit(role).alias("held"), F.col("line").alias("rest")).distinct() for role in (True, False)]
+        rest = asks[0].unionAll(asks[1])
+        while rest is not None:
+            rest = materialize(rest, "line-rests")
+            # length of the shorter line's rest: a row that only asks is one longer than the rows it can meet
+            least = F.length("rest") - F.when(F.col("held"), 0).otherwise(1)
+            cut = F.floor(least / 2).cast("int")
+            front, behind = F.greatest(cut, F.lit(1)), F.length("rest") - (least - cut)
+            sides = F.array(
+                F.struct(F.xxhash64("scope", F.lit("front"), least, F.substr("rest", F.lit(1), front)).alias("key"), F.substr("rest", front + 1).alias("rest")),
+                F.struct(F.xxhash64("scope", F.lit("back"), least, F.substr("rest", behind + 1)).alias("key"), F.substr("rest", F.lit(1), behind).alias("rest")),
+            )
+            halves = materialize(rest.where(least >= 1).select("lid", "held", F.explode(sides).alias("s")).select("s.key", "lid", "held", "s.rest"), "line-halves")
+            hot = self.settle(halves.select("key", "lid", "held"), True)
+            rest = None
+            if hot is not None:
+                keys = hot.select("key").distinct()
+                rest = halves.join(keys, "key").select(F.col("key").alias("scope"), "lid", "held", "rest").distinct()
+
+
+def link_keyed_lines(keyed: DataFrame, texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids that join lines into classes (not every pair of a class).
+
+    ``keyed`` has a row (``key``, ``lid``, ``held``) for each of a line's ``line_keys``, ``texts`` the lines
+    (``lid``, ``line``) of shared keys.
     """
-    keyed = lines.select("lid", F.explode(_word_keys(F.split("line", " "))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("lid").alias("pivot"), F.max("lid").alias("last")).where("pivot != last")
-    held = materialize(keyed.join(shared.select("key", "pivot"), "key"), "line-buckets")
-    ids = held.select("lid").distinct()
-    texts = lines.join(ids, "lid", "left_semi").select("lid", "line")
-    texts = materialize(texts.select("*", F.size(F.split("line", " ")).alias("n"), _word_parity(F.col("line")).alias("parity")), "bucket-texts")
-    stars = held.where("lid != pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
-    stars = materialize(_verified(stars, texts, max_edits), "line-stars")
-    roots = connected_components(stars, "line-star-classes")
-    known = held.join(roots, held.lid == roots.node, "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
-    known = materialize(known, "line-known")
-    # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself
-    major = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-    major = major.agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    mixed = known.join(major.select("key", F.col("m.root").alias("major")), "key")
-    minor = mixed.where("root != major").select("key", F.col("lid").alias("x"), F.col("root").alias("x_root"))
-    met = minor.join(mixed, "key").where("x_root != root")
-    met = met.select(F.least("x", "lid").alias("a"), F.greatest("x", "lid").alias("b")).distinct()
-    return stars.unionAll(_verified(met, texts, max_edits))
+    texts = materialize(texts.select("lid", "line", F.size(F.split("line", " ")).alias("n"), _word_parity(F.col("line")).alias("parity")), "line-texts")
+    links = _Links(texts, max_edits)
+    hot = links.settle(keyed, True)
+    if hot is not None:
+        hot = materialize(hot, "line-hot")
+        links.settle(links.by_rare_words(hot), False)
+        if max_edits == 1:
+            links.by_halves(hot)
+        else:
+            links.settle(hot, False)
+    return links.found
+
+
+def link_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """``link_keyed_lines`` of different lines (columns ``lid``, ``line``)."""
+    keyed = lines.select("lid", F.explode(line_keys(F.col("line"), max_edits)).alias("k")).select("k.key", "lid", "k.held")
+    return link_keyed_lines(materialize(keyed, "line-keys"), lines, max_edits)
 
 
 def find_duplicate_lines(
@@ -318,32 +384,42 @@ def find_duplicate_lines(
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = ["doc_id", "text_key"]
-    placed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    placed = placed.where(F.length("line") >= (min_chars if exact_chars is None else exact_chars))
-    distinct = placed.groupBy("line").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    distinct = materialize(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
-    lines = distinct.where(F.length("line") >= min_chars).select("lid", "line")
-    n_words = F.size(F.split("line", " "))
-    # from 19 words on a single edit is found by words
-    by_chars = lines.where(n_words <= HALVES) if max_edits == 1 else lines
-    links = link_lines(by_chars, max_edits).unionAll(link_lines_by_words(lines, max_edits))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.where(F.length("line") >= (min_chars if exact_chars is None else exact_chars))
+    near = F.length("line") >= min_chars
+    placed = lines.select(*key, "at", *_hash(F.col("line")), F.when(near, line_keys(F.col("line"), max_edits)).alias("keys"))
+    placed = materialize(placed, "line-places")
+    distinct = placed.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    distinct = materialize(distinct, "lines")
+
+    # keys that more than one line has, and their lines
+    keyed = placed.select(F.explode("keys").alias("k"), F.col("h").alias("lid")).select("k.key", "lid", "k.held")
+    shared = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("held").alias("held")).where("lo != hi and held")
+    shared = materialize(shared.select("key"), "line-shared-keys")
+    keyed = materialize(_in_size(keyed, "key", shared).distinct(), "line-keys")
+    ids = materialize(keyed.select("lid").distinct(), "line-ids")
+    met = lines.where(near).select(F.xxhash64("line").alias("lid"), "line")
+    met = _in_size(met, "lid", ids).groupBy("lid").agg(F.min("line").alias("line"))
+    links = link_keyed_lines(keyed, met, max_edits)
     classes = connected_components(links, "line-classes")
-    hashed = distinct.select("lid", "least", "copies", *_hash(F.col("line")))
-    member = hashed.join(classes, hashed.lid == classes.node, "left").where("copies > 1 or root is not null")
-    member = materialize(member.select("lid", "least", "h", "h2", F.coalesce("root", "lid").alias("root")), "line-members")
-    keeper = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "h", "lid")).alias("k"))
-    keeper = keeper.select("root", F.col("k.lid").alias("keeper"))
-    verdict = member.join(keeper, "root").select("h", "h2", "least", (F.col("lid") == F.col("keeper")).alias("stays"))
-
-    doubtful = placed.select(*key, "at", *_hash(F.col("line"))).join(verdict, ["h", "h2"])
+
+    # one line of each class stays; lines without a link are a class of their own
+    joined = distinct.join(classes, distinct.h == classes.node, "left").where("copies > 1 or root is not null")
+    member = materialize(joined.select("least", "h", "h2", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).alias("own")), "line-members")
+    keeper = member.groupBy("root", "own").agg(F.min(F.struct(F.col("least").isNull(), "least", "h", "h2")).alias("k"))
+    keeper = keeper.select(F.col("root").alias("k_root"), F.col("own").alias("k_own"), F.col("k.h").alias("k_h"), F.col("k.h2").alias("k_h2"))
+    stays = (F.col("h") == F.col("k_h")) & (F.col("h2") == F.col("k_h2"))
+    verdict = member.join(keeper, (F.col("root") == F.col("k_root")) & F.col("own").eqNullSafe(F.col("k_own"))).select("h", "h2", "least", stays.alias("stays"))
+
+    doubtful = placed.select(*key, "at", "h", "h2").join(verdict, ["h", "h2"])
     places = Window.partitionBy(*key, "h", "h2").orderBy("at")
     doubtful = doubtful.withColumn("first", F.rank().over(places) == 1)
     stays = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("least")) & F.col("first")
     dropped = doubtful.where(~stays).groupBy(*key).agg(
         F.array_sort(F.collect_set("at")).alias("dropped"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("at")))).alias("near")
     )
-    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    counted = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_lines"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"))
     on = counted.doc_id.eqNullSafe(dropped.doc_id) & (counted.text_key == dropped.text_key)
     none = F.array().cast("array<int>")
     n_near = F.coalesce(F.size("near"), F.lit(0))
@@ -364,20 +440,22 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     characters are not dropped: a corpus keeps its list marks, braces and one-word lines.
     """
     found = find_duplicate_lines(docs, id_col, text_col, exact_chars=exact_chars).where("size(dropped) > 0").distinct()
-    found = found.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), F.col("dropped").alias("d_lines"), F.col("n_lines").alias("d_n"))
-    on = docs[id_col].eqNullSafe(found.d_id) & (F.xxhash64(docs[text_col]) == found.d_key)
-    joined = docs.join(found, on, "left").where("d_lines is null or size(d_lines) < d_n")
+    found = materialize(found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "dropped", "n_lines"), "line-drops")
+    # the row goes through the join as one column, so no name of the user's can clash
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    on = rows.id.eqNullSafe(found.id) & (rows.key == found.key)
+    joined = rows.join(found, on, "left").where("dropped is null or size(dropped) < n_lines").select("row", "dropped")
+    text = F.col("row")[text_col]
     # the dropped numbers are in order: each kept piece lies between two of them
-    lines = F.split(F.col(text_col), "\n")
-    bounds = F.concat(F.array(F.lit(-1)), F.col("d_lines"), F.array(F.size(lines)))
+    lines = F.split(text, "\n")
+    bounds = F.concat(F.array(F.lit(-1)), F.col("dropped"), F.array(F.size(lines)))
     pieces = F.transform(
         F.sequence(F.lit(1), F.size(bounds) - 1),
         lambda k: _let(F.element_at(bounds, k), lambda before: F.slice(lines, before + 2, F.element_at(bounds, k + 1) - before - 1)),
     )
-    text = F.when(F.col("d_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    kept = joined.select(*columns)
+    kept = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    rows = joined.select(F.col("row"), kept.alias("kept"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("kept")}
     if n_chars_col in docs.columns:
-        counted = F.coalesce(F.length(F.col(text_col)), F.col(n_chars_col)).cast(docs.schema[n_chars_col].dataType)
-        kept = kept.withColumn(n_chars_col, counted)
-    return kept
+        columns[n_chars_col] = F.coalesce(F.length("kept"), F.col("row")[n_chars_col]).cast(docs.schema[n_chars_col].dataType)
+    return rows.select(*[c.alias(name) for name, c in columns.items()])

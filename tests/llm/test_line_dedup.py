@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from parley.llm.line_dedup import drop_duplicate_lines, edit_distance_within, find_duplicate_lines, link_lines, link_lines_by_words
+from parley.llm import line_dedup
+from parley.llm.line_dedup import drop_duplicate_lines, edit_distance_within, find_duplicate_lines, link_lines
 
 
 def distance(a, b):
@@ -34,17 +36,67 @@ def test_banded_distance_is_the_edit_distance_within_the_band(spark):
         assert all(min(r.d, most + 1) == min(distance(r.a, r.b), most + 1) for r in rows)
 
 
-def test_links_are_those_of_brute_force(spark):
+def classes(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def near(a, b, most=1):
+    """The rule in plain Python."""
+    x, y = a.split(" "), b.split(" ")
+    few = min(len(x), len(y))
+    words = 0 if few < 6 else max(1, few // 20)
+    if abs(len(a) - len(b)) <= most and min(len(a), len(b)) > most and distance(a, b) <= most:
+        return True
+    return bool(words) and abs(len(x) - len(y)) <= words and distance(x, y) <= words
+
+
+def linked(spark, lines, most=1):
+    """Classes that the operator finds; all its links follow the rule."""
+    rows = link_lines(spark.createDataFrame(list(enumerate(lines)), "lid long, line string"), most).collect()
+    assert all(near(lines[r.a], lines[r.b], most) for r in rows)
+    return classes(len(lines), [(r.a, r.b) for r in rows])
+
+
+def brute(lines, most=1):
+    return classes(len(lines), [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if near(a, b, most)])
+
+
+@pytest.mark.parametrize("bucket", [256, 3])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
     lines = sorted({x for pair in variants(random.Random(2), 150) for x in pair})
-    for most in (1, 2):
-        found = link_lines(spark.createDataFrame(list(enumerate(lines)), "lid long, line string"), most).collect()
-        expected = {
-            (i, j)
-            for i, a in enumerate(lines)
-            for j, b in enumerate(lines[i + 1 :], i + 1)
-            if min(len(a), len(b)) > most and distance(a, b) <= most
-        }
-        assert {(r.a, r.b) for r in found} == expected and len(found) == len(expected)
+    for most in (1, 2) if bucket > 3 else (1,):
+        assert linked(spark, lines, most) == brute(lines, most)
+
+
+def test_hot_segments_are_split(spark, monkeypatch):
+    """Families that share most of their words and differ in one place, in two, or in characters of one word."""
+    monkeypatch.setattr(line_dedup, "BUCKET", 8)
+    rng = random.Random(5)
+    key = lambda: "%06x" % rng.randrange(1 << 24)
+    lines = set()
+    for _ in range(40):
+        lines.add(f"the reading of the station near the river was {key()} today")
+        lines.add(f"the reading of the station near the lake was {key()} {key()} today")
+        lines.add(f"a reading of {key()} near the small river {key()} was good today")
+        lines.add(f"posted on {key()} by {key()}")
+        lines.add("in the long line " + "many words are the same in all of the lines " * 5 + f"but {key()} and {key()} and {key()} and {key()} are not")
+    for line in rng.sample(sorted(lines), 40):
+        at = rng.randrange(len(line))
+        lines.add(line[:at] + rng.choice(["", "x", " "]) + line[at + 1 :])
+        lines.add(line.replace(" by ", "by ", 1))
+    lines = sorted(lines)
+    assert linked(spark, lines) == brute(lines)
 
 
 LINE = "this line stands in several documents of the corpus"
@@ -89,29 +141,7 @@ def test_one_word_in_twenty_may_differ(spark):
             at = " ".join(base).index(" ")
             lines.add(" ".join(base)[:at] + " ".join(base)[at + 1 :])  # one character
     lines = sorted(lines)
-    root = list(range(len(lines)))
-
-    def find(of, x):
-        while of[x] != x:
-            x = of[x]
-        return x
-
-    split = [x.split(" ") for x in lines]
-    for i, a in enumerate(split):
-        for j in range(i):
-            few = min(len(a), len(split[j]))
-            most = 0 if few < 6 else max(1, few // 20)
-            if abs(len(a) - len(split[j])) > most + 1 or len(set(a) & set(split[j])) < few // 3:
-                continue
-            if (most and distance(a, split[j]) <= most) or (abs(len(lines[i]) - len(lines[j])) <= 1 and distance(lines[i], lines[j]) <= 1):
-                x, y = find(root, i), find(root, j)
-                root[max(x, y)] = min(x, y)
-    got = list(range(len(lines)))
-    rows = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
-    for r in link_lines_by_words(rows).unionAll(link_lines(rows.where("size(split(line, ' ')) <= 19"))).collect():
-        x, y = find(got, r.a), find(got, r.b)
-        got[max(x, y)] = min(x, y)
-    assert [find(got, i) for i in got] == [find(root, i) for i in root]
+    assert linked(spark, lines) == brute(lines)
 
 
 def test_a_line_with_one_word_swapped_is_near(spark):
@@ -125,3 +155,10 @@ def test_short_lines_repeat_too(spark):
     found = {r.doc_id: (r.n_exact, r.n_near, list(r.dropped)) for r in find_duplicate_lines(docs, exact_chars=1).collect()}
     assert found == {1: (1, 0, [2]), 2: (1, 0, [1])}
     assert {r.text for r in drop_duplicate_lines(docs).collect()} == {r.text for r in docs.collect()}
+
+
+def test_helper_names_may_be_columns_of_the_table(spark):
+    docs = spark.createDataFrame([(1, LINE, 1, 2, 3, 4), (2, LINE + "\nsomething else that stays here", 1, 2, 3, 4)],
+                                 "doc_id long, text string, dropped int, d_lines int, row int, id int")
+    kept = drop_duplicate_lines(docs)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {LINE, "something else that stays here"}
