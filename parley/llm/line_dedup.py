@@ -8,7 +8,7 @@ A line of few words is cut into ``max_edits + 1`` segments of characters, a line
 of words, so that one segment of a linked pair is unchanged. An index maps length, segment number and segment to
 lines; each line probes it with the substrings at the few starts where a match can lie, for its own length and the
 one below. In longer lines a linked pair shares 13 words in a row, so that both choose the same word of a window
-(the one of the smallest hash), whose five words are a key of both.
+(the one of the smallest hash), from which on seven words are a key of both.
 
 Buckets are settled without all pairs: members first link to their bucket's smallest line (a star), then only lines
 of different classes are paired. A bucket of more than ``BUCKET`` lines of different classes is split before that:
@@ -32,9 +32,9 @@ MAX_EDITS, MIN_CHARS = 1, 20
 WORDS_AN_EDIT, FEW_WORDS = 20, 6
 #: Words from which lines meet by windows (two word edits are allowed from there), words of a window and of a key:
 #: lines of 40 words within the allowed edits share 13 words in a row at least.
-LONG, WINDOW, GRAM = 2 * WORDS_AN_EDIT, 9, 5
+LONG, WINDOW, GRAM = 2 * WORDS_AN_EDIT, 7, 7
 #: Rows of a bucket with several classes above which it is split.
-BUCKET = 256
+BUCKET = 32
 #: Rows up to which keys or ids are broadcast (some 50 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -196,16 +196,36 @@ def line_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
         return F.when((least >= FEW_WORDS) & (least < LONG), entries(F.array(front, back), 1 - shorter)).otherwise(none)
 
     def by_windows(w: Column) -> Column:
-        # hash and place of a word in one number: the smallest of a window is the same word in both lines
-        place = (1 << 32) - 1
-        hashes = F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
+        """The words of a key from each word that has the smallest hash of some window.
 
-        def chosen(h: Column) -> Column:
-            least = F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW - GRAM + 2), lambda i: F.array_min(F.slice(h, i, WINDOW)))
-            gram = lambda m: F.xxhash64(F.slice(w, m.bitwiseAND(F.lit(place)).cast("int") + 1, GRAM))
-            return entries(F.array_distinct(F.transform(F.array_distinct(least), gram)), 1)
+        Words of small hashes are looked at first (one in four): such a word is the smallest of a window unless two
+        smaller ones stand close around it. A window without any is told by its last word. A few words more than
+        the smallest are chosen, which does no harm.
+        """
+        mask = (1 << 32) - 1
+        # hash and place of a word in one number
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(mask)).cast("int")
+
+        def chosen(small: Column) -> Column:
+            def smallest(x: Column, k: Column) -> Column:
+                before = [F.when(F.get(small, k - j) < x, place(F.get(small, k - j))) for j in (1, 2)]
+                behind = [F.when(F.get(small, k + j) < x, place(F.get(small, k + j))) for j in (1, 2)]
+                from_, to = F.coalesce(*before, place(x) - WINDOW), F.coalesce(*behind, place(x) + WINDOW)
+                return to - from_ > WINDOW
+
+            def gap(k: Column) -> Column:
+                first = F.coalesce(place(F.get(small, k - 1)), F.lit(-1)) + WINDOW
+                last = F.coalesce(place(F.get(small, k)), F.size(w)) - 1
+                return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+            gaps = F.flatten(F.transform(F.sequence(F.lit(0), F.size(small)), gap))
+            places = F.filter(F.concat(F.transform(F.filter(small, smallest), place), gaps), lambda i: i <= F.size(w) - GRAM)
+            return entries(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(w, i + 1, GRAM)))), 1)
 
-        return _let(hashes, chosen)
+        return _let(F.filter(hashes, lambda x: x < F.lit(-(1 << 62))), chosen)
 
     none = F.array().cast("array<struct<key:bigint,held:boolean>>")
 
@@ -257,16 +277,24 @@ def word_distance_within(a: Column, b: Column, most: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
-    """Those ``pairs`` of ids that the allowed word edits or ``max_edits`` characters part."""
-    one, two = (texts.select(*[F.col(c).alias(f"{c}_{x}") for c in texts.columns]) for x in "ab")
-    both = pairs.join(one, F.col("a") == F.col("lid_a")).join(two, F.col("b") == F.col("lid_b"))
+    """Those ``pairs`` of ids that the allowed word edits or ``max_edits`` characters part.
+
+    The parity of their words, a few bytes a line, drops most pairs before texts are fetched.
+    """
+
+    def sides(*columns: str) -> list[DataFrame]:
+        return [texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("lid", *columns)]) for x in "ab"]
+
+    def met(left: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+        return left.join(one, F.col("a") == F.col("lid_a")).join(two, F.col("b") == F.col("lid_b")).drop("lid_a", "lid_b")
+
     most = allowed_word_edits(F.least("n_a", "n_b"))
     alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= F.greatest(2 * most, F.lit(3 * max_edits))
     apart = F.abs(F.col("n_a") - F.col("n_b"))
-    near = (apart <= F.greatest(most, F.lit(max_edits))) & alike
+    near = met(pairs, *sides("n", "parity")).where((apart <= F.greatest(most, F.lit(max_edits))) & alike)
     by_words = (apart <= most) & word_distance_within(F.split("line_a", " "), F.split("line_b", " "), most)
     by_chars = (F.abs(F.length("line_a") - F.length("line_b")) <= max_edits) & (edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits)
-    return both.where(near).where(by_words | by_chars).select("a", "b")
+    return met(near, *sides("line")).where(by_words | by_chars).select("a", "b")
 
 
 class _Links:
