@@ -16,9 +16,13 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+#: What is not ASCII, Latin-1 without capitals, punctuation or CJK: where a text has none of it, ``lower`` changes A-Z alone.
+OTHER = r"[^\x00-\x7F\u00A0-\u00BF\u00D7\u00DF-\u00FF\u2000-\u206F\u3000-\u9FFF]"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    return F.when(text.rlike(OTHER), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

@@ -1,9 +1,11 @@
 """Licence scans by a positional rare-token index.
 
-Templates are short word sequences that name a licence. The index posts each template under the rarest of its
-mandatory words (highest inverse document frequency over the corpus). A file's licence words fetch the postings;
-a posting's place in its template fixes where the template would start in the file. There the template's mandatory
-key phrase must stand word for word; the share of the template's other words found in place is its score.
+Templates are short word sequences that name a licence. The index posts each template under the two rarest of its
+mandatory words (highest inverse document frequency over the corpus), with their places in the template. A file's
+words fetch the postings of the rarest; they are intersected with those of the second rarest by relative position.
+Where both stand, the mandatory key phrase must stand word for word; the share of the template's other words found in
+place is its score. A file's licence words are in order, so a template is compared with those around its rarest word
+only, and the work grows with the length of the text.
 
 Everything is DataFrame expressions. One pass over the texts keeps each file's licence words with their places;
 the rest works on that small table, row by row. Only the document frequencies of the template words are shuffled.
@@ -82,7 +84,8 @@ def scan_licenses(
     smallest and largest of them, in words from 0, else null); ``base_labels`` and ``labels`` (distinct, sorted,
     comma-joined, else empty); ``score`` (the largest share of a found template's words in place, else 0);
     ``places`` (label, start word and share of every notice found). Null text counts as empty. Repeated rows get
-    equal results; an empty table gives no rows. Only the two named columns are read.
+    equal results; an empty table gives no rows. Very long texts of notices take time in proportion to their length.
+    Keys have two words at least. Only the two named columns are read.
     """
     templates = [*base, *more]
     vocabulary = sorted({word for t in templates for word in t.tokens})
@@ -99,17 +102,19 @@ def scan_licenses(
     # inverse document frequency decides under which mandatory word a template is posted
     frequency = found.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w"))
     frequency = {r["w"]: r["count"] for r in frequency.groupBy("w").count().collect()}  # one row a template word
-    postings: dict[str, list[tuple[int, int]]] = {}
+    postings: dict[str, list[tuple[int, int, int]]] = {}
     for number, t in enumerate(templates):
         places = range(t.key_from, t.key_from + len(t.key.split()))
-        rarest = min(places, key=lambda k: (frequency.get(t.tokens[k], 0), k))
-        postings.setdefault(t.tokens[rarest], []).append((number, rarest))
+        first, second = sorted(places, key=lambda k: (frequency.get(t.tokens[k], 0), k))[:2]
+        postings.setdefault(t.tokens[first], []).append((number, first, second))
 
     index = F.array(
         *[
-            F.struct(F.lit(w).alias("w"), F.lit(number).alias("t"), F.lit(place).alias("at"))
+            F.struct(
+                F.lit(w).alias("w"), F.lit(number).alias("t"), F.lit(first).alias("at"), F.lit(templates[number].tokens[second]).alias("w2"), F.lit(second).alias("at2")
+            )
             for w, posted in sorted(postings.items())
-            for number, place in posted
+            for number, first, second in posted
         ]
     )
     known = F.array(
@@ -125,25 +130,31 @@ def scan_licenses(
         ]
     )
 
+    reach = max(len(t.tokens) for t in templates)
+
     def starts(hits: Column) -> Column:
-        """Template and start of every posting that a licence word of the file fetches."""
-        rare = F.filter(hits, lambda h: h["w"].isin(sorted(postings)))
-        fetched = F.transform(
-            rare,
-            lambda h: F.transform(
+        """Template, start and the words around it for every posting of a word whose second posting stands in place."""
+        numbered = F.transform(hits, lambda h, k: F.struct(h["w"].alias("w"), h["i"].alias("i"), k.alias("k")))
+        rare = F.filter(numbered, lambda h: h["w"].isin(sorted(postings)))
+
+        def fetched(h: Column) -> Column:
+            first = F.greatest(F.lit(0), h["k"] - reach)
+            near = F.slice(hits, first + 1, h["k"] - first + reach)
+            posted = F.filter(
                 F.filter(index, lambda p: p["w"] == h["w"]),
-                lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start")),
-            ),
-        )
-        return F.flatten(fetched)
+                lambda p: F.exists(near, lambda o: (o["w"] == p["w2"]) & (o["i"] - h["i"] == p["at2"] - p["at"])),
+            )
+            return F.transform(posted, lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start"), near.alias("near")))
+
+        return F.flatten(F.transform(rare, fetched))
 
     def around(hits: Column, start: Column, length: Column) -> Column:
         return F.filter(hits, lambda h: (h["i"] >= start) & (h["i"] < start + length))
 
-    def checked(hits: Column, candidate: Column) -> Column:
+    def checked(candidate: Column) -> Column:
         """The candidate with its template and the places of the template that hold the right word."""
         t = F.element_at(known, candidate["t"] + 1)
-        near = around(hits, candidate["start"], F.size(t["words"]))
+        near = around(candidate["near"], candidate["start"], F.size(t["words"]))
         in_place = F.filter(near, lambda h: h["w"] == F.element_at(t["words"], h["i"] - candidate["start"] + 1))
         of_key = F.filter(
             in_place,
@@ -159,7 +170,7 @@ def scan_licenses(
         )
 
     verified = F.filter(
-        F.transform(starts(F.col("hits")), lambda c: checked(F.col("hits"), c)), lambda c: c["key"] & (c["share"] >= enough)
+        F.transform(starts(F.col("hits")), checked), lambda c: c["key"] & (c["share"] >= enough)
     )
     rows = found.select("doc_id", "n_words", verified.alias("found"))
     of_base = F.filter("found", lambda c: c["base"])

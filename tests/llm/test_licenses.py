@@ -1,3 +1,8 @@
+import time
+
+from pyspark.sql import functions as F
+
+from parley.llm._shared import UPPER, ascii_lower
 from parley.llm.licenses import scan_licenses
 
 
@@ -28,3 +33,19 @@ def test_odd_rows(spark, odd, none):
     assert all(0 <= r.score <= 1 for r in rows)
     assert next(r.n_words for r in rows if r.doc_id == 5) == 8 * 3000
     assert scan_licenses(none).count() == 0
+
+
+def test_a_very_long_text_of_notices(spark):
+    notice = "Licensed under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of the work. "
+    docs = spark.createDataFrame([(1, notice * 100), (2, notice * 1200)], "doc_id long, text string")
+    scan_licenses(docs.where("doc_id = 1")).collect()  # plans and compiles
+    began = time.time()
+    found = scan_licenses(docs).where("doc_id = 2").first()
+    assert found.n_words == 1200 * 21 and found.n_base == 1200 and (found.first_word, found.last_word) == (1, 1199 * 21 + 1)
+    assert found.labels == "mit" and time.time() - began < 20
+
+
+def test_lower_case_of_a_to_z_alone(spark):
+    points = [(chr(i),) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame(points[:0x3000] + points[0xA000:0xB000] + points[0xF000:0x20000] + [("A\u03a3 \u0130B",)], "c string")
+    assert rows.where(ascii_lower(F.col("c")) != F.translate("c", UPPER, UPPER.lower())).count() == 0
