@@ -94,18 +94,12 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray) -> tuple
     return weights * ratios / norm, float(bias)
 
 
-def train(texts: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from ``texts`` (columns ``doc_id``, ``text``, ``toxic`` 0 or 1), null labels left out.
+def log_count_ratios(rows: DataFrame, totals: dict[int, int]) -> DataFrame:
+    """``bucket``, ``ratio`` and ``clear`` (standard errors between the shares of the classes) of every feature.
 
-    Log-count ratios cover every row. The regression sees the ``fit_rows`` rows with the smallest hash of their
-    id. The driver receives ``features`` ratios and those rows' features, whatever the size of the table. Without
-    rows of both classes every score is 0.5.
+    ``totals`` are the numbers of rows of class 0 and 1 in ``rows`` (``text``, ``toxic``).
     """
-    rows = materialize(texts.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int")), "toxicity")
-    totals = dict(rows.groupBy("toxic").count().collect())
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    if not clean or not toxic:
-        return Model(np.zeros(1 << BITS, np.int64), np.zeros(1), 0.0)
+    clean, toxic = totals[0], totals[1]
     counts = rows.mapInPandas(_document_counts, "bucket int, clean long, toxic long")
     counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + SMOOTHING) / (toxic + 2 * SMOOTHING)) - F.log(
@@ -114,8 +108,35 @@ def train(texts: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS)
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     gap = F.abs(F.col("toxic") / toxic - F.col("clean") / clean)
     clear = gap / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
-    best = counts.select("bucket", ratio.alias("ratio"), clear.alias("clear")).orderBy(F.desc("clear"), "bucket")
-    best = best.where(F.col("clear") >= CLEAR).limit(features).toPandas()
+    return counts.select("bucket", ratio.alias("ratio"), clear.alias("clear"))
+
+
+def fit_sample(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFrame:
+    """Some ``fit_rows`` of ``rows``, half of them of each class; all of a class that is smaller.
+
+    Rows are chosen by a hash of their id and text below a bound that follows from the totals, so nothing is
+    sorted and no text leaves its partition.
+    """
+    few = min(totals.values())
+    quota = {c: n if n <= fit_rows // 2 else max(fit_rows // 2, fit_rows - few) for c, n in totals.items()}
+    scale = 1 << 31
+    bound = F.when(F.col("toxic") == 1, int(scale * min(1.0, quota[1] / totals[1]))).otherwise(int(scale * min(1.0, quota[0] / totals[0])))
+    return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < bound)
+
+
+def train(texts: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
+    """Learn from ``texts`` (columns ``doc_id``, ``text``, ``toxic`` 0 or 1), null labels left out.
+
+    Log-count ratios cover every row. The regression sees ``fit_sample``: all of a class that has no more than half of
+    ``fit_rows``. The driver receives at most ``features`` ratios (those that are ``CLEAR`` standard errors apart, the
+    clearest first) and at most twice ``fit_rows`` rows' features, whatever the size of the table. Without rows of
+    both classes every score is 0.5.
+    """
+    rows = materialize(texts.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int")), "toxicity")
+    totals = dict(rows.groupBy("toxic").count().collect())
+    if not totals.get(0) or not totals.get(1):
+        return Model(np.zeros(1 << BITS, np.int64), np.zeros(1), 0.0)
+    best = log_count_ratios(rows, totals).where(F.col("clear") >= CLEAR).orderBy(F.desc("clear"), "bucket").limit(features).toPandas()
     place = np.full(1 << BITS, len(best), np.int64)
     place[best["bucket"].to_numpy()] = np.arange(len(best))
     model = Model(place, np.zeros(len(best) + 1), 0.0)
@@ -124,10 +145,10 @@ def train(texts: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS)
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "found": [model.features(x) for x in batch["text"]]})
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    fitted = sample.mapInPandas(featured, "toxic int, found array<int>").toPandas()
+    sample = fit_sample(rows, totals, fit_rows).mapInPandas(featured, "toxic int, found array<int>")
+    fitted = sample.limit(2 * fit_rows).toPandas()  # copies of one row share its hash
     if fitted["toxic"].nunique() < 2:
-        raise ValueError("the sample that the regression is fitted on holds one class only; raise fit_rows")
+        return Model(place, np.zeros(len(best) + 1), 0.0)
     weights, bias = _fit(list(fitted["found"]), fitted["toxic"].to_numpy(), best["ratio"].to_numpy())
     return Model(place, np.append(weights, 0.0), bias)
 
