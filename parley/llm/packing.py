@@ -11,11 +11,12 @@ its own. A group is large next to a bin, so that what its last bins leave empty
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm._shared import materialize
+
 CAPACITY = 2048
 #: Pieces in a group, on average.
 GROUP_PIECES = 4000
@@ -103,7 +104,8 @@ def pack_documents(
     space); ``first_word`` (where the piece begins in the document); ``bin_id``; ``bin_offset``; ``group``.
     ``cluster_col`` names the cluster of duplicates; by default equal texts are one. A null source conflicts with
     nothing. A null or blank text is one piece of no words. Rows that repeat a text are each packed, in different
-    bins. Ties in size are broken by a hash of the id, then by the id and the text. An empty table gives no rows.
+    bins. Pieces of equal size go in the order of ids (null first), text hashes and places. The tightest bin is searched
+    in the piece's own group, of ``group_pieces`` pieces on average. An empty table gives no rows.
     Only the named columns are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -116,21 +118,19 @@ def pack_documents(
         text_hash.alias("text_hash"),
     )
     n_pieces = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("words") / capacity))
-    pieces = rows.withColumn("n_pieces", n_pieces).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1))
-    )
+    rows = materialize(rows.withColumn("n_pieces", n_pieces), "packing-rows")
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)))
     pieces = pieces.withColumn("first_word", F.col("piece") * capacity)
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("first_word")))
     # pieces of a text that repeats are dealt apart as well, so that no group fills with one cluster
-    groups = max(1, docs.count() // group_pieces)
+    groups = max(1, (rows.agg(F.sum("n_pieces")).first()[0] or 0) // group_pieces)
     deal = F.pmod(F.xxhash64("doc_id", "piece", "text_hash"), F.lit(groups)).cast("int")
     pieces = pieces.select(
         "doc_id", "piece", "n_pieces", "n_words", "first_word", "source", "cluster", "text_hash", deal.alias("group")
     )
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((group["piece"], group["text_hash"], group["doc_id"].fillna(-1), -group["n_words"]))
-        group = group.iloc[order]
+        group = group.assign(size=-group["n_words"]).sort_values(["size", "doc_id", "text_hash", "piece"], na_position="first")
         sources, clusters = _bits(group["source"]), _bits(_alone(group["cluster"]))
         bins = Bins(capacity)
         placed = [bins.add(*x) for x in zip(group["n_words"].tolist(), sources, clusters, strict=True)]
