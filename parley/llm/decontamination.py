@@ -1,13 +1,14 @@
 """Benchmark decontamination by a prefix-filtered join of word shingles.
 
 Items are cut into windows of ``window`` words (a shorter item is one window) and windows into shingles of
-``shingle`` words. In the order of rarity over the corpus, a window's first shingle is necessary: a document that
-holds the window holds it. Only documents with such a shingle, in a place that leaves room for the window, are
-candidates, each with the place where the item would start. A candidate's matching shingles are then laid along
-the item; a run without a gap and of a window's length is an exact occurrence of the windows inside it.
-
-Everything is DataFrame expressions. Texts are read once for the matches and once for their lengths; what is
-shuffled are the places of matching shingles.
+``shingle`` words. In the order of rarity over the benchmark, a window's first shingle is necessary: a document that
+holds the window holds it. These prefixes alone are joined with the documents; a match in a place that leaves room
+for the window makes a candidate, with the place where the item would start. Only the documents of candidates meet
+all the shingles of the benchmark, which are then laid along the candidate items; a run without a gap and of a
+window's length is an exact occurrence of the windows inside it.
+
+Everything is DataFrame expressions. Shingles are compared by their hashes; what is shuffled are the places of
+matching shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm._shared import ALNUM_WORD, ascii_lower, materialize
+from parley.llm._shared import ALNUM_WORD, ANY_CASE_WORD, ascii_lower, materialize
 
 WINDOW, SHINGLE = 13, 5
 #: Shingles of the benchmark up to which they are broadcast (some 20 MB); beyond, Spark joins by shuffle.
@@ -26,11 +27,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), 0)
 
 
-def _shingles(words: Column, length: int) -> Column:
-    """Every ``length`` consecutive words, space-joined; none if there are fewer."""
-    last = F.size(words) - length
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, length), " "))
-    return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
+def _shingles(words: Column, lengths: list[int]) -> Column:
+    """Place and hash of every run of ``k`` words, for each ``k`` of ``lengths``."""
+
+    def of(k: int) -> Column:
+        last = F.size(words) - k
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), F.slice(words, i + 1, k)).alias("sid")))
+        return F.when(last >= 0, made).otherwise(F.array().cast("array<struct<pos:int,sid:bigint>>"))
+
+    return F.concat(*map(of, lengths))
 
 
 def _same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
@@ -62,50 +67,31 @@ def find_contamination(
     items = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text_col)).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id())
     items = materialize(items.withColumn("k", F.least(F.size("words"), F.lit(shingle))), "benchmark-items")
-    lengths = [r["k"] for r in items.select("k").distinct().collect()]  # 1 to ``shingle``
-    placed = None
-    for k in lengths:
-        one = items.where(F.col("k") == k).select(
-            "item_id", "item", "k", F.size("words").alias("item_words"), F.posexplode(_shingles(F.col("words"), k)).alias("at", "text")
-        )
-        placed = one if placed is None else placed.unionAll(one)
+    lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # of 1 to ``shingle``
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("text_key"),
-        F.regexp_count(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(ALNUM_WORD)).cast("long").alias("n_words"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),
     )
     nothing = F.sha2(F.lit(""), 256)
-    if placed is None:
+    if not lengths:
         zero = F.lit(0).cast("long")
         return texts.select(
             "doc_id", "n_words", zero.alias("n_hit"), zero.alias("n_items"), nothing.alias("items_sha256"),
             F.lit(False).alias("contaminated"), "text_key",
         )
-    placed = materialize(placed, "benchmark-shingles")
-    known = materialize(placed.select("text").distinct().withColumn("sid", F.monotonically_increasing_id()), "benchmark-ids")
-    wanted = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-
-    # where the documents hold a shingle of the benchmark
-    matches = None
-    words = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), _words(F.col(text_col)).alias("words")
-    )
+    placed = None
     for k in lengths:
-        each = words.select(
-            "doc_id", "text_key", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "text")
-        )
-        each = each.join(wanted, "text").select("doc_id", "text_key", "n", "pos", "sid")
-        matches = each if matches is None else matches.unionAll(each)
-    matches = materialize(matches, "benchmark-matches")
-
-    # the rarest shingle of each window, over all documents
-    placed = placed.join(known, "text").drop("text")
-    frequency = matches.groupBy("sid").agg(F.count("*").alias("df"))
-    held = placed.join(frequency, "sid")  # a window with a shingle that no document holds cannot occur
+        one = items.where(F.col("k") == k).select("item_id", "item", "k", F.size("words").alias("item_words"), F.explode(_shingles(F.col("words"), [k])).alias("s"))
+        placed = one if placed is None else placed.unionAll(one)
+    placed = placed.select("item_id", "item", "k", "item_words", F.col("s.pos").alias("at"), F.col("s.sid").alias("sid"))
     run = F.least(F.lit(window), F.col("item_words")) - F.col("k") + 1
-    placed = placed.withColumn("run", run)
+    placed = materialize(placed.withColumn("run", run), "benchmark-shingles")
+
+    # the rarest shingle of each window, over the benchmark
+    frequency = placed.groupBy("sid").agg(F.count("*").alias("df"))
     ahead = Window.partitionBy("item").orderBy("at").rangeBetween(Window.currentRow, window - shingle)
-    windows = placed.join(frequency, "sid", "left").withColumn("in_window", F.count("df").over(ahead))
+    windows = placed.join(frequency, "sid").withColumn("in_window", F.count("df").over(ahead))
     windows = windows.withColumn("rarest", F.min(F.struct("df", "at", "sid")).over(ahead)).where("in_window = run")
     necessary = windows.select(
         "item",
@@ -114,14 +100,30 @@ def find_contamination(
         F.col("at").alias("first"),
         (F.col("at") + F.least(F.lit(window), F.col("item_words"))).alias("end"),
     )
+    necessary = materialize(necessary, "benchmark-prefixes")
+
+    def matches(of: DataFrame, known: DataFrame) -> DataFrame:
+        """Where documents hold a shingle of ``known``; one pass over their texts."""
+        known = known.select("sid").distinct()
+        known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+        words = of.select("doc_id", "text_key", _words(F.col("text")).alias("words"))
+        each = words.select("doc_id", "text_key", F.size("words").alias("n"), F.explode(_shingles(F.col("words"), lengths)).alias("s"))
+        return each.select("doc_id", "text_key", "n", F.col("s.pos").alias("pos"), F.col("s.sid").alias("sid")).join(known, "sid")
+
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     start = F.col("pos") - F.col("at")
-    candidates = matches.join(necessary, "sid").where((start + F.col("first") >= 0) & (start + F.col("end") <= F.col("n")))
-    candidates = candidates.select("doc_id", "text_key", "item", start.alias("start")).distinct()
+    candidates = matches(whole, necessary).join(necessary, "sid").where((start + F.col("first") >= 0) & (start + F.col("end") <= F.col("n")))
+    candidates = materialize(candidates.select("doc_id", "text_key", "item", start.alias("start")).distinct(), "benchmark-candidates")
+
+    # all the shingles of the benchmark, in the documents of candidates only
+    few = candidates.select("doc_id", "text_key").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    met = whole.join(few, _same(whole, few, "doc_id", "text_key"), "left_semi")
+    matched = materialize(matches(met, placed), "benchmark-matches")
 
     # verify: matching shingles along the item, without a gap
-    laid = matches.join(held.join(placed.select("item", "at", "run"), ["item", "at"]), "sid")
-    laid = laid.select("doc_id", "text_key", "item_id", "item", "k", "run", "pos", start.alias("start")).distinct()
-    laid = laid.join(candidates, _same(laid, candidates, "doc_id", "text_key", "item", "start"), "left_semi")
+    laid = candidates.join(placed, "item").withColumn("pos", F.col("start") + F.col("at")).drop("at")
+    laid = laid.join(matched, _same(laid, matched, "doc_id", "text_key", "pos", "sid"), "left_semi").drop("sid", "item_words")
     along = Window.partitionBy("doc_id", "text_key", "item", "start").orderBy("pos")
     laid = laid.withColumn("island", F.col("pos") - F.row_number().over(along))
     runs = laid.groupBy("doc_id", "text_key", "item_id", "item", "start", "island", "k", "run").agg(
