@@ -301,11 +301,20 @@ class _Links:
     """Links found so far, and how buckets are settled."""
 
     def __init__(self, texts: DataFrame, max_edits: int):
-        self.texts, self.max_edits, self.found = texts, max_edits, None
+        self.texts, self.max_edits, self.found, self.roots = texts, max_edits, None, None
 
     def _add(self, pairs: DataFrame) -> None:
         links = materialize(_verified(pairs, self.texts, self.max_edits), "line-links")
-        self.found = links if self.found is None else self.found.unionAll(links)
+        if self.found is None:
+            self.found = links
+        elif not links.isEmpty():
+            self.found, self.roots = self.found.unionAll(links), None
+
+    def _classes(self) -> DataFrame:
+        """The classes of the links so far."""
+        if self.roots is None:
+            self.roots = connected_components(self.found, "line-star-classes")
+        return self.roots
 
     def settle(self, keyed: DataFrame, split: bool) -> DataFrame | None:
         """Link the lines of each bucket (columns ``key``, ``lid``, ``held``); rows of buckets that must be split first.
@@ -313,10 +322,12 @@ class _Links:
         Without ``split`` every bucket is settled, whatever its size.
         """
         sizes = keyed.groupBy("key").agg(F.min(F.when(F.col("held"), F.col("lid"))).alias("pivot"), F.count("*").alias("n"))
-        shared = keyed.join(sizes.where("n > 1 and pivot is not null"), "key")
+        shared = materialize(keyed.join(sizes.where("n > 1 and pivot is not null"), "key"), "line-buckets")
+        if self.found is not None and shared.isEmpty():
+            return None
         stars = shared.where("lid != pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
         self._add(stars)
-        roots = connected_components(self.found, "line-star-classes")
+        roots = self._classes()
         known = shared.join(roots, shared.lid == roots.node, "left").select("key", "lid", "held", "n", F.coalesce("root", "lid").alias("root"))
         known = materialize(known, "line-known")
         # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself

@@ -85,13 +85,13 @@ def test_hot_segments_are_split(spark, monkeypatch):
     rng = random.Random(5)
     key = lambda: "%06x" % rng.randrange(1 << 24)
     lines = set()
-    for _ in range(40):
+    for _ in range(24):
         lines.add(f"the reading of the station near the river was {key()} today")
         lines.add(f"the reading of the station near the lake was {key()} {key()} today")
         lines.add(f"a reading of {key()} near the small river {key()} was good today")
         lines.add(f"posted on {key()} by {key()}")
         lines.add("in the long line " + "many words are the same in all of the lines " * 5 + f"but {key()} and {key()} and {key()} and {key()} are not")
-    for line in rng.sample(sorted(lines), 40):
+    for line in rng.sample(sorted(lines), 24):
         at = rng.randrange(len(line))
         lines.add(line[:at] + rng.choice(["", "x", " "]) + line[at + 1 :])
         lines.add(line.replace(" by ", "by ", 1))
