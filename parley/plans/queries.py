@@ -117,6 +117,12 @@ def claim_results(spark: SparkSession, folder: str) -> DataFrame:
     return claims.verdicts(claims.with_evidence(detected_claims(turns), evidence(spark, turns)))
 
 
+def recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = utterances_from_events(spark, folder)
+    mood = signals.sentiment_aggregate(turns, ["session_id"]).where("label = 'negative'")
+    return recommend.run_recommendations(turns, claim_results(spark, folder), negative=mood)
+
+
 def signals_table(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("samples"))
 
@@ -163,8 +169,6 @@ QUERIES |= {
     "email_recommendations": _detector(recommend.email_recommendations),
     "escalation_recommendations": _detector(recommend.escalation_recommendations),
     "review_recommendations": lambda spark, folder: recommend.review_recommendations(claim_results(spark, folder)).drop("payload"),
-    "recommendations": lambda spark, folder: recommend.run_recommendations(
-        utterances_from_events(spark, folder), claim_results(spark, folder)
-    ),
+    "recommendations": lambda spark, folder: recommendations(spark, folder),
     "agent_context": _of_turns(lambda t: recommend.agent_context(t)),
 }

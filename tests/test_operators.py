@@ -140,6 +140,54 @@ def test_recommendations_collapse_and_rank(spark):
     assert recommend.run_recommendations(turns.limit(0)).count() == 0
 
 
+def test_recommendations_match_the_rule_in_plain_python(spark):
+    """Marks and similar titles against the rule written out over all pairs."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    words = ["send", "the", "report", "reports", "contract", "offer", "to", "Maria", "Marie", "will", "please", "call"]
+    rows = [(f"s{i % 4}", f"u{rng.randrange(25)}", i, "please " + " ".join(rng.choices(words, k=5)) + rng.choice(["", " by Friday", " today"]), rng.choice([None, 0.2, 0.9]))
+            for i in range(120)]
+    turns = spark.createDataFrame(rows, "session_id string, utt_id string, pos long, text string, confidence double").dropDuplicates(["session_id", "utt_id"]).cache()
+    candidates = recommend.collect_recommendations(turns).collect()
+    heard = {(r.session_id, r.utt_id): (r.pos, r.confidence) for r in turns.collect()}
+
+    def same(x, y):
+        close = SequenceMatcher(None, x.title.lower(), y.title.lower()).ratio() >= 0.82
+        person = x.assignee and (x.assignee, x.deadline) == (y.assignee, y.deadline)
+        return bool(close or person or x.segment_id == y.segment_id)
+
+    expected = set()
+    for key in {(r.session_id, r.action_type) for r in candidates}:
+        group = sorted((r for r in candidates if (r.session_id, r.action_type) == key), key=lambda r: (heard[r.session_id, r.segment_id][0], r.segment_id))
+        scores = []
+        for i, r in enumerate(group):
+            asr = heard[r.session_id, r.segment_id][1]
+            extra = 0.0 if asr is None else max(-0.05, min(0.05, (asr - 0.8) * 0.25))
+            again = sum(same(r, o) for j, o in enumerate(group) if j != i)
+            scores.append(round(max(0.0, min(1.0, r.confidence + extra + 0.03 * min(2, again))), 4))
+        kept = []
+        for i in sorted(range(len(group)), key=lambda i: -scores[i]):
+            if not any(same(group[i], group[k]) for k in kept):
+                kept.append(i)
+        expected |= {(*key, group[i].segment_id, scores[i]) for i in kept}
+    found = {(r.session_id, r.action_type, r.segment_id, r.confidence) for r in recommend.run_recommendations(turns).collect()}
+    assert found == expected and len(found) < len(candidates)
+
+
+def test_claims_of_two_turns_stay_apart_and_negative_sessions_escalate(spark):
+    claims_ = spark.createDataFrame([("s", "u1", "claim_1", "Bitcoin is 5", "FALSE", 0.9), ("s", "u2", "claim_1", "gold costs 7 an ounce today", "UNSUPPORTED_CLAIM_TYPE", 0.0)],
+                                    "session_id string, utt_id string, claim_id string, claim_text string, verdict string, confidence double")
+    turns = session(spark, ("a", 0, 1, "I want a refund"))
+    key = turns.first().session_id
+    reviews = [r for r in recommend.run_recommendations(turns, claims_).collect() if r.action_type == "FACT_CHECK"]
+    assert {r.claim_id for r in reviews} == {"u1/claim_1", "u2/claim_1"}
+    plain, raised = (recommend.run_recommendations(turns, negative=n).first().confidence for n in (None, spark.createDataFrame([(key,)], "session_id string")))
+    assert abs(raised - plain - 0.1) < 1e-9
+    glued = spark.createDataFrame([(1, "USDtoEUR 1.10")], "id int, text string")
+    assert [r.subject for r in claims.detect_claims(glued, ["id"]).collect()] == ["USD/EUR"]
+
+
 def test_interval_joins_match_the_naive_ones(spark):
     rng = random.Random(3)
     words = [(f"s{rng.randrange(3)}", i, 0, f"w{i}", float(s := rng.randrange(0, 200_000)), float(s + rng.randrange(1, 70_000))) for i in range(80)]
