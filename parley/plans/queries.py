@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import claims, escalation, language, metrics, quality, recommend, scores, signals, timeline
 from parley.plans.bundle import SPEAKER, Bundle, build_bundle
 from parley.sources.adapters import read_table, utterances_from_events
+from parley.sources.scratch import materialize
 from parley.thresholds import Thresholds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,9 +119,10 @@ def claim_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    turns = utterances_from_events(spark, folder)
+    turns = materialize(utterances_from_events(spark, folder), "turns")
     mood = signals.sentiment_aggregate(turns, ["session_id"]).where("label = 'negative'")
-    return recommend.run_recommendations(turns, claim_results(spark, folder), negative=mood)
+    results = claims.verdicts(claims.with_evidence(detected_claims(turns), evidence(spark, turns)))
+    return recommend.run_recommendations(turns, results, negative=mood)
 
 
 def signals_table(spark: SparkSession, folder: str) -> DataFrame:

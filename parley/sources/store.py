@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.sources.scratch import materialize
+
 PARTITIONS = 64
 
 
@@ -60,6 +62,40 @@ def without(rows: DataFrame, keys: DataFrame, key: str = "session_id") -> DataFr
     return rows.join(keys.select(key), key, "left_anti")
 
 
+def delete(spark: SparkSession, path: str, keys: DataFrame, key: str = "session_id", parts: int = PARTITIONS) -> DataFrame:
+    """Delete by key and rewrite the partitions that held one; each of ``keys`` and whether it ``existed``."""
+    keys = keys.select(key).distinct()
+    stored = _read(spark, path)
+    if stored is None:
+        return keys.withColumn("existed", F.lit(False))
+    held = materialize(stored.join(keys, key, "left_semi").select(key, "part"), "deleted")
+    touched = [r["part"] for r in held.select("part").distinct().collect()]  # at most ``parts``
+    if touched:
+        rest = materialize(without(stored.where(F.col("part").isin(touched)), held, key), "rest")
+        left = {r["part"] for r in rest.select("part").distinct().collect()}
+        _write(rest, path)
+        for part in set(touched) - left:  # partitions that the deletion leaves empty
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return keys.join(held.select(key, F.lit(True).alias("existed")).distinct(), key, "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+
+
+def counts(rows: DataFrame, key: str = "session_id") -> DataFrame:
+    """Number of rows and of keys of a stored table."""
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"))
+
+
+def write_stage(rows: DataFrame, path: str, stage: str, run_date: str) -> None:
+    """A stage's output for a day; running the day again replaces it."""
+    day = rows.withColumn("run_date", F.lit(run_date))
+    day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{path}/{stage}")
+
+
+def read_stage(spark: SparkSession, path: str, stage: str) -> DataFrame | None:
+    """All days of a stage, or nothing if it never ran."""
+    return _read(spark, f"{path}/{stage}")
+
+
 def newest_first(rows: DataFrame, n: int, key: str = "session_id", at: str = "updated_at") -> DataFrame:
     """The page of the ``n`` rows updated last: keys and times are sorted, and only the page's rows are fetched."""
     page = rows.select(key, at).orderBy(F.desc(at), key).limit(n)
