@@ -173,7 +173,7 @@ def normalize(payloads: DataFrame) -> DataFrame:
 
 
 def session_advisories(utterances: DataFrame) -> DataFrame:
-    """What a session lacks, as codes."""
+    """What a session lacks, as codes; a session that lacks nothing has one row without a code."""
     sums = utterances.groupBy("session_id").agg(
         F.count("*").alias("n"),
         F.count_distinct("speaker").alias("speakers"),
@@ -192,7 +192,7 @@ def session_advisories(utterances: DataFrame) -> DataFrame:
         F.when(F.col("sentiments") == 0, "no_sentiment"),
         F.when(F.col("emotions") == 0, "no_emotion"),
     )
-    return sums.select("session_id", F.explode(F.array_compact(codes)).alias("code"))
+    return sums.select("session_id", F.explode_outer(F.array_compact(codes)).alias("code"))
 
 
 def out_of_order(utterances: DataFrame) -> DataFrame:

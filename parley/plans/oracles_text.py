@@ -65,7 +65,7 @@ def _group(kind: str, names: list[str], name: str) -> str:
     plain = dict(c.PATTERNS)[kind].replace("(?i)", "")
     for n in names:
         plain = plain.replace(f"(?P<{n}>", "(")
-    return f"regexp_extract(text, {_q(plain)}, {names.index(name) + 1}{flags})"
+    return f"regexp_extract(text, {_q(plain)}, {names.index(name) + 1 if name else 0}{flags})"
 
 
 def _case(name: str, table: dict[str, str]) -> str:
@@ -74,7 +74,7 @@ def _case(name: str, table: dict[str, str]) -> str:
 
 def _kind(kind: str, names: list[str], subject: str, value: str, text: str) -> str:
     hit = _group(kind, names, names[0])
-    return f"SELECT session_id, utt_id, start_ms claim_ms, '{kind}' claim_type, {subject} subject, {value} \"value\", {text} value_text FROM u WHERE {hit} <> ''"
+    return f"SELECT session_id, utt_id, start_ms claim_ms, '{kind}' claim_type, {subject} subject, {value} \"value\", {text} value_text, {_group(kind, names, '')} claim_text, text FROM u WHERE {hit} <> ''"
 
 
 def _num(kind: str, names: list[str]) -> str:
@@ -102,7 +102,7 @@ VERDICTS = f"""ev AS (SELECT claim_type, subject, fetched_ms, actual, actual_tex
     (SELECT DISTINCT start_ms - 20000 fetched_ms FROM u WHERE speaker = 'agent'), (VALUES {_known}) k(claim_type, subject, actual, actual_text, source)),
   aj AS (SELECT cl.*, e.fetched_ms f, CASE WHEN claim_ms - e.fetched_ms <= 60000 THEN e.fetched_ms END fetched_ms,
       e.actual a, e.actual_text at_, e.source s FROM cl ASOF LEFT JOIN ev e ON cl.claim_type = e.claim_type AND cl.subject = e.subject AND cl.claim_ms >= e.fetched_ms),
-  aw AS (SELECT session_id, utt_id, claim_ms, claim_type, subject, "value", value_text, fetched_ms, CASE WHEN fetched_ms IS NOT NULL THEN a END actual,
+  aw AS (SELECT session_id, utt_id, claim_ms, claim_type, subject, "value", value_text, claim_text, fetched_ms, CASE WHEN fetched_ms IS NOT NULL THEN a END actual,
       CASE WHEN fetched_ms IS NOT NULL THEN at_ END actual_text, CASE WHEN fetched_ms IS NOT NULL THEN s END source FROM aj),
   ad AS (SELECT *, CASE WHEN claim_type NOT IN ('STATIC_FACT', 'COMMODITY_PRICE') AND actual <> 0 THEN round(abs("value" - actual) / abs(actual) * 100, 2) END diff_pct FROM aw),
   av AS (SELECT *, CASE WHEN claim_type = 'COMMODITY_PRICE' THEN 'UNSUPPORTED_CLAIM_TYPE' WHEN fetched_ms IS NULL THEN 'SOURCE_UNAVAILABLE'
@@ -199,6 +199,26 @@ ORACLES: dict[str, str] = {
     ),
     "broken_words": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(\\S{40})', '\\1 ', 'g'), '(\\S{40}) (\\s|$)', '\\1\\2', 'g')) broken FROM documents",
     "audio_quality": AUDIO,
+    "claims": _on_u(
+        "SELECT session_id, utt_id, claim_ms, instr(text, claim_text) - 1 \"start\", instr(text, claim_text) - 1 + length(claim_text) \"end\", claim_type, claim_text, "
+        "subject, \"value\", value_text, 'claim_1' claim_id, claim_type || '|' || subject signature FROM cl",
+        CLAIMS,
+    ),
+    "review_recommendations": _on_u(
+        "SELECT session_id, 'FACT_CHECK' action_type, 'Review ' || word || ' claim' title, 'The claim \"' || trim(claim_text) || '\" is ' || word || "
+        "' and should be reviewed manually.' description, CASE WHEN word = 'false' THEN 'CRITICAL' ELSE 'HIGH' END priority, "
+        "least(1.0, round(base + CASE WHEN confidence < 0.7 THEN 0.05::DOUBLE ELSE 0 END, 4)) confidence, NULL::VARCHAR segment_id, NULL::VARCHAR assignee, "
+        "NULL::VARCHAR deadline, utt_id || '/claim_1' claim_id FROM (SELECT *, CASE verdict WHEN 'FALSE' THEN 'false' WHEN 'NEEDS_REVIEW' THEN 'flagged' ELSE 'unverified' END word, "
+        "CASE verdict WHEN 'FALSE' THEN 0.9::DOUBLE WHEN 'NEEDS_REVIEW' THEN 0.85 ELSE 0.8 END base FROM vd "
+        "WHERE verdict IN ('FALSE', 'NEEDS_REVIEW', 'UNVERIFIED', 'UNSUPPORTED_CLAIM_TYPE'))",
+        CLAIMS,
+        VERDICTS,
+    ),
+    "final_records": _on_u(
+        "SELECT session_id, count(*) n, string_agg(CASE WHEN session_id::BIGINT % 2 = 0 THEN intent ELSE 'other' END, ',' ORDER BY pos) intents, "
+        "string_agg(speaker, ',' ORDER BY pos) turns, string_agg(DISTINCT speaker, ',' ORDER BY speaker) speakers FROM u JOIN i USING (session_id, utt_id) GROUP BY 1",
+        INTENTS,
+    ),
     "claim_stats": _on_u(
         "SELECT session_id, count(*) claims_detected, count(*) FILTER (verdict IN ('TRUE', 'FALSE', 'PARTIALLY_TRUE')) verified, "
         "count(*) FILTER (verdict NOT IN ('TRUE', 'FALSE', 'PARTIALLY_TRUE')) skipped FROM vd GROUP BY 1",

@@ -89,6 +89,11 @@ ORACLES: dict[str, str] = {
     "asr_segments": f"WITH {UTTERANCES_SQL}, {ASR_SQL} SELECT * FROM asr",
     "words": f"WITH {_ALIGNED} SELECT session_id, seg_pos, \"at\", word, word_start, word_end FROM w",
     "aligned_turns": f"WITH {_ALIGNED} SELECT * FROM al",
+    "merged_blocks": f"""WITH {_ALIGNED}, mb AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY start_ms, pos) i FROM
+      (SELECT *, coalesce(speaker = lag(speaker) OVER o AND start_ms - lag(end_ms) OVER o BETWEEN 0 AND {align.MERGE_GAP_MS}, false) same FROM al WINDOW o AS (PARTITION BY session_id ORDER BY start_ms, pos)))
+      SELECT session_id, arg_min(pos, (start_ms, pos)) pos, any_value(speaker) speaker, min(start_ms) start_ms, arg_max(end_ms, (start_ms, pos)) end_ms,
+      trim(string_agg(text, ' ' ORDER BY start_ms, pos)) text,
+      round(list_reduce(list(diarization_confidence ORDER BY start_ms, pos), lambda a, x: (a + x) / 2), 6) diarization_confidence FROM mb GROUP BY session_id, i""",
     "asr_confidence": f"WITH {_ALIGNED}, b AS (SELECT u.session_id, u.pos, arg_max(1 / (1 + exp(-avg_logprob)) * (1 - no_speech_prob), "
     "(least(u.end_ms, a.end_ms) - greatest(u.start_ms, a.start_ms), -a.pos)) c FROM u JOIN asr a ON u.session_id = a.session_id "
     "AND least(u.end_ms, a.end_ms) > greatest(u.start_ms, a.start_ms) GROUP BY ALL) SELECT session_id, pos, speaker, start_ms, end_ms, "
@@ -191,6 +196,12 @@ ORACLES |= {
     "payload_issues": f"WITH {UTTERANCES_SQL} {_FLAWS}",
     "payload_status": f"WITH {UTTERANCES_SQL}, i AS ({_FLAWS}) SELECT payload_id, CASE WHEN count_if(severity = 'error') > 0 THEN 'error' WHEN count(code) > 0 THEN 'warning' ELSE 'ok' END status, "
     "count(code) n_issues FROM (SELECT DISTINCT session_id payload_id FROM u) LEFT JOIN i USING (payload_id) GROUP BY 1",
+    "session_advisories": f"""WITH {UTTERANCES_SQL} SELECT session_id, unnest(CASE WHEN len(codes) > 0 THEN codes ELSE [NULL] END) code FROM
+      (SELECT session_id, list_filter([CASE WHEN max(end_ms) <= 0 THEN 'no_duration' END, CASE WHEN count(*) = 1 THEN 'single_utterance' END,
+         CASE WHEN count(DISTINCT speaker) = 1 THEN 'single_speaker' END, CASE WHEN count(*) FILTER (text = '') > 0 THEN 'empty_texts' END,
+         CASE WHEN count(sent_label) = 0 THEN 'no_sentiment' END, 'no_emotion'], lambda x: x IS NOT NULL) codes FROM
+         (SELECT CASE WHEN CAST(session_id AS BIGINT) % 7 = 0 THEN 'unknown_session:' || session_id ELSE session_id END session_id,
+            CASE WHEN pos % 17 = 5 THEN start_ms ELSE end_ms END end_ms, speaker, text, sent_label FROM u) GROUP BY 1)""",
     "out_of_order": f"WITH {UTTERANCES_SQL} SELECT session_id, count(*) FILTER (start_ms < was) out_of_order FROM "
     "(SELECT *, lag(start_ms) OVER (PARTITION BY session_id ORDER BY pos) was FROM u) GROUP BY 1",
     "speaker_lists": f"WITH {UTTERANCES_SQL} SELECT session_id, string_agg(speaker, ',' ORDER BY first) speakers, max(last) duration_ms FROM "
