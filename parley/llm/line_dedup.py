@@ -431,10 +431,9 @@ def find_duplicate_lines(
     distinct = placed.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     distinct = materialize(distinct, "lines")
 
-    # keys that more than one line has, and their lines
+    # keys that occur more than once (a count is all that is shuffled), and their lines
     keyed = placed.select(F.explode("keys").alias("k"), F.col("h").alias("lid")).select("k.key", "lid", "k.held")
-    shared = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("held").alias("held")).where("lo != hi and held")
-    shared = materialize(shared.select("key"), "line-shared-keys")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-shared-keys")
     keyed = materialize(_in_size(keyed, "key", shared).distinct(), "line-keys")
     ids = materialize(keyed.select("lid").distinct(), "line-ids")
     met = lines.where(near).select(F.xxhash64("line").alias("lid"), "line")
