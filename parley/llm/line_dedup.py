@@ -10,7 +10,7 @@ lines; each line probes it with the substrings at the few starts where a match c
 one below. In longer lines a linked pair shares 13 words in a row, so that both choose the same word of a window
 (the one of the smallest hash), from which on seven words are a key of both.
 
-Buckets are settled without all pairs: members first link to their bucket's smallest line (a star), then only lines
+Buckets are settled without all pairs: members first link to one line of their bucket (a star), then only lines
 of different classes are paired. A bucket of more than ``BUCKET`` lines of different classes is split before that:
 two lines within t word edits share one of their t + 1 rarest words (of the words of such buckets), and lines within
 one character share half of what is left of them, again and again. What pairs up is checked by the parity of its
@@ -319,9 +319,12 @@ class _Links:
     def settle(self, keyed: DataFrame, split: bool) -> DataFrame | None:
         """Link the lines of each bucket (columns ``key``, ``lid``, ``held``); rows of buckets that must be split first.
 
-        Without ``split`` every bucket is settled, whatever its size.
+        Without ``split`` every bucket is settled, whatever its size. A column ``rank`` tells which line to link
+        the others with first: the largest.
         """
-        sizes = keyed.groupBy("key").agg(F.min(F.when(F.col("held"), F.col("lid"))).alias("pivot"), F.count("*").alias("n"))
+        rank = F.col("rank") if "rank" in keyed.columns else F.lit(0)
+        pivot = F.max(F.when(F.col("held"), F.struct(rank.alias("rank"), "lid")))["lid"]
+        sizes = keyed.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("n"))
         shared = materialize(keyed.join(sizes.where("n > 1 and pivot is not null"), "key"), "line-buckets")
         if self.found is not None and shared.isEmpty():
             return None
@@ -345,7 +348,11 @@ class _Links:
         return None if hot.isEmpty() else hot
 
     def by_rare_words(self, hot: DataFrame) -> DataFrame:
-        """Buckets of the lines of a hot bucket that share one of their rarest words, each occurrence being a word of its own."""
+        """Buckets of the lines of a hot bucket that share one of their rarest words, each occurrence being a word of its own.
+
+        Of edited copies the one that has no word of its own is nearest to all: the line whose rarest word is the
+        most frequent ranks first.
+        """
         lids = hot.select("lid").distinct()
         words = self.texts.join(lids, "lid").select("lid", F.explode(F.split("line", " ")).alias("word")).groupBy("lid", "word").agg(F.count("*").alias("k"))
         words = words.select("lid", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k"), F.xxhash64("word").alias("w"))
@@ -353,7 +360,9 @@ class _Links:
         frequency = words.groupBy("w").agg(F.count("*").alias("df"))
         ranked = words.join(frequency, "w").withColumn("place", F.row_number().over(Window.partitionBy("lid").orderBy("df", "w")))
         rare = ranked.join(self.texts.select("lid", allowed_word_edits(F.col("n")).alias("most")), "lid").where("place <= greatest(most, 1) + 1")
-        return hot.join(rare.select("lid", "w"), "lid").select(F.xxhash64("key", "w").alias("key"), "lid", "held")
+        ranks = words.join(frequency, "w").groupBy("lid").agg(F.min("df").alias("rank"))
+        met = hot.join(rare.select("lid", "w").join(ranks, "lid"), "lid")
+        return met.select(F.xxhash64("key", "w").alias("key"), "lid", "held", "rank")
 
     def by_halves(self, hot: DataFrame) -> None:
         """Settle what one character parts: lines in a hot bucket share one half of what they have not been found to share."""
