@@ -1,4 +1,7 @@
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -45,3 +48,34 @@ def test_odd_rows(spark, odd, none):
     kept = keep_identified(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, None, 5, 7, 8}
     assert {r.lang_pred for r in predict_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} <= {"und"}
+
+
+def test_predictions_are_those_of_plain_python(spark):
+    rng = random.Random(8)
+    alphabet = {"en": "etaoinsh ", "de": "enisratuü ", "xx": "aeiz "}
+    rows = [(i, "".join(rng.choices(alphabet[lang], k=rng.randrange(3, 60))), lang) for i, lang in enumerate(rng.choices(list(alphabet), k=120))]
+
+    def counted(texts):
+        found = Counter()
+        for text in texts:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                edged = f"\0{word}\0"
+                some = [*word, *(edged[k : k + 2] for k in range(len(word) + 1)), *(edged[k : k + 3] for k in range(len(word)))]
+                found.update(g.lstrip("\0") for g in some)  # codes do not tell a boundary at the front
+        order = sorted(found, key=lambda g: (-found[g], code(g)))
+        return order[:400]
+
+    def code(gram):
+        value = 0
+        for c in gram:
+            value = (value << 21) | ord(c)
+        return value
+
+    profiles = {lang: counted(t for i, t, own in rows if own == lang and zlib.crc32(str(i).encode()) % 4 != 2) for lang in sorted(alphabet)}
+    longest = max(map(len, profiles.values()))
+    for r in predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        own = counted([rows[r.doc_id][1]])[:longest]
+        away = {lang: sum(abs(p.index(g) - k) if g in p else longest for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        assert r.lang_pred == best
+        assert abs(r.score - (1 - away[best] / (longest * len(own)) if own else 0)) < 1e-12
