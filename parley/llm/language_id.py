@@ -19,6 +19,8 @@ from parley.llm._shared import id_remainder
 
 #: n-grams in a profile and in a document's list; their greatest length (21 bits for each character in a long).
 PROFILE, LONGEST, BITS = 400, 3, 21
+#: What stands for a run of other characters: no letter, and not 0, which would leave a code as it is at its front.
+BOUNDARY = 1
 #: Characters whose n-grams are counted at once in training.
 CHUNK = 1 << 21
 UNDETERMINED = "und"
@@ -34,17 +36,19 @@ def _letter_table() -> np.ndarray:
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Codes of all n-grams of the text's lower-case letters; a run of other characters is one boundary (0)."""
+    """Codes of all n-grams of the text's lower-case letters; a run of other characters is one boundary."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    points = np.where(_letter_table()[points], points, 0)
-    points = np.concatenate(([0], points, [0]))
-    points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
-    found, code = [points[points != 0]], points
+    points = np.where(_letter_table()[points], points, BOUNDARY)
+    points = np.concatenate(([BOUNDARY], points, [BOUNDARY]))
+    letter = points != BOUNDARY
+    points = points[np.concatenate(([True], letter[1:] | letter[:-1]))]
+    letter = points != BOUNDARY
+    found, code = [points[letter]], points
     for n in range(2, LONGEST + 1):
         code = (code[:-1] << BITS) | points[n - 1 :]
         inner = np.ones(len(code), bool)
         for k in range(1, n - 1):  # no boundary inside
-            inner &= points[k : len(points) - n + 1 + k] != 0
+            inner &= letter[k : len(points) - n + 1 + k]
         found.append(code[inner] if n > 2 else code)
     return np.concatenate(found) if len(points) > 1 else np.zeros(0, np.int64)
 
