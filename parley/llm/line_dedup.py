@@ -187,12 +187,16 @@ def line_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
         keys = F.concat(entries(_index_keys(line, n, max_edits), 1), entries(_probe_keys(line, n, max_edits, 1), 0))
         return F.when(n > max_edits, keys).otherwise(none)
 
+    def words_from(side: str, n: Column) -> Column:
+        """The first or last ``n`` words, found without an array of words."""
+        return F.call_function("substring_index", line, F.lit(" "), n if side == "front" else -n)
+
     def by_halves(w: Column, shorter: int) -> Column:
         """For pairs of which the one with fewer words has as many as this line, or one less."""
         least = F.size(w) - shorter
         half = F.floor(least / 2).cast("int")
-        front = F.xxhash64(F.lit("front"), least, F.slice(w, 1, half))
-        back = F.xxhash64(F.lit("back"), least, F.slice(w, F.size(w) - half + 1, half))
+        front = F.xxhash64(F.lit("front"), least, words_from("front", half))
+        back = F.xxhash64(F.lit("back"), least, words_from("back", half))
         return F.when((least >= FEW_WORDS) & (least < LONG), entries(F.array(front, back), 1 - shorter)).otherwise(none)
 
     def by_windows(w: Column) -> Column:
@@ -209,6 +213,11 @@ def line_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
         def place(x: Column) -> Column:
             return x.bitwiseAND(F.lit(mask)).cast("int")
 
+        def gaps(bounds: Column) -> Column:
+            """Last words of the windows between two neighbouring ``bounds``."""
+            wide = F.filter(F.sequence(F.lit(1), F.size(bounds) - 1), lambda k: F.get(bounds, k) - F.get(bounds, k - 1) > WINDOW)
+            return F.flatten(F.transform(wide, lambda k: F.sequence(F.get(bounds, k - 1) + WINDOW, F.get(bounds, k) - 1)))
+
         def chosen(small: Column) -> Column:
             def smallest(x: Column, k: Column) -> Column:
                 before = [F.when(F.get(small, k - j) < x, place(F.get(small, k - j))) for j in (1, 2)]
@@ -216,13 +225,9 @@ def line_keys(line: Column, max_edits: int = MAX_EDITS) -> Column:
                 from_, to = F.coalesce(*before, place(x) - WINDOW), F.coalesce(*behind, place(x) + WINDOW)
                 return to - from_ > WINDOW
 
-            def gap(k: Column) -> Column:
-                first = F.coalesce(place(F.get(small, k - 1)), F.lit(-1)) + WINDOW
-                last = F.coalesce(place(F.get(small, k)), F.size(w)) - 1
-                return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-            gaps = F.flatten(F.transform(F.sequence(F.lit(0), F.size(small)), gap))
-            places = F.filter(F.concat(F.transform(F.filter(small, smallest), place), gaps), lambda i: i <= F.size(w) - GRAM)
+            bounds = F.concat(F.array(F.lit(-1)), F.transform(small, place), F.array(F.size(w)))
+            places = F.concat(F.transform(F.filter(small, smallest), place), _let(bounds, gaps))
+            places = F.filter(places, lambda i: i <= F.size(w) - GRAM)
             return entries(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(w, i + 1, GRAM)))), 1)
 
         return _let(F.filter(hashes, lambda x: x < F.lit(-(1 << 62))), chosen)
@@ -358,10 +363,10 @@ class _Links:
         words = words.select("lid", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k"), F.xxhash64("word").alias("w"))
         words = materialize(words.select("lid", F.xxhash64("w", "k").alias("w")), "line-words")
         frequency = words.groupBy("w").agg(F.count("*").alias("df"))
-        ranked = words.join(frequency, "w").withColumn("place", F.row_number().over(Window.partitionBy("lid").orderBy("df", "w")))
+        own = Window.partitionBy("lid")
+        ranked = words.join(frequency, "w").select("lid", "w", F.row_number().over(own.orderBy("df", "w")).alias("place"), F.min("df").over(own).alias("rank"))
         rare = ranked.join(self.texts.select("lid", allowed_word_edits(F.col("n")).alias("most")), "lid").where("place <= greatest(most, 1) + 1")
-        ranks = words.join(frequency, "w").groupBy("lid").agg(F.min("df").alias("rank"))
-        met = hot.join(rare.select("lid", "w").join(ranks, "lid"), "lid")
+        met = hot.join(rare.select("lid", "w", "rank"), "lid")
         return met.select(F.xxhash64("key", "w").alias("key"), "lid", "held", "rank")
 
     def by_halves(self, hot: DataFrame) -> None:
