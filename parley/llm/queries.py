@@ -73,6 +73,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.hard_negatives import mine_hard_negatives
+
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label"
+    return mine_hard_negatives(_read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", label))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_line_dedup": op2_line_dedup,
@@ -84,4 +91,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
