@@ -44,8 +44,8 @@ OP9 = f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT ite
   SELECT d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
 
-OP13 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l, list_transform(embedding, x -> floor(256 * x::DOUBLE)) v
-    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+OP13 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v
+    FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b, a.l = b.l same, list_dot_product(a.v, b.v)::BIGINT s FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
   p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
   SELECT a anchor_id, p.b positive_id, CAST(row_number() OVER (PARTITION BY a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) rank, n.b negative_id, p.s positive_score,
