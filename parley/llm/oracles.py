@@ -44,6 +44,21 @@ OP9 = f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT ite
   SELECT d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
 
+OP11 = """WITH d AS (SELECT coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+  p AS (SELECT lang, row_number() OVER () piece, words FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') words FROM d)),
+  g AS (SELECT lang, array_to_string(words[i:i + k - 1], ' ') phrase, k, words[i:i + k - 1] w FROM
+    (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) i FROM p, (VALUES (1), (2), (3)) s(k) WHERE len(words) >= k)),
+  f AS MATERIALIZED (SELECT lang, phrase, k, any_value(w) w, any_value(list_prepend(lang, w)) own, count(*) a FROM g GROUP BY lang, phrase, k),
+  n AS (SELECT lang, sum(a)::BIGINT n FROM f WHERE k = 1 GROUP BY lang),
+  c AS MATERIALIZED (SELECT lang, phrase, k, w, a, cut, list_prepend(lang, w[1:cut]) lp, list_prepend(lang, w[cut + 1:k]) rp FROM f, (VALUES (1), (2)) t(cut) WHERE k > cut AND a >= 10),
+  s AS (SELECT c.lang, c.phrase, c.k, c.w, c.a, cut, l.a l, r.a r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) score
+    FROM c JOIN f l ON l.own = c.lp JOIN f r ON r.own = c.rp
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+  longer AS (SELECT lang, part, max(a) a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) part FROM c WHERE k = 3) GROUP BY lang, part),
+  o AS (SELECT s.* FROM s LEFT JOIN longer x ON x.lang = s.lang AND x.part = s.phrase AND s.k = 2 WHERE x.a IS NULL OR 100 * x.a < 50 * s.a)
+  SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) rank, phrase, a, l, r, n, score::BIGINT score FROM o JOIN n USING (lang)
+  QUALIFY rank <= 2000"""
+
 OP13 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v
     FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b, a.l = b.l same, list_dot_product(a.v, b.v)::BIGINT s FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
@@ -52,4 +67,4 @@ OP13 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) %
     n.s negative_score FROM p JOIN s n USING (a) WHERE NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
   QUALIFY row_number() OVER (PARTITION BY a, p.b ORDER BY n.s DESC, n.b) <= 3"""
 
-ORACLES: dict[str, str] = {"op1_licenses": _licenses(), "op5_embeddings": OP5, "op9_decontamination": OP9, "op13_hard_negatives": OP13}
+ORACLES: dict[str, str] = {"op1_licenses": _licenses(), "op5_embeddings": OP5, "op9_decontamination": OP9, "op11_collocations": OP11, "op13_hard_negatives": OP13}

@@ -73,6 +73,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.collocations import mine_collocations
+
+    return mine_collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.quality_classifier import score_quality
+
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.hard_negatives import mine_hard_negatives
 
@@ -91,5 +103,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
