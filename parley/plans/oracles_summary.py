@@ -30,7 +30,7 @@ _OVERALL = """SELECT session_id, concat_ws(' ',
     USING (session_id)"""
 _OVERALL_PARTS = ("sm", "sc", "dominant", "sent", "trend", "emo", "esc", "inc", "ff")
 #: Places of the flags in their fixed order.
-_SPEAKER_FLAG = "list_position(['frequent_interruptions', 'high_overlap_participation', 'low_inquiry_behavior', 'speaker_emotional_strain'], \"type\")"
+SPEAKER_FLAG = "list_position(['frequent_interruptions', 'high_overlap_participation', 'low_inquiry_behavior', 'speaker_emotional_strain'], \"type\")"
 _SESSION_FLAG = "list_position(['negative_session_mood', 'declining_session_tone', 'conversation_escalation', 'conversation_inconsistency'], \"type\")"
 _FLAG_ORDER = f"""CASE WHEN speaker IS NULL THEN 1000000 + {_SESSION_FLAG}
   ELSE first_seq * 10 + list_position(['speaker_dominance', 'high_tension'], "type") END"""
@@ -51,7 +51,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN overlap_count > 0 THEN 'They were involved in ' || overlap_count || ' overlapping turn(s).' END,
         coalesce('Notable speaker-level signals include: ' || named || '.', 'No major speaker-level concerns were flagged.')) summary
         FROM sp LEFT JOIN sent_sp USING (session_id, speaker) LEFT JOIN emo_sp USING (session_id, speaker) LEFT JOIN
-          (SELECT session_id, speaker, array_to_string(list("type" ORDER BY {_SPEAKER_FLAG})[1:3], ', ') named FROM sf GROUP BY ALL) USING (session_id, speaker)""",
+          (SELECT session_id, speaker, array_to_string(list("type" ORDER BY {SPEAKER_FLAG})[1:3], ', ') named FROM sf GROUP BY ALL) USING (session_id, speaker)""",
         "sp", "sent_sp", "emo_sp", "sf",
     ),
     "session_insights": sql(
@@ -66,7 +66,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT session_id, string_agg(marker_id, ',' ORDER BY place) timeline FROM tl GROUP BY 1) USING (session_id)
         LEFT JOIN (SELECT session_id, string_agg("type", ',' ORDER BY {_FLAG_ORDER}) flags FROM ff LEFT JOIN sp USING (session_id, speaker)
           GROUP BY 1) USING (session_id)
-        LEFT JOIN (SELECT session_id, string_agg("type", ',' ORDER BY speaker, {_SPEAKER_FLAG}) speaker_flags FROM sf GROUP BY 1) USING (session_id)""",
+        LEFT JOIN (SELECT session_id, string_agg("type", ',' ORDER BY speaker, {SPEAKER_FLAG}) speaker_flags FROM sf GROUP BY 1) USING (session_id)""",
         *_OVERALL_PARTS, "sp", "tl", "sf",
     ),
 }

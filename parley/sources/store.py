@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.sources.scratch import materialize
+from parley.sources.scratch import discard, materialize
 
 PARTITIONS = 64
 
@@ -40,16 +40,23 @@ def _write(rows: DataFrame, path: str) -> None:
 
 
 def upsert(records: DataFrame, path: str, key: str = "session_id", parts: int = PARTITIONS) -> None:
-    """Insert or replace by key (columns ``key``, ``created_at``, ``updated_at`` and others)."""
+    """Insert or replace by key (columns ``key``, ``created_at``, ``updated_at`` and others).
+
+    The records, and the merged rows of the partitions that they fall into, are written aside first: what is new is
+    computed once, and the table is only replaced by rows that are already whole.
+    """
     spark = records.sparkSession
-    records = records.withColumn("part", _part(F.col(key), parts))
+    records = materialize(records.withColumn("part", _part(F.col(key), parts)), "upsert")
     stored = _read(spark, path)
     if stored is None:
         _write(latest_by_key(records, key), path)
-        return
-    touched = [r["part"] for r in records.select("part").distinct().collect()]  # at most ``parts``
-    merged = stored.where(F.col("part").isin(touched)).unionByName(records, allowMissingColumns=True)
-    _write(latest_by_key(merged, key), path)
+    else:
+        touched = [r["part"] for r in records.select("part").distinct().collect()]  # at most ``parts``
+        merged = stored.where(F.col("part").isin(touched)).unionByName(records, allowMissingColumns=True)
+        merged = materialize(latest_by_key(merged, key), "merged")
+        _write(merged, path)
+        discard(merged)
+    discard(records)
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "session_id") -> DataFrame:

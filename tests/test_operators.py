@@ -1,11 +1,12 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import numbers
 from parley.functions import text as rules
-from parley.operators import align, claims, metrics, quality, recommend, timeline
+from parley.operators import align, claims, distinct, metrics, quality, recommend, timeline
 from parley.plans.bundle import build_bundle
 from parley.sources.adapters import utterances_from_events
 from parley.thresholds import Thresholds
@@ -140,10 +141,15 @@ def test_recommendations_collapse_and_rank(spark):
     assert recommend.run_recommendations(turns.limit(0)).count() == 0
 
 
-def test_recommendations_match_the_rule_in_plain_python(spark):
-    """Marks and similar titles against the rule written out over all pairs."""
+@pytest.mark.parametrize(("small", "block", "first"), [(1000, 8192, 512), (0, 8192, 512), (20, 3, 2)])
+def test_recommendations_match_the_rule_in_plain_python(spark, monkeypatch, small, block, first):
+    """Marks and similar titles against the rule written out over all pairs, within tasks and by joins."""
     from difflib import SequenceMatcher
 
+    monkeypatch.setattr(recommend, "SMALL", small)
+    monkeypatch.setattr(distinct, "BLOCK", block)
+    monkeypatch.setattr(distinct, "FIRST", first)
+    monkeypatch.setattr(distinct, "ROUND", 2 * first)
     rng = random.Random(11)
     words = ["send", "the", "report", "reports", "contract", "offer", "to", "Maria", "Marie", "will", "please", "call"]
     rows = [(f"s{i % 4}", f"u{rng.randrange(25)}", i, "please " + " ".join(rng.choices(words, k=5)) + rng.choice(["", " by Friday", " today"]), rng.choice([None, 0.2, 0.9]))
