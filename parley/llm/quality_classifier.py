@@ -22,7 +22,7 @@ from parley.llm._shared import id_remainder
 
 #: Bits of a feature's hash, lengths of the character n-grams, dimensions of a vector.
 BITS, LENGTHS, DIMS = 16, (2, 3, 4), 8
-#: Distinct labelled texts that the model is fitted on, about; passes over them, step size, rows of a step.
+#: Labels that the model is fitted on, about; passes over them, step size, rows of a step.
 FIT_ROWS, PASSES, RATE, BATCH = 4000, 10, 2.0, 4
 CUT, SEED = 0.3, 42
 #: Feature of a word that repeats the one before it, whichever it is.
@@ -117,36 +117,45 @@ def _counted(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"features": [f.astype("<u2").tobytes() for f, _ in found], "counts": [np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found]})
 
 
-def fit_sample(rows: DataFrame, totals: dict[int, int], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
-    """Distinct texts with their label and features, and the share of each class that was taken.
+def sample_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """Some ``fit_rows`` distinct labels (``doc_id``, ``good``), half of each class, and the share of each class that was taken.
 
-    Half of some ``fit_rows`` are of each class; all of a class that is smaller. A hash of the text chooses, so copies
-    are taken together, and they count once however many there are.
+    All of a class are taken that is smaller. A hash of the id chooses, below a bound that follows from the totals, so
+    nothing is sorted. Without rows of both classes the shares are empty.
     """
+    labels = labels.where("doc_id IS NOT NULL AND good in (0, 1)").select("doc_id", "good").distinct()
+    totals = dict(labels.groupBy("good").count().collect())
+    if len(totals) < 2:
+        return labels.limit(0), {}
     few = min(totals.values())
     quota = {c: n if n <= fit_rows // 2 else max(fit_rows // 2, fit_rows - few) for c, n in totals.items()}
     share = {c: min(1.0, quota[c] / totals[c]) for c in totals}
     scale = 1 << 31
     bound = F.when(F.col("good") == 1, int(scale * share[1])).otherwise(int(scale * share[0]))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    some = rows.select(key.alias("key"), "text", "good").where(F.pmod(F.col("key"), F.lit(scale)) < bound)
-    some = some.groupBy("key", "good").agg(F.any_value("text").alias("text"))
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bound), share
+
+
+def fit_sample(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """Distinct texts of the sampled labels with their features; copies count once however many there are.
+
+    ``some`` is bounded by ``sample_labels`` and is broadcast, so that the texts of the table are not shuffled.
+    """
+    rows = docs.join(F.broadcast(some), "doc_id").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text", "good")
+    rows = rows.groupBy("key", "good").agg(F.any_value("text").alias("text"))
     found = F.pandas_udf(_counted, "features binary, counts binary")("text").alias("of")
-    return some.select("key", "good", found).select("key", "good", "of.*"), share
+    return rows.select("key", "good", found).select("key", "good", "of.*")
 
 
-def train(texts: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from ``texts`` (columns ``text``, ``good`` 0 or 1), other labels left out.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Learn from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``good`` 0 or 1), other labels left out.
 
-    The driver gets the features of about ``fit_rows`` distinct texts. Rows weigh so that the classes have their shares
-    of the whole table. With rows of one class only, or none, every score is 0.5.
+    The driver gets the features of at most about ``fit_rows`` distinct texts. Rows weigh so that the classes have their
+    shares of all labels. With labels of one class only, or none, every score is 0.5.
     """
-    rows = texts.where("good in (0, 1)")
-    totals = dict(rows.groupBy("good").count().collect())
-    if not totals.get(0) or not totals.get(1):
+    some, share = sample_labels(labels, fit_rows)
+    found = fit_sample(docs, some).toPandas().sort_values(["key", "good"], ignore_index=True) if share else None
+    if found is None or found["good"].nunique() < 2:
         return Model(np.zeros(1 << BITS), 0.0)
-    sample, share = fit_sample(rows, totals, fit_rows)
-    found = sample.toPandas().sort_values(["key", "good"], ignore_index=True)
     held = []
     for at, counts in zip(found["features"], found["counts"], strict=True):
         n = np.frombuffer(counts, "<u2").astype(np.float32)
@@ -179,8 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     are not read.
     """
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("good in (0, 1)")
-    known = known.where(~held_out(F.col("doc_id")))
-    model = train(text.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("text", "good"))
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("good"))
+    model = train(text, known.where(~held_out(F.col("doc_id"))))
     scored = text.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -70,14 +70,15 @@ def test_one_number_a_feature_scores_as_the_whole_network():
 
 def test_copies_count_once_and_a_rare_class_is_always_in_the_sample(spark):
     docs, _ = corpus(spark, 400)
-    rows = docs.selectExpr("text", "int(doc_id != 5) good")
-    copies = rows.unionAll(spark.createDataFrame([("the same words again", 1)] * 3000, "text string, good int"))
-    totals = {1: 3399, 0: 1}
-    sample, share = q.fit_sample(copies, totals, 400)
-    found = sample.collect()
-    assert sum(r.good == 0 for r in found) == 1 and share[0] == 1.0 and share[1] < 1
-    assert len(found) == len({(r.key, r.good) for r in found}) <= 120
-    assert 0 < q.train(copies, fit_rows=400).score("some words") < 1
+    copies = spark.range(1000, 4000).selectExpr("id doc_id", "'the same words again' text")
+    docs = docs.unionAll(copies).unionAll(docs.where("doc_id = 5"))
+    labels = docs.selectExpr("doc_id", "int(doc_id != 5) good")
+    some, share = q.sample_labels(labels.unionAll(labels), 400)
+    assert share == {0: 1.0, 1: 399 / 3399} and 300 < some.count() < 500
+    found = q.fit_sample(docs, some).collect()
+    assert sum(r.good == 0 for r in found) == 1
+    assert len(found) == len({(r.key, r.good) for r in found}) <= 90
+    assert 0 < q.train(docs, labels, fit_rows=400).score("some words") < 1
 
 
 def test_odd_rows(spark, odd, none):
