@@ -28,7 +28,8 @@ CUT, SEED = 0.3, 42
 #: Feature of a word that repeats the one before it, whichever it is.
 REPEATED = 0
 
-_SPACE = np.array([chr(i).isspace() for i in range(0x3001)])
+#: Whether a character is a space; the last place stands for all above it, which are none.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +41,7 @@ def _bucket(code: np.ndarray) -> np.ndarray:
 def features(text: str | None) -> np.ndarray:
     """Hashes of all features of the whole text, as often as they occur; case and punctuation count."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    points = np.where(_SPACE[np.minimum(points, 0x3000).astype(np.int64)], np.uint64(0), points + np.uint64(1))
+    points = np.where(_SPACE[np.minimum(points, 0x3001).astype(np.int64)], np.uint64(0), points + np.uint64(1))
     points = np.concatenate((np.zeros(1, np.uint64), points, np.zeros(1, np.uint64)))
     inside = points > 0
     points = points[np.append(True, inside[1:] | inside[:-1])]  # one boundary between words
