@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as rules
+from parley.operators.chunks import running
 from parley.operators.escalation import assess
-from parley.operators.metrics import by_speaker, seconds
+from parley.operators.metrics import ORDER, seconds
 from parley.operators.signals import dominant_emotion
 
 #: Family, and the score from which its windows are of medium level.
@@ -40,10 +41,12 @@ def _hit(family: int, eligible: Column, hit: Column, from_ms: Column) -> Column:
     return F.when(eligible, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
-def _turnaround(family: int, state: Column, known: Column, reach_ms: int) -> Column:
+def _state(state: Column, known: Column) -> Column:
+    return F.when(known, F.struct(state.alias("state"), F.col("start_ms").alias("from"), F.col("end_ms").alias("to")))
+
+
+def _turnaround(family: int, state: Column, known: Column, was: Column, reach_ms: int) -> Column:
     """A hit where a speaker's known state differs from the same speaker's known state before, which ended shortly before."""
-    seen = F.when(known, F.struct(state.alias("state"), F.col("start_ms").alias("from"), F.col("end_ms").alias("to")))
-    was = F.last(seen, ignorenulls=True).over(by_speaker().rowsBetween(Window.unboundedPreceding, -1))
     turned = known & (was["state"] != state) & (F.col("start_ms") - was["to"]).between(0, reach_ms)
     return _hit(family, turned, F.lit(True), was["from"])
 
@@ -57,12 +60,15 @@ def inconsistent_turns(turns: DataFrame) -> DataFrame:
     polar = label.isin("positive", "negative")
     opposed = ((label == "positive") & (side == "negative")) | ((label == "negative") & (side == "positive"))
     flat = F.lower("emotion_top").isin("neutral", "calm")
-    own = F.col("start_ms")
+    own, stance = F.col("start_ms"), F.col("stance")
+    felt = F.coalesce(side.isin("positive", "negative"), F.lit(False))
+    states = {"felt_before": _state(side, felt), "said_before": _state(stance, stance.isNotNull())}
+    turns = running(turns, ["session_id", "speaker"], ORDER, states)
     hits = F.array(
         _hit(1, polar & lexical.isNotNull(), lexical != label, own),
         _hit(2, polar & side.isNotNull(), opposed, own),
-        _turnaround(3, side, F.coalesce(side.isin("positive", "negative"), F.lit(False)), REVERSAL_MS),
-        _turnaround(4, F.col("stance"), F.col("stance").isNotNull(), STANCE_MS),
+        _turnaround(3, side, felt, F.col("felt_before"), REVERSAL_MS),
+        _turnaround(4, stance, stance.isNotNull(), F.col("said_before"), STANCE_MS),
         _hit(5, flat & ((lexical == "negative") | (label == "negative")), F.lit(True), own),
     )
     rows = turns.withColumn("hits", F.array_compact(hits)).select("session_id", "seq", "speaker", "end_ms", F.explode("hits").alias("h"))

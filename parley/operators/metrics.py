@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = ("start_ms", "end_ms", "utt_id")
-
-
-def by_session() -> WindowSpec:
-    """A session's utterances in sequence order."""
-    return Window.partitionBy("session_id").orderBy(*ORDER)
+from parley.operators.chunks import in_chunks, running
 
-
-def by_speaker() -> WindowSpec:
-    """A speaker's utterances in sequence order."""
-    return Window.partitionBy("session_id", "speaker").orderBy(*ORDER)
+ORDER = ("start_ms", "end_ms", "utt_id")
 
 
 def seconds(ms: Column) -> Column:
@@ -37,19 +29,23 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def sequence(utterances: DataFrame) -> DataFrame:
+def sequence(utterances: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Utterances, placed by session, with their number, word count and the values of the one before.
 
-    One exchange on ``session_id``; every rule that follows windows or groups on it without another.
+    One exchange on ``session_id``; every rule that follows windows or groups on it without another. With ``bounds``
+    (``chunks.long_sessions``) long sessions are placed by chunk too, and turns tell their ``chunk``.
     """
     before = ["utt_id", "speaker", "start_ms", "end_ms"]
-    return utterances.repartition("session_id").select(
-        "*",
-        F.row_number().over(by_session()).cast("long").alias("seq"),
+    rows = utterances.repartition("session_id") if bounds is None else in_chunks(utterances, bounds)
+    rows = running(rows, ["session_id"], ORDER, {"prev": F.struct(*before)}, "seq")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("prev", "seq", "chunk")],
+        F.col("seq").cast("long").alias("seq"),
         F.coalesce("word_count", word_count(F.col("text"))).alias("words"),
         F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
         F.col("text").contains("?").alias("question"),
-        *[F.lag(c).over(by_session()).alias(f"prev_{c}") for c in before],
+        *[F.col(f"prev.{c}").alias(f"prev_{c}") for c in before],
+        *([] if bounds is None else ["chunk"]),
     ).withColumns(
         {
             "gap_ms": F.col("start_ms") - F.col("prev_end_ms"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.metrics import ORDER, by_session
+from parley.operators.chunks import running
+from parley.operators.metrics import ORDER
 
 
 def dominant_emotion(emotion: Column) -> Column:
@@ -88,13 +89,12 @@ def emotion_volatility(seq: DataFrame) -> DataFrame:
     """
     score = F.when(F.col("sent_label").isNotNull(), F.col("score_e4"))
     felt = F.coalesce(F.col("emotion").isNotNull() & (F.size("emotion") > 0), F.lit(False))
-    rows = seq.select("session_id", "pos", *ORDER, score.alias("score"), F.when(felt, F.struct(dominant_emotion(F.col("emotion")).alias("top"))).alias("felt"))
-
-    def last_before(value: str, order: WindowSpec) -> Column:
-        return F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-
-    was = last_before("felt", Window.partitionBy("session_id").orderBy("pos"))
-    rows = rows.withColumns({"step": F.abs(F.col("score") - last_before("score", by_session())), "switch": F.col("felt.top") != was["top"]})
+    chunk = [c for c in seq.columns if c == "chunk"]
+    rows = seq.select("session_id", "pos", *ORDER, *chunk, score.alias("score"), F.when(felt, F.struct(dominant_emotion(F.col("emotion")).alias("top"))).alias("felt"))
+    rows = running(rows, ["session_id"], ORDER, {"last_score": F.col("score")})
+    # the input order may go back in time, so it has no chunks
+    rows = running(rows.drop("chunk"), ["session_id"], ("pos",), {"last_felt": F.col("felt")})
+    rows = rows.withColumns({"step": F.abs(F.col("score") - F.col("last_score")), "switch": F.col("felt.top") != F.col("last_felt.top")})
     sums = rows.groupBy("session_id").agg(F.avg("step").alias("step"), F.count_if("switch").alias("switches"), F.count("felt").alias("n"))
     share = F.when(F.col("n") > 1, F.col("switches") / (F.col("n") - 1)).otherwise(F.lit(0.0))
     raw = 0.65 * F.coalesce(F.col("step") / 10000, F.lit(0.0)) + 0.35 * share

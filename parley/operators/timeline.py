@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import round_binary
-from parley.operators.metrics import by_session, by_speaker, seconds
+from parley.operators.chunks import in_chunks, running
+from parley.operators.metrics import ORDER, seconds
 from parley.thresholds import Thresholds
 
 COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec"]
@@ -103,15 +104,13 @@ def turn_markers(seq: DataFrame, t: Thresholds, *kinds: str) -> DataFrame:
     """Markers of single turns, numbered by kind in sequence order: one pass over a session's turns, one numbering."""
     own = {"own_score": "score_e4", "own_label": "sent_label", "own_start": "start_ms"}
     scored = F.col("sent_label").isNotNull() & F.col("score_e4").isNotNull()
-    before = by_session().rowsBetween(Window.unboundedPreceding, -1)
-    rows = seq.withColumns(
-        {name: F.lag(c).over(by_speaker()) for name, c in own.items()}
-        | {"prev_score": F.when(scored, F.last(F.when(scored, F.col("score_e4")), ignorenulls=True).over(before))}
-    )
+    rows = running(seq, ["session_id", "speaker"], ORDER, {"own": F.struct(*own.values())})
+    rows = running(rows, ["session_id"], ORDER, {"scored": F.when(scored, F.col("score_e4"))})
+    rows = rows.withColumns({name: F.col(f"own.{c}") for name, c in own.items()} | {"prev_score": F.when(scored, F.col("scored"))})
     marks = F.array_compact(F.array(*[TURN_MARKERS[k](t) for k in kinds or TURN_MARKERS]))
-    rows = rows.select("session_id", "seq", "speaker", F.explode(marks).alias("m")).select("session_id", "seq", "speaker", "m.*")
-    number = F.row_number().over(Window.partitionBy("session_id", "type").orderBy("seq"))
-    rows = rows.withColumn("number", number).withColumn("marker_id", F.concat("type", F.lit("_"), "number"))
+    chunk = [c for c in rows.columns if c == "chunk"]
+    rows = rows.select("session_id", "seq", "speaker", *chunk, F.explode(marks).alias("m")).select("session_id", "seq", "speaker", *chunk, "m.*")
+    rows = running(rows, ["session_id", "type"], ("seq",), number="number").withColumn("marker_id", F.concat("type", F.lit("_"), "number"))
     return rows.select(*COLUMNS, "evidence", "number")
 
 
@@ -142,8 +141,15 @@ def _declining(markers: DataFrame, trend: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS, "evidence")
 
 
-def build_timeline(seq: DataFrame, speakers: DataFrame, trend: DataFrame, t: Thresholds | None = None) -> DataFrame:
+def placed(markers: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Markers with their place in the order of time and marker id; ``bounds`` are those of long sessions."""
+    rows = markers if bounds is None else in_chunks(markers, bounds, F.col("time_sec") * 1000)
+    rows = running(rows, ["session_id"], ("time_sec", "marker_id"), number="place")
+    return rows.select(*markers.columns, F.col("place").cast("long").alias("place"))
+
+
+def build_timeline(seq: DataFrame, speakers: DataFrame, trend: DataFrame, t: Thresholds | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """All markers of a session with their place in the order of time and marker id."""
     t = t or Thresholds()
     rows = _declining(turn_markers(seq, t), trend).unionByName(dominance_markers(speakers, t)).unionByName(tension_markers(speakers, t))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("time_sec", "marker_id")))
+    return placed(rows, bounds)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators import escalation, inconsistency, metrics, scores, signals, summary, timeline
+from parley.operators import chunks, escalation, inconsistency, metrics, scores, signals, summary, timeline
 from parley.sources.scratch import discard, materialize
 from parley.thresholds import Thresholds
 
@@ -54,7 +54,13 @@ class Bundle:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return self._keep(metrics.sequence(self.utterances), "turns")
+        return self._keep(metrics.sequence(self.utterances, self.bounds), "turns")
+
+    @cached_property
+    def bounds(self) -> DataFrame | None:
+        """Where sessions too long for one task are cut; None if there is none."""
+        found = chunks.long_sessions(self.utterances)
+        return None if found is None else self._keep(found, "bounds")
 
     @cached_property
     def read_turns(self) -> DataFrame:
@@ -99,7 +105,7 @@ class Bundle:
     @cached_property
     def markers(self) -> DataFrame:
         """The timeline that escalation sees."""
-        return self._keep(timeline.build_timeline(self.turns, self.speakers, self.trend, self.thresholds), "markers")
+        return self._keep(timeline.build_timeline(self.turns, self.speakers, self.trend, self.thresholds, self.bounds), "markers")
 
     @cached_property
     def escalation_signals(self) -> DataFrame:
@@ -148,8 +154,7 @@ class Bundle:
         self.prepare(("sessions", "session_sentiment", "session_emotion", "speaker_emotion", "scores", "escalation_signals", "escalation", "session_flags"))
         more = inconsistency.inconsistency_markers(self.inconsistency_windows, self.inconsistency)
         rows = self.markers.drop("place").unionByName(more)
-        order = Window.partitionBy("session_id").orderBy("time_sec", "marker_id")
-        return rows.withColumn("place", F.row_number().over(order).cast("long"))
+        return timeline.placed(rows, self.bounds)
 
     @cached_property
     def overall(self) -> DataFrame:
