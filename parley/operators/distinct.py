@@ -14,7 +14,7 @@ comparing titles with those just kept, so a group of many similar titles ends af
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -28,6 +28,8 @@ from parley.sources.scratch import discard, materialize
 SIMILAR, REPEAT, MOST = 0.82, 0.03, 2
 #: Titles compared with each other by one task; candidates settled in the first round and in a round at most.
 BLOCK, FIRST, ROUND = 8192, 512, 16384
+#: Titles that are compared before the others are looked at.
+AHEAD = 64
 #: Titles of lengths a and b can be similar only if the shorter has this share of the longer's length.
 SHORTER = SIMILAR / (2 - SIMILAR)
 TITLE = "title "
@@ -52,18 +54,52 @@ def _signature_bits() -> tuple[np.ndarray, np.ndarray]:
 _FIRST, _SIZE = _signature_bits()
 
 
-def signatures(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters by class in unary (128 bits), how many found no bit, and lengths."""
-    bits, lengths = np.zeros((len(titles), 128), bool), np.array([len(t) for t in titles], np.int64)
-    spare = np.zeros(len(titles), np.int64)
-    for k, title in enumerate(titles):
-        points = np.minimum(np.frombuffer(title.encode("utf-32-le", "surrogatepass"), "<u4"), 128)
-        starts, counts = np.unique(_FIRST[points], return_counts=True)
-        for start, n in zip(starts, counts, strict=True):
-            room = _ROOM[start]
-            bits[k, start : start + min(n, room)] = True
-            spare[k] += max(0, n - room)
-    return np.packbits(bits, axis=1).view("<u8"), spare, lengths
+class Titles:
+    """Titles with what bounds their similarity: characters by class in unary (128 bits) and hashed pairs of neighbours (512 bits).
+
+    ``spare`` counts what found no bit of its own, so what two titles have in common is at most the bits that both have
+    and the smaller spare.
+    """
+
+    def __init__(self, titles: list[str]):
+        self.titles, n = titles, len(titles)
+        self.lengths = np.array([len(t) for t in titles], np.int32)
+        points = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(n), self.lengths)
+        kind = _FIRST[np.minimum(points, 128)]
+        counts = np.bincount(row * 128 + kind, minlength=n * 128).reshape(n, 128)
+        held = np.minimum(counts, _ROOM[:128])
+        self.spare = (counts - held).sum(axis=1, dtype=np.int32)
+        bits = np.zeros((n, 128), bool)
+        for start in np.unique(_FIRST):
+            for k in range(_ROOM[start]):
+                bits[:, start + k] = held[:, start] > k
+        self.bits = np.ascontiguousarray(np.packbits(bits, axis=1).view("<u8").T)  # a word of all titles in a row
+        pair = ((points[:-1] * 31 + points[1:]) * 0x9E3779B1 >> 7) % 512
+        inside = row[:-1] == row[1:]
+        pairs = np.zeros((n, 512), bool)
+        pairs[row[:-1][inside], pair[inside]] = True
+        self.pair_spare = np.maximum(self.lengths - 1, 0) - pairs.sum(axis=1)
+        self.pairs = np.packbits(pairs, axis=1).view("<u8")
+
+    def close(self, i: int, others: Titles, among: np.ndarray | slice = slice(None)) -> Iterator[int]:
+        """Places of the titles that title ``i`` may be similar to, the ``AHEAD`` closest by their characters first.
+
+        ``m`` matched characters lie in at most one block more than there are unmatched ones, and a block of ``k``
+        characters has ``k - 1`` pairs, so of ``both`` characters ``3 m - both - 1`` pairs are common.
+        """
+        both = others.lengths[among] + self.lengths[i]
+        common = np.minimum(others.spare[among], self.spare[i])
+        for word, other in zip(self.bits[:, i], others.bits, strict=True):
+            common += np.bitwise_count(other[among] & word)
+        at = np.flatnonzero(common >= np.float32(SIMILAR / 2 - 1e-6) * both)
+        if len(at) > AHEAD:
+            at = at[np.argpartition(-common[at] / np.maximum(both[at], 1), AHEAD)]
+        places = np.arange(len(others.titles))[among]
+        for some in (at[:AHEAD], at[AHEAD:]):
+            near = places[some]
+            pairs = np.bitwise_count(self.pairs[i] & others.pairs[near]).sum(axis=1, dtype=np.int64) + np.minimum(self.pair_spare[i], others.pair_spare[near])
+            yield from near[pairs >= (1.5 * SIMILAR - 1) * both[some] - 1 - 1e-9].tolist()
 
 
 _ROOM = np.zeros(129, np.int64)
@@ -78,24 +114,21 @@ def similar(one: str, two: str) -> bool:
 def matches(own: list[str], others: list[str], most: int, both_ways: bool = False) -> tuple[list[list[int]], list[bool]]:
     """For each title, the places of ``most`` other titles that it is similar to, and whether any is (``both_ways``: or to it).
 
-    Equal titles are left out. The closest by their characters are compared first, and what comes after ``most`` is not.
+    Equal titles are left out. What comes after ``most`` is not compared.
     """
-    (sig_a, over_a, len_a), (sig_b, over_b, len_b) = signatures(own), signatures(others)
+    asked, held = Titles(own), Titles(others)
     found: list[list[int]] = []
     linked: list[bool] = []
     for i, title in enumerate(own):
-        common = np.bitwise_count(sig_a[i] & sig_b).sum(axis=1, dtype=np.int64) + np.minimum(over_a[i], over_b)
-        both = len_a[i] + len_b
-        at = np.flatnonzero(2.0 * common >= (SIMILAR - 1e-9) * both)
         here, some = [], False
-        for j in at[np.argsort(-common[at] / np.maximum(both[at], 1), kind="stable")]:
+        for j in asked.close(i, held):
             if len(here) == most:
                 break
             other = others[j]
             if other == title:
                 continue
             if similar(title, other):
-                here.append(int(j))
+                here.append(j)
             some = some or bool(here) or (both_ways and similar(other, title))
         found.append(here)
         linked.append(some)
@@ -157,19 +190,12 @@ def _settle(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at", ignore_index=True)
         seen: set[str] = set()
-        titles, kept = [], []
-        sig, over, length = signatures([m[-1][len(TITLE) :] for m in rows["marks"]])
+        own = Titles([m[-1][len(TITLE) :] for m in rows["marks"]])
+        kept = np.zeros(0, np.int64)
         for i, marks in enumerate(rows["marks"]):
-            title = marks[-1][len(TITLE) :]
-            if not seen.isdisjoint(marks):
-                continue
-            common = np.bitwise_count(sig[i] & sig[kept]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[kept])
-            close = np.flatnonzero(2.0 * common >= (SIMILAR - 1e-9) * (length[i] + length[kept])) if kept else []
-            if any(similar(title, titles[j]) for j in close):
-                continue
-            seen.update(marks)
-            kept.append(i)
-            titles.append(title)
+            if seen.isdisjoint(marks) and not any(similar(own.titles[i], own.titles[j]) for j in own.close(i, own, kept)):
+                seen.update(marks)
+                kept = np.append(kept, i)
         return rows.iloc[kept][["cid"]]
 
     return settle

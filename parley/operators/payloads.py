@@ -112,7 +112,7 @@ def _text(v: Column, path: str) -> Column:
     return F.nullif(F.trim(F.try_variant_get(v, path, "string")), F.lit(""))
 
 
-def _real(v: Column, path: str) -> Column:
+def real_number(v: Column, path: str) -> Column:
     """A number, or a text that is one; never a boolean."""
     kind, text = _kind(v, path), F.try_variant_get(v, path, "string")
     return F.when(_number(kind), F.try_variant_get(v, path, "double")).when((kind == "STRING") & text.rlike(NUMERIC_TEXT), text.try_cast("double"))
@@ -132,7 +132,7 @@ def _milliseconds(seconds: Column) -> Column:
 
 
 def _share(v: Column, path: str) -> Column:
-    value = _real(v, path)
+    value = real_number(v, path)
     return F.when(value.between(0, 1), F.round(value, 4))
 
 
@@ -144,8 +144,8 @@ def normalize(payloads: DataFrame) -> DataFrame:
     own = F.concat(F.lit(f"{UNKNOWN_SESSION}:"), F.col("payload_id").cast("string"))
     head = payloads.select("payload_id", F.coalesce(_text(F.col("p"), "$.session_id"), own).alias("session_id"))
     u = F.col("u")
-    start = F.coalesce(_milliseconds(_real(u, "$.start")), F.lit(0).cast("long"))
-    end = F.greatest(start, F.coalesce(_milliseconds(_real(u, "$.end")), start))
+    start = F.coalesce(_milliseconds(real_number(u, "$.start")), F.lit(0).cast("long"))
+    end = F.greatest(start, F.coalesce(_milliseconds(real_number(u, "$.end")), start))
     label, score = F.lower(_text(u, "$.sentiment.label")), _share(u, "$.sentiment.score")
     emotions = F.map_filter(F.try_variant_get(u, "$.emotion.values", "map<string,double>"), lambda k, v: v.between(0, 1))
     words = F.try_variant_get(u, "$.word_count", "bigint")

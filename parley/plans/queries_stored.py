@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.evidence import evidence_from_responses
 from parley.plans.bundle import build_bundle
 from parley.plans.oracles import ORACLES as TABLES
 from parley.plans.oracles_summary import ORACLES as TEXTS
@@ -15,7 +16,7 @@ from parley.plans.oracles_summary import SPEAKER_FLAG
 from parley.plans.queries import Query
 from parley.plans.queries_calls import ORACLES as CALLS
 from parley.sources import insights, sessions
-from parley.sources.adapters import UTTERANCES_SQL, utterances_from_events
+from parley.sources.adapters import UTTERANCES_SQL, read_table, utterances_from_events
 from parley.sources.scratch import shared_folder
 
 #: Folders of stored insights by application and source, so that several views of one session read one table.
@@ -55,7 +56,21 @@ def typed_utterances(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("emotions", F.coalesce(F.cardinality("emotion"), F.lit(0)).cast("long")).drop("emotion", "word_count", "diarization_confidence")
 
 
+def service_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored response for each event: five services in turn, with notes of limits and missing fields, and broken text."""
+    v, turn = "cast(floor(value) as bigint)", "event_id % 6"
+    bodies = f"""CASE {turn} WHEN 0 THEN format_string('{{"rates": {{"EUR": %d}}}}', {v}) WHEN 1 THEN format_string('{{"bitcoin": {{"usd": %d}}}}', {v})
+        WHEN 2 THEN format_string('{{%s"Global Quote": {{"05. price": "%d.5"}}}}', CASE WHEN event_id % 4 = 0 THEN '"Note": "limit", ' ELSE '' END, {v})
+        WHEN 3 THEN format_string('{{"%s": {{"temp": %d}}}}', CASE WHEN event_id % 9 = 0 THEN 'other' ELSE 'main' END, {v})
+        WHEN 4 THEN CASE WHEN event_id % 10 = 0 THEN '{{"extract": "A country."}}' ELSE '{{"extract": "Its capital and largest city is Paris."}}' END
+        ELSE '{{"rates"' END"""
+    kinds = f"element_at(array('CURRENCY_RATE', 'CRYPTO_PRICE', 'STOCK_PRICE', 'WEATHER', 'STATIC_FACT', 'WEATHER'), cast({turn} as int) + 1)"
+    subjects = f"element_at(array('USD/EUR', 'BTC', 'AAPL', 'Paris|C', 'France', 'Paris|C'), cast({turn} as int) + 1)"
+    return read_table(spark, folder, "events").selectExpr(f"{kinds} claim_type", f"{subjects} subject", "event_id fetched_ms", f"{bodies} body")
+
+
 QUERIES: dict[str, Query] = {
+    "service_evidence": lambda spark, folder: evidence_from_responses(service_responses(spark, folder)),
     "typed_utterances": typed_utterances,
     "session_faults": lambda spark, folder: sessions.fault_counts(_documents(spark, folder)),
     "stored_summaries": _view(lambda s: insights.summary_view(s).withColumns({c: F.array_join(c, " | ") for c in ("notable_concerns", "key_moments")})),
@@ -63,6 +78,11 @@ QUERIES: dict[str, Query] = {
     "stored_timeline": _view(lambda s: insights.timeline_view(s).drop("evidence")),
 }
 ORACLES: dict[str, str] = {
+    "service_evidence": """SELECT ['CURRENCY_RATE', 'CRYPTO_PRICE', 'STOCK_PRICE', 'WEATHER', 'STATIC_FACT'][turn] claim_type,
+        ['USD/EUR', 'BTC', 'AAPL', 'Paris|C', 'France'][turn] subject, event_id fetched_ms, CASE WHEN turn = 3 THEN floor(value) + 0.5 WHEN turn < 5 THEN floor(value) END value,
+        CASE WHEN turn = 5 THEN 'Paris' END value_text, ['EUR', 'USD', 'USD', 'C', NULL][turn] unit, ['forex', 'crypto', 'stock', 'weather', 'facts'][turn] source
+        FROM (SELECT *, event_id % 6 + 1 turn FROM events) WHERE turn < 6 AND NOT (turn = 3 AND event_id % 4 = 0) AND NOT (turn = 4 AND event_id % 9 = 0)
+        AND NOT (turn = 5 AND event_id % 10 = 0)""",
     "typed_utterances": f"""WITH {UTTERANCES_SQL} SELECT session_id, utt_id, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms, utt_id) pos,
         upper(speaker) speaker, start_ms, end_ms, text, sent_label, score_e4, overlap, confidence, CASE WHEN e1 IS NULL THEN 0 ELSE 2 END::BIGINT emotions
         FROM u WHERE CAST(session_id AS BIGINT) % 10 NOT IN (3, 5)""",
