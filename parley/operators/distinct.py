@@ -140,16 +140,20 @@ def _band(title: Column) -> Column:
     return F.floor(F.log(F.greatest(F.length(title), F.lit(1)).cast("double")) / -float(np.log(SHORTER)) + 1e-9).cast("int")
 
 
-def _comparer(keys: list[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"tid": [], "near": [], "linked": []})
-        found, linked = matches(asked["title"].tolist(), held["title"].tolist(), MOST, both_ways=True)
-        ids = held["tid"].tolist()
-        rows = pd.DataFrame({"tid": asked["tid"], "near": [[ids[j] for j in f] for f in found], "linked": linked})
-        return rows[rows["linked"]]
+def _compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    if not len(asked) or not len(held):
+        return pd.DataFrame({"tid": [], "near": [], "linked": []})
+    found, linked = matches(asked["title"].tolist(), held["title"].tolist(), MOST, both_ways=True)
+    ids = held["tid"].tolist()
+    rows = pd.DataFrame({"tid": asked["tid"], "near": [[ids[j] for j in f] for f in found], "linked": linked})
+    return rows[rows["linked"]]
 
-    return compare
+
+def _cogroup(one: DataFrame, two: DataFrame, on: list[str], function: Callable, schema: str) -> DataFrame:
+    """A cogroup whose groups are spread over all shuffle partitions: they are few bytes and much work, so they are not coalesced."""
+    tasks = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = (t.select(*[F.col(c).alias(c) for c in t.columns]).repartition(tasks, *on).groupBy(*on) for t in (one, two))
+    return one.cogroup(two).applyInPandas(function, schema)
 
 
 def near_titles(titles: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,8 +168,7 @@ def near_titles(titles: DataFrame, keys: list[str]) -> DataFrame:
     titles = materialize(titles.join(blocks, [*keys, "band"]).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")), "titles")
 
     def meet(asked: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
-        held = held.select(*[F.col(c).alias(c) for c in held.columns])
-        return asked.groupBy(*on).cogroup(held.groupBy(*on)).applyInPandas(_comparer(keys), schema)
+        return _cogroup(asked, held, on, _compare, schema)
 
     place = [*keys, "band", "block"]
     inside = titles.select(*place, "tid", "title")
@@ -228,7 +231,7 @@ def _keep_in_order(linked: DataFrame, keys: list[str], order: list[Column]) -> D
         dealt = rest.join(blocks, keys).select(*keys, F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), "cid", title)
         asked = new.join(blocks, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), title)
         place = [*keys, "block"]
-        gone = dealt.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(_excluded, "cid long")
+        gone = _cogroup(dealt, asked, place, _excluded, "cid long")
         before, active = active, materialize(rest.join(gone, "cid", "left_anti"), "linked")
         discard(before, rest)
         size = min(ROUND, 4 * size)
