@@ -63,16 +63,6 @@ def audio_quality(signals: DataFrame, rate: int, frame: int | None = None) -> Da
     )
 
 
-def quality_gate(sessions: DataFrame, quality: DataFrame) -> DataFrame:
-    """Sessions that are loud enough, with warnings, and without emotion if the ratio is low."""
-    rows = sessions.join(quality.where("not is_silent and not is_near_silent"), sessions.session_id == quality.id)
-    warnings = F.array_compact(F.array(F.when(F.col("very_low_snr"), "VERY_LOW_SNR"), F.when(F.col("low_snr"), "LOW_SNR")))
-    kept = rows.withColumn("quality_warnings", warnings)
-    if "emotion" in sessions.columns:
-        kept = kept.withColumn("emotion", F.when(~F.col("low_snr"), F.col("emotion")))
-    return kept.select(*sessions.columns, "quality_warnings")
-
-
 def transcript_proxy(segments: DataFrame) -> DataFrame:
     """Length, pace and repetition of a transcript (columns ``session_id``, ``pos``, ``start_ms``, ``end_ms``, ``text``)."""
     by_session = segments.groupBy("session_id").agg(

@@ -141,9 +141,8 @@ ORACLES: dict[str, str] = {
 }
 
 
-def payloads_from_utterances(spark: SparkSession, folder: str) -> DataFrame:
+def payloads_from_utterances(u: DataFrame) -> DataFrame:
     """One JSON payload per session, with the flaws that a source might have."""
-    u = utterances_from_events(spark, folder)
     odd = F.col("pos") % 17
     item = F.to_json(
         F.struct(
@@ -168,7 +167,7 @@ def payloads_from_utterances(spark: SparkSession, folder: str) -> DataFrame:
 def _payloads(table: Callable[[DataFrame], DataFrame]) -> Query:
     from parley.operators import payloads
 
-    return lambda spark, folder: table(payloads.read_payloads(payloads_from_utterances(spark, folder)))
+    return lambda spark, folder: table(payloads.read_payloads(payloads_from_utterances(utterances_from_events(spark, folder))))
 
 
 def _payload_queries() -> dict[str, Query]:
@@ -187,14 +186,14 @@ def _payload_queries() -> dict[str, Query]:
 
 
 QUERIES |= _payload_queries()
-_FLAWS = """SELECT session_id payload_id, 'missing_required_field' code, 'session_id' field, 'error' severity FROM u WHERE CAST(session_id AS BIGINT) % 7 = 0 GROUP BY 1
+FLAWS = """SELECT session_id payload_id, 'missing_required_field' code, 'session_id' field, 'error' severity FROM u WHERE CAST(session_id AS BIGINT) % 7 = 0 GROUP BY 1
   UNION ALL SELECT session_id, 'missing_end', 'utterances[' || (pos - 1) || '].end', 'error' FROM u WHERE pos % 17 = 5
   UNION ALL SELECT session_id, 'invalid_confidence', 'utterances[' || (pos - 1) || '].confidence', 'warning' FROM u WHERE pos % 17 = 7
   UNION ALL SELECT session_id, 'irregular_order', 'utterances[' || (pos - 1) || '].start', 'warning' FROM
     (SELECT *, lag(start_ms) OVER (PARTITION BY session_id ORDER BY pos) was FROM u) WHERE start_ms < was"""
 ORACLES |= {
-    "payload_issues": f"WITH {UTTERANCES_SQL} {_FLAWS}",
-    "payload_status": f"WITH {UTTERANCES_SQL}, i AS ({_FLAWS}) SELECT payload_id, CASE WHEN count_if(severity = 'error') > 0 THEN 'error' WHEN count(code) > 0 THEN 'warning' ELSE 'ok' END status, "
+    "payload_issues": f"WITH {UTTERANCES_SQL} {FLAWS}",
+    "payload_status": f"WITH {UTTERANCES_SQL}, i AS ({FLAWS}) SELECT payload_id, CASE WHEN count_if(severity = 'error') > 0 THEN 'error' WHEN count(code) > 0 THEN 'warning' ELSE 'ok' END status, "
     "count(code) n_issues FROM (SELECT DISTINCT session_id payload_id FROM u) LEFT JOIN i USING (payload_id) GROUP BY 1",
     "session_advisories": f"""WITH {UTTERANCES_SQL} SELECT session_id, unnest(CASE WHEN len(codes) > 0 THEN codes ELSE [NULL] END) code FROM
       (SELECT session_id, list_filter([CASE WHEN max(end_ms) <= 0 THEN 'no_duration' END, CASE WHEN count(*) = 1 THEN 'single_utterance' END,

@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators import gates, quality
 from parley.operators.evidence import evidence_from_responses
 from parley.plans.bundle import build_bundle
 from parley.plans.oracles import ORACLES as TABLES
 from parley.plans.oracles_summary import ORACLES as TEXTS
 from parley.plans.oracles_summary import SPEAKER_FLAG
-from parley.plans.queries import Query
+from parley.plans.oracles_text import ORACLES as LANGUAGE
+from parley.plans.queries import Query, signals_table
 from parley.plans.queries_calls import ORACLES as CALLS
+from parley.plans.queries_calls import FLAWS, payloads_from_utterances
 from parley.sources import insights, sessions
 from parley.sources.adapters import UTTERANCES_SQL, read_table, utterances_from_events
 from parley.sources.scratch import shared_folder
@@ -69,7 +72,37 @@ def service_responses(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").selectExpr(f"{kinds} claim_type", f"{subjects} subject", "event_id fetched_ms", f"{bodies} body")
 
 
+def _split(spark: SparkSession, gated: DataFrame) -> DataFrame:
+    path = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    gates.split(gated, path)
+    return spark.read.parquet(path)
+
+
+def _payload_side(accepted: bool) -> Query:
+    """One side of the gate of payloads of eight turns or fewer."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        calls = utterances_from_events(spark, folder)
+        calls = calls.withColumn("session_id", (F.col("session_id").cast("long") * 1000 + F.floor(F.col("pos") / 8)).cast("string"))
+        written = _split(spark, gates.gate_payloads(payloads_from_utterances(calls)))
+        return gates.side(written, accepted).select(
+            "payload_id", F.array_join(F.array_sort(F.array_distinct("issues.code")), ",").alias("codes"), F.size("issues").cast("long").alias("n_issues")
+        )
+
+    return run
+
+
+def gated_audio(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides of the gate of recordings, from the written split."""
+    recordings = signals_table(spark, folder)
+    gated = gates.gate_audio(recordings.select(F.col("id").alias("session_id")), quality.audio_quality(recordings, 1600, 16))
+    return _split(spark, gated).withColumns({"quality_warnings": F.array_join("quality_warnings", ","), gates.SIDE: F.col(gates.SIDE).cast("boolean")})
+
+
 QUERIES: dict[str, Query] = {
+    "accepted_payloads": _payload_side(True),
+    "rejected_payloads": _payload_side(False),
+    "gated_audio": gated_audio,
     "service_evidence": lambda spark, folder: evidence_from_responses(service_responses(spark, folder)),
     "typed_utterances": typed_utterances,
     "session_faults": lambda spark, folder: sessions.fault_counts(_documents(spark, folder)),
@@ -77,7 +110,19 @@ QUERIES: dict[str, Query] = {
     "stored_speakers": _view(lambda s: insights.speakers_view(s).withColumn("flags", F.array_join("flags.type", ","))),
     "stored_timeline": _view(lambda s: insights.timeline_view(s).drop("evidence")),
 }
+def _side_sql(having: str) -> str:
+    return f"""WITH {UTTERANCES_SQL}, v AS (SELECT * REPLACE (CAST(CAST(session_id AS BIGINT) * 1000 + pos // 8 AS VARCHAR) AS session_id) FROM u),
+        i AS ({FLAWS.replace("FROM u", "FROM v")}), s AS (SELECT DISTINCT session_id payload_id FROM v)
+        SELECT payload_id, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') codes, count(code) n_issues FROM s LEFT JOIN i USING (payload_id)
+        GROUP BY 1 HAVING {having}"""
+
+
 ORACLES: dict[str, str] = {
+    "accepted_payloads": _side_sql("count(*) FILTER (severity = 'error') = 0"),
+    "rejected_payloads": _side_sql("count(*) FILTER (severity = 'error') > 0"),
+    "gated_audio": f"""SELECT id session_id, array_to_string(list_filter(CASE WHEN is_silent OR is_near_silent THEN ['AUDIO_SILENT_OR_NEAR_SILENT'] ELSE
+        [CASE WHEN low_snr THEN 'LOW_SNR_AUDIO' END, CASE WHEN very_low_snr THEN 'HEAVY_NOISE_AUDIO' END] END, lambda x: x IS NOT NULL), ',') quality_warnings,
+        NOT (is_silent OR is_near_silent) accepted FROM ({LANGUAGE["audio_quality"]})""",
     "service_evidence": """SELECT ['CURRENCY_RATE', 'CRYPTO_PRICE', 'STOCK_PRICE', 'WEATHER', 'STATIC_FACT'][turn] claim_type,
         ['USD/EUR', 'BTC', 'AAPL', 'Paris|C', 'France'][turn] subject, event_id fetched_ms, CASE WHEN turn = 3 THEN floor(value) + 0.5 WHEN turn < 5 THEN floor(value) END value,
         CASE WHEN turn = 5 THEN 'Paris' END value_text, ['EUR', 'USD', 'USD', 'C', NULL][turn] unit, ['forex', 'crypto', 'stock', 'weather', 'facts'][turn] source
