@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from parley.functions.numbers import round_binary
 from parley.operators.metrics import ratio, word_count
+from parley.operators.payloads import SENTIMENTS
 
 SILENCE_DB, NEAR_SILENCE_DB, SPEECH_DB = -60.0, -45.0, -35.0
 
@@ -108,33 +108,41 @@ def alignment_health(asr: DataFrame, aligned: DataFrame) -> DataFrame:
     )
 
 
-def summary_compression(transcript: Column, summary: Column) -> Column:
-    return ratio(word_count(summary), word_count(transcript))
+def summary_proxy(texts: DataFrame) -> DataFrame:
+    """Words of a session's ``transcript`` and ``summary`` and their ratio; null texts have none."""
+    said, short = word_count(F.coalesce("transcript", F.lit(""))), word_count(F.coalesce("summary", F.lit("")))
+    rows = texts.select("session_id", short.alias("summary_words"), said.alias("transcript_words"))
+    return rows.withColumn("compression_ratio", ratio(F.col("summary_words"), F.col("transcript_words")))
+
+
+def sentiment_proxy(turns: DataFrame) -> DataFrame:
+    """How many turns of a session have a label, and the share of each label among them."""
+    share = lambda name: ratio(F.count_if(F.col("sent_label") == name), F.count("sent_label")).alias(f"{name}_share")
+    return turns.groupBy("session_id").agg(F.count("sent_label").alias("labelled"), *[share(name) for name in SENTIMENTS])
 
 
 def character_error_rate(truth: Column, said: Column) -> Column:
     return F.levenshtein(truth, said) / F.nullif(F.length(truth), F.lit(0))
 
 
-def _word_errors(truth: str | None, said: str | None) -> float | None:
-    expected, found = (truth or "").split(), (said or "").split()
-    if not expected:
-        return None
-    row = list(range(len(found) + 1))
-    for i, word in enumerate(expected, 1):
-        before, row[0] = row[0], i
-        for j, other in enumerate(found, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (word != other))
-    return row[-1] / len(expected)
+def word_error_rate(truth: Column, said: Column) -> Column:
+    """Edits between words, by the number of true words; null without any.
 
+    Each distinct word of both texts becomes one character, so that the built-in distance between texts counts words.
+    """
+    words = lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
-def word_error_rate(truth: Column, said: Column) -> Column:
-    """Edits between words, by the number of true words; null without any."""
+    def character(number: Column) -> Column:
+        point = F.when(number < 0xD800, number).otherwise(number + 0x800)  # over the surrogates
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_word_errors(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    def rate(x: Column) -> Column:
+        coded = lambda side: F.array_join(F.transform(x[side], lambda w: character(F.array_position(x["known"], w))), "")
+        return F.levenshtein(coded("a"), coded("b")) / F.nullif(F.size(x["a"]), F.lit(0))
 
-    return F.pandas_udf(of, DoubleType())(truth, said)
+    both = F.struct(words(truth).alias("a"), words(said).alias("b"))
+    numbered = F.transform(F.array(both), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.array_distinct(F.concat(x["a"], x["b"])).alias("known")))
+    return F.element_at(F.transform(numbered, rate), 1)
 
 
 def segment_stats(segments: DataFrame) -> DataFrame:
@@ -187,19 +195,34 @@ def conversation_stats(segments: DataFrame, diarized: DataFrame) -> DataFrame:
     )
 
 
-def evaluation(asr: DataFrame, diarized: DataFrame, aligned: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """One row per session: the proxies, and error rates where ``truth`` (session_id, text) is known."""
+def evaluation(
+    asr: DataFrame,
+    diarized: DataFrame,
+    aligned: DataFrame,
+    truth: DataFrame | None = None,
+    turns: DataFrame | None = None,
+    summaries: DataFrame | None = None,
+) -> DataFrame:
+    """One row per session: the proxies, those of sentiment and summary where ``turns`` and ``summaries`` (session_id,
+    summary) are given, and error rates where ``truth`` (session_id, text) is known; a session without it has none."""
     rows = transcript_proxy(asr).withColumnRenamed("num_segments", "asr_count")
     diar = diarization_proxy(diarized).withColumnsRenamed({"num_segments": "diar_count", "avg_segment_sec": "avg_turn_sec"})
     rows = rows.join(diar, "session_id", "left").join(alignment_health(asr, aligned), "session_id", "left")
-    if truth is None:
-        return rows
     said = asr.groupBy("session_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("said")
     )
-    rates = truth.join(said, "session_id").select(
+    if turns is not None:
+        rows = rows.join(sentiment_proxy(turns), "session_id", "left")
+    if summaries is not None:
+        texts = said.withColumnRenamed("said", "transcript").join(summaries.select("session_id", "summary"), "session_id", "left")
+        rows = rows.join(summary_proxy(texts), "session_id", "left")
+    return rows if truth is None else rows.join(error_rates(truth, said), "session_id", "left")
+
+
+def error_rates(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """Word and character error rates of ``said`` against ``truth`` (session_id, text)."""
+    return truth.join(said, "session_id").select(
         "session_id",
         word_error_rate(F.col("text"), F.col("said")).alias("wer"),
         character_error_rate(F.col("text"), F.col("said")).alias("cer"),
     )
-    return rows.join(rates, "session_id", "left")

@@ -37,6 +37,18 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def evaluated(spark: SparkSession, folder: str) -> DataFrame:
+    """Every measure of a session; the truth differs from what was recognised in each fifth turn, the summary is the first turn."""
+    turns = utterances_from_events(spark, folder)
+    asr, diarized = asr_from_utterances(turns), diarized_from_utterances(turns)
+    told = F.when(F.col("pos") % 5 == 0, F.lit("no more words")).otherwise(F.col("text"))
+    texts = F.array_sort(F.collect_list(F.struct("pos", told.alias("text"))))
+    truth = turns.groupBy("session_id").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
+    summaries = turns.groupBy("session_id").agg(F.min_by("text", "pos").alias("summary"))
+    found = quality.evaluation(asr, diarized, _aligned(asr, diarized), truth, turns, summaries)
+    return found.withColumn("cer", F.round("cer", 9))
+
+
 QUERIES: dict[str, Query] = {
     "asr_segments": _of(lambda asr, turns: asr),
     "words": _of(lambda asr, turns: _rounded(align.slice_words(asr), "word_start", "word_end")),
@@ -57,7 +69,8 @@ QUERIES: dict[str, Query] = {
     "transcript_proxy": _of(lambda asr, turns: quality.transcript_proxy(asr)),
     "diarization_proxy": _of(lambda asr, turns: quality.diarization_proxy(turns)),
     "alignment_health": _of(lambda asr, turns: quality.alignment_health(asr, _aligned(asr, turns))),
-    "evaluation": _of(lambda asr, turns: quality.evaluation(asr, turns, _aligned(asr, turns), asr.groupBy("session_id").agg(F.max("text").alias("text")))),
+    "evaluation": lambda spark, folder: evaluated(spark, folder).drop("wer"),
+    "word_errors": lambda spark, folder: evaluated(spark, folder).select("session_id", "wer"),
     "speaker_summaries": of_bundle(
         lambda b: summary.speaker_summaries(b.speakers, b.speaker_sentiment, b.speaker_emotion, b.speaker_flags)
     ),
@@ -210,3 +223,12 @@ ORACLES |= {
       CASE WHEN pos % 17 = 3 THEN 'utt_' || pos ELSE utt_id END utt_id, upper(speaker) || '_ONE' speaker, start_ms, CASE WHEN pos % 17 = 5 THEN start_ms ELSE end_ms END end_ms,
       text, len(string_split(text, ' ')) word_count, sent_label, score_e4, overlap, CASE WHEN pos % 17 <> 7 THEN round(confidence, 4) END confidence FROM u)""",
 }
+ORACLES["evaluation"] = f"""WITH {UTTERANCES_SQL}, {ASR_SQL}, said AS (SELECT session_id, string_agg(text, ' ' ORDER BY pos) s FROM asr GROUP BY 1),
+  t AS (SELECT session_id, string_agg(CASE WHEN pos % 5 = 0 THEN 'no more words' ELSE text END, ' ' ORDER BY pos) t, arg_min(text, pos) f,
+    count(sent_label) labelled, count(*) FILTER (sent_label = 'positive') p, count(*) FILTER (sent_label = 'neutral') n, count(*) FILTER (sent_label = 'negative') g FROM u GROUP BY 1)
+  SELECT a.* RENAME (num_segments AS asr_count), d.* EXCLUDE (session_id) RENAME (num_segments AS diar_count, avg_segment_sec AS avg_turn_sec), h.* EXCLUDE (session_id), labelled,
+    round(p / labelled, 4) positive_share, round(n / labelled, 4) neutral_share, round(g / labelled, 4) negative_share,
+    len(regexp_split_to_array(f, ' ')) summary_words, len(regexp_split_to_array(s, ' ')) transcript_words,
+    round(len(regexp_split_to_array(f, ' ')) / len(regexp_split_to_array(s, ' ')), 4) compression_ratio, round(levenshtein(t, s) / length(t), 9) cer
+  FROM ({ORACLES["transcript_proxy"]}) a LEFT JOIN ({ORACLES["diarization_proxy"]}) d USING (session_id) LEFT JOIN ({ORACLES["alignment_health"]}) h USING (session_id)
+  LEFT JOIN t USING (session_id) LEFT JOIN said USING (session_id)"""

@@ -234,9 +234,25 @@ def test_smoothing_merging_and_turns(spark):
 
 
 def test_error_rates(spark):
-    df = spark.createDataFrame([("a b c d", "a x c"), ("abc", "abc"), ("", "x")], "t string, s string").coalesce(1)
-    rows = df.select(quality.word_error_rate(F.col("t"), F.col("s")).alias("w"), quality.character_error_rate(F.col("t"), F.col("s")).alias("c")).collect()
-    assert [r.w for r in rows] == [0.5, 0.0, None] and rows[1].c == 0.0 and rows[2].c is None
+    rng = random.Random(6)
+    words = ["a", "b", "c", "dd", "\u00e9", "\u4e2d", "A"] + [f"w{i}" for i in range(300)]
+    pairs = [("a b c d", "a x c"), ("abc", "abc"), ("", "x"), (None, "x"), ("x y", None), ("  a\u00a0b \n c", "a b c")]
+    pairs += [(" ".join(rng.choices(words[: rng.choice([3, 7, 307])], k=rng.randrange(40))), " ".join(rng.choices(words, k=rng.randrange(40)))) for _ in range(60)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, t string, s string").coalesce(1)
+    rows = df.select("i", quality.word_error_rate(F.col("t"), F.col("s")).alias("w"), quality.character_error_rate(F.col("t"), F.col("s")).alias("c")).collect()
+    for r in rows:
+        a, b = ((x or "").split() for x in pairs[r.i])
+        assert r.w == (edits(a, b) / len(a) if a else None), pairs[r.i]
+    assert rows[1].c == 0.0 and rows[2].c is None
 
 
 def test_the_library_stands_without_the_optional_subpackage():
