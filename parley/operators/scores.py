@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import round_binary
-from parley.thresholds import Thresholds
+from parley.thresholds import TenantThresholds, Thresholds
 
 
 def _unit(value: Column) -> Column:
@@ -82,9 +82,9 @@ def _flags(rows: DataFrame, *flags: tuple[str, Column, Column, Column]) -> DataF
     return rows.select("*", F.explode(F.array_compact(made)).alias("flag"))
 
 
-def speaker_flags(speakers: DataFrame, speaker_emotion: DataFrame, t: Thresholds | None = None) -> DataFrame:
+def speaker_flags(speakers: DataFrame, speaker_emotion: DataFrame, t: Thresholds | TenantThresholds | None = None) -> DataFrame:
     t = t or Thresholds()
-    rows = speakers.join(speaker_emotion, ["session_id", "speaker"], "left")
+    rows = t.on(speakers.join(speaker_emotion, ["session_id", "speaker"], "left"))
     who, emotion = F.col("speaker"), F.col("dominant_emotion")
     strained = emotion.isin("angry", "frustrated", "anxious", "upset") & (F.col("sample_count") >= 2)
     medium, low = F.lit("medium"), F.lit("low")
@@ -108,7 +108,7 @@ def session_flags(
     trend: DataFrame,
     escalation: DataFrame,
     inconsistency: DataFrame,
-    t: Thresholds | None = None,
+    t: Thresholds | TenantThresholds | None = None,
 ) -> DataFrame:
     """Flags of a session, in order: those by speaker in the order of first speech, then those of the whole."""
     t = t or Thresholds()
@@ -116,7 +116,7 @@ def session_flags(
     interruptions, overlaps = F.col("interruption_count"), F.col("overlap_count")
     high = lambda condition: F.when(condition, "high").otherwise("medium")
     by_speaker = _flags(
-        speakers,
+        t.on(speakers),
         ("speaker_dominance", (speaking >= t.dominance_speaking_ratio) | (words >= t.dominance_word_ratio),
          high((speaking >= 0.75) | (words >= 0.75)), F.concat("speaker", F.lit(" appears to dominate the conversation."))),
         ("high_tension", (interruptions >= t.tension_interruptions) | (overlaps >= t.tension_overlaps),

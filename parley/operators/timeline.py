@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import round_binary
 from parley.operators.chunks import in_chunks, running
 from parley.operators.metrics import ORDER, seconds
-from parley.thresholds import Thresholds
+from parley.thresholds import TenantThresholds, Thresholds
 
 COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec"]
 
@@ -31,18 +31,18 @@ def _high_if(condition: Column) -> Column:
     return F.when(condition, "high").otherwise("medium")
 
 
-def dominance_markers(speakers: DataFrame, t: Thresholds) -> DataFrame:
+def dominance_markers(speakers: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     speaking, words = F.col("speaking_ratio"), F.col("word_ratio")
-    rows = speakers.where((speaking >= t.dominance_speaking_ratio) | (words >= t.dominance_word_ratio))
+    rows = t.on(speakers).where((speaking >= t.dominance_speaking_ratio) | (words >= t.dominance_word_ratio))
     rows = rows.withColumn("marker_id", F.concat(F.lit("dominance_"), "speaker"))
     first, last = F.col("first_spoke_at_sec"), F.col("last_spoke_at_sec")
     evidence = F.struct(round_binary(speaking, 3).alias("speaking_ratio"), round_binary(words, 3).alias("word_ratio"))
     return _marker(rows, "dominance_window", first, _high_if((speaking >= 0.75) | (words >= 0.75)), first, last, evidence)
 
 
-def tension_markers(speakers: DataFrame, t: Thresholds) -> DataFrame:
+def tension_markers(speakers: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     interruptions, overlaps = F.col("interruption_count"), F.col("overlap_count")
-    rows = speakers.where((interruptions >= t.tension_interruptions) | (overlaps >= t.tension_overlaps))
+    rows = t.on(speakers).where((interruptions >= t.tension_interruptions) | (overlaps >= t.tension_overlaps))
     rows = rows.withColumn("marker_id", F.concat(F.lit("high_tension_"), "speaker"))
     first, last = F.col("first_spoke_at_sec"), F.col("last_spoke_at_sec")
     evidence = F.struct("interruption_count", "overlap_count")
@@ -55,7 +55,7 @@ def _mark(kind: str, holds: Column, time: Column, severity: Column, start: Colum
     return F.when(holds, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
-def _pause(t: Thresholds) -> Column:
+def _pause(t: Thresholds | TenantThresholds) -> Column:
     evidence = F.struct(
         seconds(F.col("gap_ms")).alias("pause_duration_sec"),
         F.col("prev_speaker").alias("speaker_before"),
@@ -65,7 +65,7 @@ def _pause(t: Thresholds) -> Column:
     return _mark("engagement_drop", F.col("gap_ms") >= t.long_pause_ms, start, severity, start, seconds(F.col("start_ms")), evidence)
 
 
-def _interruption(t: Thresholds) -> Column:
+def _interruption(t: Thresholds | TenantThresholds) -> Column:
     evidence = F.struct(
         F.col("prev_speaker").alias("interrupted_speaker"),
         seconds(F.col("prev_end_ms") - F.col("start_ms")).alias("overlap_sec"),
@@ -75,7 +75,7 @@ def _interruption(t: Thresholds) -> Column:
     return _mark("interruption", F.col("interrupts"), start, F.lit("medium"), start, seconds(F.col("end_ms")), evidence)
 
 
-def _shift(t: Thresholds) -> Column:
+def _shift(t: Thresholds | TenantThresholds) -> Column:
     """A speaker's score moves far from that of the same speaker's utterance just before."""
     step = F.col("score_e4") - F.col("own_score")
     evidence = F.struct(
@@ -90,7 +90,7 @@ def _shift(t: Thresholds) -> Column:
     return _mark("emotional_shift", F.abs(step) >= t.shift_e4, seconds(F.col("start_ms")), severity, start, end, evidence)
 
 
-def _decline(t: Thresholds) -> Column:
+def _decline(t: Thresholds | TenantThresholds) -> Column:
     """A scored utterance with a clear step down; the first one of a declining session is a marker."""
     start, end = seconds(F.col("start_ms")), seconds(F.col("end_ms"))
     evidence = F.struct(F.lit("declining").alias("trend_direction"))
@@ -100,13 +100,13 @@ def _decline(t: Thresholds) -> Column:
 TURN_MARKERS = {"engagement_drop": _pause, "interruption": _interruption, "emotional_shift": _shift, "session_tone_decline": _decline}
 
 
-def turn_markers(seq: DataFrame, t: Thresholds, *kinds: str) -> DataFrame:
+def turn_markers(seq: DataFrame, t: Thresholds | TenantThresholds, *kinds: str) -> DataFrame:
     """Markers of single turns, numbered by kind in sequence order: one pass over a session's turns, one numbering."""
     own = {"own_score": "score_e4", "own_label": "sent_label", "own_start": "start_ms"}
     scored = F.col("sent_label").isNotNull() & F.col("score_e4").isNotNull()
     rows = running(seq, ["session_id", "speaker"], ORDER, {"own": F.struct(*own.values())})
     rows = running(rows, ["session_id"], ORDER, {"scored": F.when(scored, F.col("score_e4"))})
-    rows = rows.withColumns({name: F.col(f"own.{c}") for name, c in own.items()} | {"prev_score": F.when(scored, F.col("scored"))})
+    rows = t.on(rows).withColumns({name: F.col(f"own.{c}") for name, c in own.items()} | {"prev_score": F.when(scored, F.col("scored"))})
     marks = F.array_compact(F.array(*[TURN_MARKERS[k](t) for k in kinds or TURN_MARKERS]))
     chunk = [c for c in rows.columns if c == "chunk"]
     rows = rows.select("session_id", "seq", "speaker", *chunk, F.explode(marks).alias("m")).select("session_id", "seq", "speaker", *chunk, "m.*")
@@ -114,19 +114,19 @@ def turn_markers(seq: DataFrame, t: Thresholds, *kinds: str) -> DataFrame:
     return rows.select(*COLUMNS, "evidence", "number")
 
 
-def pause_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+def pause_markers(seq: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     return turn_markers(seq, t, "engagement_drop").drop("number")
 
 
-def interruption_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+def interruption_markers(seq: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     return turn_markers(seq, t, "interruption").drop("number")
 
 
-def shift_markers(seq: DataFrame, t: Thresholds) -> DataFrame:
+def shift_markers(seq: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     return turn_markers(seq, t, "emotional_shift").drop("number")
 
 
-def decline_markers(seq: DataFrame, trend: DataFrame, t: Thresholds) -> DataFrame:
+def decline_markers(seq: DataFrame, trend: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
     """In a declining session, the first scored utterance with a clear step down."""
     return _declining(turn_markers(seq, t, "session_tone_decline"), trend)
 
@@ -148,7 +148,7 @@ def placed(markers: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     return rows.select(*markers.columns, F.col("place").cast("long").alias("place"))
 
 
-def build_timeline(seq: DataFrame, speakers: DataFrame, trend: DataFrame, t: Thresholds | None = None, bounds: DataFrame | None = None) -> DataFrame:
+def build_timeline(seq: DataFrame, speakers: DataFrame, trend: DataFrame, t: Thresholds | TenantThresholds | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """All markers of a session with their place in the order of time and marker id."""
     t = t or Thresholds()
     rows = _declining(turn_markers(seq, t), trend).unionByName(dominance_markers(speakers, t)).unionByName(tension_markers(speakers, t))

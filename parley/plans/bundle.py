@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import chunks, escalation, inconsistency, metrics, scores, signals, summary, timeline
 from parley.sources.scratch import discard, materialize
-from parley.thresholds import Thresholds
+from parley.thresholds import TenantThresholds, Thresholds
 
 SESSION, SPEAKER = ["session_id"], ["session_id", "speaker"]
 #: The tables of a whole bundle; each reads those of earlier steps only.
@@ -32,7 +32,7 @@ class Bundle:
     holds the sorts and hash maps of more than one of them. ``discard()`` deletes the written tables.
     """
 
-    def __init__(self, utterances: DataFrame, thresholds: Thresholds | None = None):
+    def __init__(self, utterances: DataFrame, thresholds: Thresholds | TenantThresholds | None = None):
         self.utterances, self.thresholds = utterances, thresholds or Thresholds()
         self._written: list[DataFrame] = []
 
@@ -195,5 +195,5 @@ class Bundle:
         return rows
 
 
-def build_bundle(utterances: DataFrame, thresholds: Thresholds | None = None) -> Bundle:
+def build_bundle(utterances: DataFrame, thresholds: Thresholds | TenantThresholds | None = None) -> Bundle:
     return Bundle(utterances, thresholds)

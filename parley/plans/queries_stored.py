@@ -21,6 +21,7 @@ from parley.plans.queries_calls import FLAWS, payloads_from_utterances
 from parley.sources import insights, sessions
 from parley.sources.adapters import UTTERANCES_SQL, read_table, utterances_from_events
 from parley.sources.scratch import shared_folder
+from parley.thresholds import TenantThresholds
 
 #: Folders of stored insights by application and source, so that several views of one session read one table.
 _stored: dict[tuple[str, str], str] = {}
@@ -99,7 +100,16 @@ def gated_audio(spark: SparkSession, folder: str) -> DataFrame:
     return _split(spark, gated).withColumns({"quality_warnings": F.array_join("quality_warnings", ","), gates.SIDE: F.col(gates.SIDE).cast("boolean")})
 
 
+def tenant_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags of speakers, where sessions of one of two tenants have thresholds of their own."""
+    turns = utterances_from_events(spark, folder)
+    sessions_of = turns.select("session_id", F.when(F.col("session_id").cast("long") % 2 == 1, "strict").otherwise("usual").alias("tenant")).distinct()
+    table = spark.createDataFrame([("strict", 1, 10), ("idle", 9, 9)], "tenant string, frequent_interruptions int, low_inquiry_utterances int")
+    return build_bundle(turns, TenantThresholds(sessions_of, table)).speaker_flags.drop("place")
+
+
 QUERIES: dict[str, Query] = {
+    "tenant_flags": tenant_flags,
     "accepted_payloads": _payload_side(True),
     "rejected_payloads": _payload_side(False),
     "gated_audio": gated_audio,
@@ -118,6 +128,14 @@ def _side_sql(having: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "tenant_flags": f"""WITH r AS (SELECT *, CAST(session_id AS BIGINT) % 2 = 1 strict FROM ({TABLES["speaker_metrics"]}) LEFT JOIN ({TABLES["speaker_emotion"]}) USING (session_id, speaker))
+        SELECT session_id, speaker, 'frequent_interruptions' "type", 'medium' severity, speaker || ' shows repeated interruption behavior.' reason
+          FROM r WHERE interruption_count >= CASE WHEN strict THEN 1 ELSE 2 END
+        UNION ALL SELECT session_id, speaker, 'high_overlap_participation', 'medium', speaker || ' is frequently involved in overlapping turns.' FROM r WHERE overlap_count >= 2
+        UNION ALL SELECT session_id, speaker, 'low_inquiry_behavior', 'low', speaker || ' asks very few or no questions.'
+          FROM r WHERE question_count = 0 AND utterance_count >= CASE WHEN strict THEN 10 ELSE 4 END
+        UNION ALL SELECT session_id, speaker, 'speaker_emotional_strain', 'low', speaker || ' shows repeated ' || dominant_emotion || ' emotional signals.'
+          FROM r WHERE dominant_emotion IN ('angry', 'frustrated', 'anxious', 'upset') AND sample_count >= 2""",
     "accepted_payloads": _side_sql("count(*) FILTER (severity = 'error') = 0"),
     "rejected_payloads": _side_sql("count(*) FILTER (severity = 'error') > 0"),
     "gated_audio": f"""SELECT id session_id, array_to_string(list_filter(CASE WHEN is_silent OR is_near_silent THEN ['AUDIO_SILENT_OR_NEAR_SILENT'] ELSE
