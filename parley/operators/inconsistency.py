@@ -36,19 +36,24 @@ def read_turns(seq: DataFrame) -> DataFrame:
     return rows.withColumn("emotion_side", rules.emotion_polarity(F.col("emotion_top"))).drop("tokens")
 
 
-def _hit(family: int, eligible: Column, hit: Column, from_ms: Column) -> Column:
-    parts = {"family": F.lit(family), "from_ms": from_ms, "hit": F.coalesce(hit, F.lit(False))}
+def _say(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _hit(family: int, eligible: Column, hit: Column, from_ms: Column, reason: Column) -> Column:
+    parts = {"family": F.lit(family), "from_ms": from_ms, "hit": F.coalesce(hit, F.lit(False)), "reason": reason}
     return F.when(eligible, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
-def _state(state: Column, known: Column) -> Column:
-    return F.when(known, F.struct(state.alias("state"), F.col("start_ms").alias("from"), F.col("end_ms").alias("to")))
+def _state(state: Column, known: Column, name: Column) -> Column:
+    return F.when(known, F.struct(state.alias("state"), name.alias("name"), F.col("start_ms").alias("from"), F.col("end_ms").alias("to")))
 
 
-def _turnaround(family: int, state: Column, known: Column, was: Column, reach_ms: int) -> Column:
+def _turnaround(family: int, state: Column, known: Column, was: Column, reach_ms: int, verb: str, name: Column) -> Column:
     """A hit where a speaker's known state differs from the same speaker's known state before, which ended shortly before."""
     turned = known & (was["state"] != state) & (F.col("start_ms") - was["to"]).between(0, reach_ms)
-    return _hit(family, turned, F.lit(True), was["from"])
+    reason = _say(F.col("speaker"), f" {verb} from '", was["name"], "' to '", name, f"' within {reach_ms // 1000}s.")
+    return _hit(family, turned, F.lit(True), was["from"], reason)
 
 
 def inconsistent_turns(turns: DataFrame) -> DataFrame:
@@ -60,19 +65,20 @@ def inconsistent_turns(turns: DataFrame) -> DataFrame:
     polar = label.isin("positive", "negative")
     opposed = ((label == "positive") & (side == "negative")) | ((label == "negative") & (side == "positive"))
     flat = F.lower("emotion_top").isin("neutral", "calm")
-    own, stance = F.col("start_ms"), F.col("stance")
+    own, stance, emotion = F.col("start_ms"), F.col("stance"), F.col("emotion_top")
     felt = F.coalesce(side.isin("positive", "negative"), F.lit(False))
-    states = {"felt_before": _state(side, felt), "said_before": _state(stance, stance.isNotNull())}
+    states = {"felt_before": _state(side, felt, emotion), "said_before": _state(stance, stance.isNotNull(), stance)}
     turns = running(turns, ["session_id", "speaker"], ORDER, states)
     hits = F.array(
-        _hit(1, polar & lexical.isNotNull(), lexical != label, own),
-        _hit(2, polar & side.isNotNull(), opposed, own),
-        _turnaround(3, side, felt, F.col("felt_before"), REVERSAL_MS),
-        _turnaround(4, stance, stance.isNotNull(), F.col("said_before"), STANCE_MS),
-        _hit(5, flat & ((lexical == "negative") | (label == "negative")), F.lit(True), own),
+        _hit(1, polar & lexical.isNotNull(), lexical != label, own, _say("Sentiment label '", label, "' disagrees with lexical tone '", lexical, "' in this turn.")),
+        _hit(2, polar & side.isNotNull(), opposed, own, _say("Sentiment '", label, "' conflicts with dominant emotion '", emotion, "' on this turn.")),
+        _turnaround(3, side, felt, F.col("felt_before"), REVERSAL_MS, "flips emotion", emotion),
+        _turnaround(4, stance, stance.isNotNull(), F.col("said_before"), STANCE_MS, "switches stance", stance),
+        _hit(5, flat & ((lexical == "negative") | (label == "negative")), F.lit(True), own,
+             _say(F.col("speaker"), " delivers negative content with a flat / '", emotion, "' emotional tone.")),
     )
     rows = turns.withColumn("hits", F.array_compact(hits)).select("session_id", "seq", "speaker", "end_ms", F.explode("hits").alias("h"))
-    return rows.select("session_id", "h.family", "seq", "speaker", "h.from_ms", "end_ms", "h.hit")
+    return rows.select("session_id", "h.family", "seq", "speaker", "h.from_ms", "end_ms", "h.hit", "h.reason")
 
 
 def inconsistency_signals(hits: DataFrame) -> DataFrame:
@@ -123,6 +129,7 @@ def inconsistency_windows(hits: DataFrame, signals: DataFrame) -> DataFrame:
         "speaker",
         seconds(F.col("from_ms")).alias("start_sec"),
         seconds(F.col("end_ms")).alias("end_sec"),
+        "reason",
     )
 
 
@@ -143,5 +150,6 @@ def inconsistency_markers(windows: DataFrame, assessment: DataFrame) -> DataFram
         F.col("level").alias("severity"),
         "start_sec",
         "end_sec",
+        "reason",
         F.to_json(F.struct("signal_type", F.col("level").alias("window_level"))).alias("evidence"),
     )

@@ -50,22 +50,24 @@ def compute_scores(sessions: DataFrame, speakers: DataFrame, trend: DataFrame, v
 
 
 def score_breakdown(scores: DataFrame) -> DataFrame:
-    """One row per score and part."""
+    """One row per score and part, with its reason."""
+    # Parts, weights and reasons.
     parts = [
-        ("dominance_score", "max_speaking_ratio", 1.0, "dominance_score"),
-        ("engagement_score", "pause_behavior", 0.7, "pause_part"),
-        ("engagement_score", "question_behavior", 0.3, "question_part"),
-        ("engagement_score", "sentiment_trend_adjustment", 0.05, "trend_part"),
-        ("conflict_score", "interruptions_and_overlaps", 1.0, "conflict_score"),
-        ("cooperation_score", "balance_and_low_conflict", 1.0, "cooperation_score"),
-        ("emotion_volatility_score", "aggregated_signal_variation", 1.0, "emotion_volatility_score"),
+        ("dominance_score", "max_speaking_ratio", 1.0, "dominance_score", "Higher concentration of speaking time increases dominance score."),
+        ("engagement_score", "pause_behavior", 0.7, "pause_part", "Shorter pauses and steadier turn flow improve engagement."),
+        ("engagement_score", "question_behavior", 0.3, "question_part", "More clarifying questions can indicate active engagement."),
+        ("engagement_score", "sentiment_trend_adjustment", 0.05, "trend_part", "Sentiment trend slightly adjusts engagement score."),
+        ("conflict_score", "interruptions_and_overlaps", 1.0, "conflict_score", "More interruptions and overlaps increase conflict score."),
+        ("cooperation_score", "balance_and_low_conflict", 1.0, "cooperation_score", "Balanced participation with low conflict improves cooperation."),
+        ("emotion_volatility_score", "aggregated_signal_variation", 1.0, "emotion_volatility_score", "Higher sentiment swings and more emotion switching increase volatility."),
     ]
     items = F.array(
         *[
             F.struct(
-                F.lit(score).alias("score"), F.lit(part).alias("component"), F.lit(weight).alias("weight"), round_binary(F.col(value), 3).alias("value")
+                F.lit(score).alias("score"), F.lit(part).alias("component"), F.lit(weight).alias("weight"), round_binary(F.col(value), 3).alias("value"),
+                F.lit(reason).alias("reason"),
             )
-            for score, part, weight, value in parts
+            for score, part, weight, value, reason in parts
         ]
     )
     return scores.select("session_id", F.explode(items).alias("item")).select("session_id", "item.*")

@@ -10,10 +10,10 @@ from parley.operators.chunks import in_chunks, running
 from parley.operators.metrics import ORDER, seconds
 from parley.thresholds import TenantThresholds, Thresholds
 
-COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec"]
+COLUMNS = ["session_id", "marker_id", "type", "time_sec", "speaker", "severity", "start_sec", "end_sec", "reason"]
 
 
-def _marker(rows: DataFrame, kind: str, time: Column, severity: Column, start: Column, end: Column, evidence: Column) -> DataFrame:
+def _marker(rows: DataFrame, kind: str, time: Column, severity: Column, start: Column, end: Column, reason: Column, evidence: Column) -> DataFrame:
     return rows.select(
         "session_id",
         "marker_id",
@@ -23,6 +23,7 @@ def _marker(rows: DataFrame, kind: str, time: Column, severity: Column, start: C
         severity.alias("severity"),
         start.alias("start_sec"),
         end.alias("end_sec"),
+        reason.alias("reason"),
         F.to_json(evidence).alias("evidence"),
     )
 
@@ -37,7 +38,8 @@ def dominance_markers(speakers: DataFrame, t: Thresholds | TenantThresholds) ->
     rows = rows.withColumn("marker_id", F.concat(F.lit("dominance_"), "speaker"))
     first, last = F.col("first_spoke_at_sec"), F.col("last_spoke_at_sec")
     evidence = F.struct(round_binary(speaking, 3).alias("speaking_ratio"), round_binary(words, 3).alias("word_ratio"))
-    return _marker(rows, "dominance_window", first, _high_if((speaking >= 0.75) | (words >= 0.75)), first, last, evidence)
+    reason = F.concat("speaker", F.lit(" shows dominant participation across the session."))
+    return _marker(rows, "dominance_window", first, _high_if((speaking >= 0.75) | (words >= 0.75)), first, last, reason, evidence)
 
 
 def tension_markers(speakers: DataFrame, t: Thresholds | TenantThresholds) -> DataFrame:
@@ -46,12 +48,13 @@ def tension_markers(speakers: DataFrame, t: Thresholds | TenantThresholds) -> Da
     rows = rows.withColumn("marker_id", F.concat(F.lit("high_tension_"), "speaker"))
     first, last = F.col("first_spoke_at_sec"), F.col("last_spoke_at_sec")
     evidence = F.struct("interruption_count", "overlap_count")
-    return _marker(rows, "high_tension", first, _high_if((interruptions >= 4) | (overlaps >= 4)), first, last, evidence)
+    reason = F.concat("speaker", F.lit(" is involved in repeated interruptions or overlaps, which may indicate elevated conversational tension."))
+    return _marker(rows, "high_tension", first, _high_if((interruptions >= 4) | (overlaps >= 4)), first, last, reason, evidence)
 
 
-def _mark(kind: str, holds: Column, time: Column, severity: Column, start: Column, end: Column, evidence: Column) -> Column:
+def _mark(kind: str, holds: Column, time: Column, severity: Column, start: Column, end: Column, reason: Column, evidence: Column) -> Column:
     """A marker of a turn, null where it does not hold."""
-    parts = {"type": F.lit(kind), "time_sec": time, "severity": severity, "start_sec": start, "end_sec": end, "evidence": F.to_json(evidence)}
+    parts = {"type": F.lit(kind), "time_sec": time, "severity": severity, "start_sec": start, "end_sec": end, "reason": reason, "evidence": F.to_json(evidence)}
     return F.when(holds, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
@@ -62,7 +65,9 @@ def _pause(t: Thresholds | TenantThresholds) -> Column:
         F.col("speaker").alias("speaker_after"),
     )
     start, severity = seconds(F.col("prev_end_ms")), _high_if(F.col("gap_ms") >= t.severe_pause_ms)
-    return _mark("engagement_drop", F.col("gap_ms") >= t.long_pause_ms, start, severity, start, seconds(F.col("start_ms")), evidence)
+    gap = F.format_string("%.2f", round_binary(F.col("gap_ms") / 1000, 2))
+    reason = F.concat(F.lit("Long pause of "), gap, F.lit("s may indicate disengagement or response hesitation."))
+    return _mark("engagement_drop", F.col("gap_ms") >= t.long_pause_ms, start, severity, start, seconds(F.col("start_ms")), reason, evidence)
 
 
 def _interruption(t: Thresholds | TenantThresholds) -> Column:
@@ -72,7 +77,8 @@ def _interruption(t: Thresholds | TenantThresholds) -> Column:
         F.col("utt_id").alias("utterance_id"),
     )
     start = seconds(F.col("start_ms"))
-    return _mark("interruption", F.col("interrupts"), start, F.lit("medium"), start, seconds(F.col("end_ms")), evidence)
+    reason = F.concat("speaker", F.lit(" begins before "), "prev_speaker", F.lit(" finished speaking."))
+    return _mark("interruption", F.col("interrupts"), start, F.lit("medium"), start, seconds(F.col("end_ms")), reason, evidence)
 
 
 def _shift(t: Thresholds | TenantThresholds) -> Column:
@@ -87,14 +93,16 @@ def _shift(t: Thresholds | TenantThresholds) -> Column:
         F.coalesce("sent_label", F.lit("")).alias("current_label"),
     )
     start, end, severity = seconds(F.col("own_start")), seconds(F.col("end_ms")), _high_if(F.abs(step) >= t.severe_shift_e4)
-    return _mark("emotional_shift", F.abs(step) >= t.shift_e4, seconds(F.col("start_ms")), severity, start, end, evidence)
+    reason = F.concat("speaker", F.lit(" shows a notable sentiment shift between turns."))
+    return _mark("emotional_shift", F.abs(step) >= t.shift_e4, seconds(F.col("start_ms")), severity, start, end, reason, evidence)
 
 
 def _decline(t: Thresholds | TenantThresholds) -> Column:
     """A scored utterance with a clear step down; the first one of a declining session is a marker."""
     start, end = seconds(F.col("start_ms")), seconds(F.col("end_ms"))
     evidence = F.struct(F.lit("declining").alias("trend_direction"))
-    return _mark("session_tone_decline", F.col("score_e4") - F.col("prev_score") <= -800, start, F.lit("medium"), start, end, evidence)
+    reason = F.lit("Session sentiment begins a noticeable downward shift.")
+    return _mark("session_tone_decline", F.col("score_e4") - F.col("prev_score") <= -800, start, F.lit("medium"), start, end, reason, evidence)
 
 
 TURN_MARKERS = {"engagement_drop": _pause, "interruption": _interruption, "emotional_shift": _shift, "session_tone_decline": _decline}

@@ -55,9 +55,10 @@ def _says(phrases: list[str]) -> str:
     return "(" + " OR ".join(f"contains(padded, ' {p} ')" for p in phrases) + ")"
 
 
-def _turnaround(family: int, rows: str, state: str, reach: int) -> str:
-    return f"""SELECT session_id, {family} family, seq, speaker, was_ms from_ms, end_ms, true hit FROM
-      (SELECT *, lag({state}) OVER w was, lag(start_ms) OVER w was_ms, start_ms - lag(end_ms) OVER w since FROM r WHERE {rows}
+def _turnaround(family: int, rows: str, state: str, reach: int, verb: str, name: str) -> str:
+    return f"""SELECT session_id, {family} family, seq, speaker, was_ms from_ms, end_ms, true hit,
+      speaker || ' {verb} from ''' || was_name || ''' to ''' || {name} || ''' within {reach // 1000}s.' reason FROM
+      (SELECT *, lag({state}) OVER w was, lag({name}) OVER w was_name, lag(start_ms) OVER w was_ms, start_ms - lag(end_ms) OVER w since FROM r WHERE {rows}
        WINDOW w AS (PARTITION BY session_id, speaker ORDER BY start_ms, end_ms, utt_id))
       WHERE was <> {state} AND since BETWEEN 0 AND {reach}"""
 
@@ -107,23 +108,26 @@ PARTS: dict[str, str] = {
           GROUP BY 1) USING (session_id)""",
     "m_dominance": """SELECT session_id, 'dominance_' || speaker marker_id, 'dominance_window' "type", first_spoke_at_sec time_sec, speaker,
         CASE WHEN speaking_ratio >= 0.75 OR word_ratio >= 0.75 THEN 'high' ELSE 'medium' END severity,
-        first_spoke_at_sec start_sec, last_spoke_at_sec end_sec FROM sp WHERE speaking_ratio >= 0.6 OR word_ratio >= 0.6""",
+        first_spoke_at_sec start_sec, last_spoke_at_sec end_sec, speaker || ' shows dominant participation across the session.' reason FROM sp WHERE speaking_ratio >= 0.6 OR word_ratio >= 0.6""",
     "m_tension": """SELECT session_id, 'high_tension_' || speaker marker_id, 'high_tension' "type", first_spoke_at_sec time_sec, speaker,
         CASE WHEN interruption_count >= 4 OR overlap_count >= 4 THEN 'high' ELSE 'medium' END severity,
-        first_spoke_at_sec start_sec, last_spoke_at_sec end_sec FROM sp WHERE interruption_count >= 2 OR overlap_count >= 2""",
+        first_spoke_at_sec start_sec, last_spoke_at_sec end_sec,
+        speaker || ' is involved in repeated interruptions or overlaps, which may indicate elevated conversational tension.' reason FROM sp WHERE interruption_count >= 2 OR overlap_count >= 2""",
     "m_pause": """SELECT session_id, 'engagement_drop_' || row_number() OVER (PARTITION BY session_id ORDER BY seq) marker_id,
         'engagement_drop' "type", round(prev_end_ms / 1000, 3) time_sec, speaker, CASE WHEN gap_ms >= 6000 THEN 'high' ELSE 'medium' END severity,
-        round(prev_end_ms / 1000, 3) start_sec, round(start_ms / 1000, 3) end_sec FROM s WHERE gap_ms >= 3000""",
+        round(prev_end_ms / 1000, 3) start_sec, round(start_ms / 1000, 3) end_sec,
+        'Long pause of ' || printf('%.2f', gap_ms / 1000) || 's may indicate disengagement or response hesitation.' reason FROM s WHERE gap_ms >= 3000""",
     "m_interruption": """SELECT session_id, 'interruption_' || row_number() OVER (PARTITION BY session_id ORDER BY seq) marker_id,
         'interruption' "type", round(start_ms / 1000, 3) time_sec, speaker, 'medium' severity, round(start_ms / 1000, 3) start_sec,
-        round(end_ms / 1000, 3) end_sec FROM s WHERE interrupts""",
+        round(end_ms / 1000, 3) end_sec, speaker || ' begins before ' || prev_speaker || ' finished speaking.' reason FROM s WHERE interrupts""",
     "m_shift": """SELECT session_id, 'emotional_shift_' || row_number() OVER (PARTITION BY session_id ORDER BY seq) marker_id,
         'emotional_shift' "type", round(start_ms / 1000, 3) time_sec, speaker,
         CASE WHEN abs(score_e4 - own_score) >= 7000 THEN 'high' ELSE 'medium' END severity, round(own_start / 1000, 3) start_sec,
-        round(end_ms / 1000, 3) end_sec FROM (SELECT *, lag(score_e4) OVER o own_score, lag(start_ms) OVER o own_start FROM s
+        round(end_ms / 1000, 3) end_sec, speaker || ' shows a notable sentiment shift between turns.' reason FROM (SELECT *, lag(score_e4) OVER o own_score, lag(start_ms) OVER o own_start FROM s
           WINDOW o AS (PARTITION BY session_id, speaker ORDER BY start_ms, end_ms, utt_id)) WHERE abs(score_e4 - own_score) >= 4500""",
     "m_decline": """SELECT session_id, 'session_tone_decline' marker_id, 'session_tone_decline' "type", round(start_ms / 1000, 3) time_sec,
-        speaker, 'medium' severity, round(start_ms / 1000, 3) start_sec, round(end_ms / 1000, 3) end_sec FROM
+        speaker, 'medium' severity, round(start_ms / 1000, 3) start_sec, round(end_ms / 1000, 3) end_sec,
+        'Session sentiment begins a noticeable downward shift.' reason FROM
         (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) ix FROM p WHERE score_e4 - prev_score_e4 <= -800)
         JOIN trend USING (session_id) WHERE ix = 1 AND direction = 'declining'""",
     "m": " UNION ALL ".join(f"SELECT * FROM m_{k}" for k in ("dominance", "tension", "pause", "interruption", "shift", "decline")),
@@ -154,13 +158,15 @@ PARTS: dict[str, str] = {
         (SELECT *, ' ' || array_to_string(tokens, ' ') || ' ' padded, coalesce(list_sum(list_transform(tokens, lambda t, i:
            CASE WHEN {_turned} THEN -1 ELSE 1 END * ({_kind}))), 0) total FROM
           (SELECT *, {_tokens} tokens, CASE WHEN v2 > v1 THEN e2 ELSE e1 END emotion_top FROM s))""",
-    "h": f"""SELECT session_id, 1 family, seq, speaker, start_ms from_ms, end_ms, lexical <> sent_label hit FROM r
+    "h": f"""SELECT session_id, 1 family, seq, speaker, start_ms from_ms, end_ms, lexical <> sent_label hit,
+          'Sentiment label ''' || sent_label || ''' disagrees with lexical tone ''' || lexical || ''' in this turn.' reason FROM r
           WHERE sent_label IN ('positive', 'negative') AND lexical IS NOT NULL
         UNION ALL SELECT session_id, 2, seq, speaker, start_ms, end_ms, (sent_label = 'positive' AND emotion_side = 'negative')
-          OR (sent_label = 'negative' AND emotion_side = 'positive') FROM r WHERE sent_label IN ('positive', 'negative') AND emotion_side IS NOT NULL
-        UNION ALL {_turnaround(3, "emotion_side IN ('positive', 'negative')", "emotion_side", 30000)}
-        UNION ALL {_turnaround(4, "stance IS NOT NULL", "stance", 60000)}
-        UNION ALL SELECT session_id, 5, seq, speaker, start_ms, end_ms, true FROM r WHERE lower(emotion_top) IN ('neutral', 'calm')
+          OR (sent_label = 'negative' AND emotion_side = 'positive'), 'Sentiment ''' || sent_label || ''' conflicts with dominant emotion ''' || emotion_top || ''' on this turn.' FROM r WHERE sent_label IN ('positive', 'negative') AND emotion_side IS NOT NULL
+        UNION ALL {_turnaround(3, "emotion_side IN ('positive', 'negative')", "emotion_side", 30000, "flips emotion", "emotion_top")}
+        UNION ALL {_turnaround(4, "stance IS NOT NULL", "stance", 60000, "switches stance", "stance")}
+        UNION ALL SELECT session_id, 5, seq, speaker, start_ms, end_ms, true,
+          speaker || ' delivers negative content with a flat / ''' || emotion_top || ''' emotional tone.' FROM r WHERE lower(emotion_top) IN ('neutral', 'calm')
           AND (lexical = 'negative' OR sent_label = 'negative')""",
     "is_": """SELECT session_id, family place, ['sentiment_text_mismatch', 'sentiment_emotion_contradiction', 'abrupt_emotional_reversal',
           'contradictory_statements', 'masking_tone'][family] signal_type,
@@ -173,12 +179,12 @@ PARTS: dict[str, str] = {
         JOIN (SELECT session_id, family, arg_max(speaker, (n, -first)) speaker FROM (SELECT session_id, family, speaker, count(*) n, min(seq) first
               FROM h WHERE hit GROUP BY ALL) GROUP BY ALL) USING (session_id, family) WHERE raw IS NOT NULL""",
     "iw": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY family, ix) number, signal_type, severity "level", h5.speaker,
-        round(from_ms / 1000, 3) start_sec, round(end_ms / 1000, 3) end_sec FROM
+        round(from_ms / 1000, 3) start_sec, round(end_ms / 1000, 3) end_sec, reason FROM
         (SELECT *, row_number() OVER (PARTITION BY session_id, family ORDER BY seq) ix FROM h WHERE hit) h5
         JOIN is_ ON is_.session_id = h5.session_id AND is_.place = h5.family WHERE ix <= 5""".replace("SELECT session_id, row_number() OVER (PARTITION BY session_id", "SELECT h5.session_id, row_number() OVER (PARTITION BY h5.session_id"),
     "inc": _assessment("is_", "Inconsistency", "No clear inconsistency pattern was detected.", [(0.65, "high"), (0.40, "medium"), (0.15, "low")]),
     "tl": """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_sec, marker_id) place FROM (SELECT * FROM m UNION ALL
-        SELECT session_id, 'inconsistency_' || number, 'inconsistency_candidate', start_sec, iw.speaker, iw."level", start_sec, end_sec
+        SELECT session_id, 'inconsistency_' || number, 'inconsistency_candidate', start_sec, iw.speaker, iw."level", start_sec, end_sec, iw.reason
         FROM iw JOIN inc USING (session_id) WHERE inc."level" <> 'none')""",
     "sc": """SELECT session_id, dominance_score, engagement_score, conflict_score,
         greatest(0.0, least(1.0, printf('%.4f', (1.0::DOUBLE - dominance_score) * 0.35::DOUBLE + (1.0::DOUBLE - conflict_score) * 0.40::DOUBLE
@@ -262,17 +268,17 @@ ORACLES: dict[str, str] = {
     "inconsistency": sql("SELECT * FROM inc", "inc"),
     "scores": sql("SELECT * FROM sc", "sc"),
     "score_breakdown": sql(
-        "SELECT session_id, i.score, i.component, i.weight, printf('%.3f', i.value)::DOUBLE value FROM (SELECT session_id, unnest(["
+        "SELECT session_id, i.score, i.component, i.weight, printf('%.3f', i.value)::DOUBLE value, i.reason FROM (SELECT session_id, unnest(["
         + ", ".join(
-            f"{{'score': '{s}', 'component': '{c}', 'weight': {w}::DOUBLE, 'value': {v}}}"
-            for s, c, w, v in (
-                ("dominance_score", "max_speaking_ratio", 1.0, "dominance_score"),
-                ("engagement_score", "pause_behavior", 0.7, "pause_part"),
-                ("engagement_score", "question_behavior", 0.3, "question_part"),
-                ("engagement_score", "sentiment_trend_adjustment", 0.05, "trend_part"),
-                ("conflict_score", "interruptions_and_overlaps", 1.0, "conflict_score"),
-                ("cooperation_score", "balance_and_low_conflict", 1.0, "cooperation_score"),
-                ("emotion_volatility_score", "aggregated_signal_variation", 1.0, "emotion_volatility_score"),
+            f"{{'score': '{s}', 'component': '{c}', 'weight': {w}::DOUBLE, 'value': {v}, 'reason': '{r}'}}"
+            for s, c, w, v, r in (
+                ("dominance_score", "max_speaking_ratio", 1.0, "dominance_score", "Higher concentration of speaking time increases dominance score."),
+                ("engagement_score", "pause_behavior", 0.7, "pause_part", "Shorter pauses and steadier turn flow improve engagement."),
+                ("engagement_score", "question_behavior", 0.3, "question_part", "More clarifying questions can indicate active engagement."),
+                ("engagement_score", "sentiment_trend_adjustment", 0.05, "trend_part", "Sentiment trend slightly adjusts engagement score."),
+                ("conflict_score", "interruptions_and_overlaps", 1.0, "conflict_score", "More interruptions and overlaps increase conflict score."),
+                ("cooperation_score", "balance_and_low_conflict", 1.0, "cooperation_score", "Balanced participation with low conflict improves cooperation."),
+                ("emotion_volatility_score", "aggregated_signal_variation", 1.0, "emotion_volatility_score", "Higher sentiment swings and more emotion switching increase volatility."),
             )
         )
         + "]) i FROM sc)",

@@ -112,7 +112,16 @@ VERDICTS = f"""ev AS (SELECT claim_type, subject, fetched_ms, actual, actual_tex
   vd AS (SELECT *, round(CASE WHEN verdict = 'TRUE' AND diff_pct IS NULL THEN 1.0 WHEN verdict = 'TRUE' THEN 1.0::DOUBLE - 0.15::DOUBLE * (diff_pct / 3)
       WHEN verdict = 'PARTIALLY_TRUE' THEN 0.65::DOUBLE - 0.20::DOUBLE * ((diff_pct - 3) / 7) WHEN verdict = 'FALSE' AND diff_pct IS NULL THEN 0.95
       WHEN verdict = 'FALSE' THEN 0.70::DOUBLE + 0.25::DOUBLE * least(1.0, (diff_pct - 10) / 20) ELSE 0.0 END, 6)::DOUBLE confidence,
-      CASE WHEN verdict IN ('TRUE', 'FALSE') THEN 'HIGH' WHEN verdict = 'PARTIALLY_TRUE' THEN 'MEDIUM' ELSE 'NONE' END confidence_label FROM av)"""
+      CASE WHEN verdict IN ('TRUE', 'FALSE') THEN 'HIGH' WHEN verdict = 'PARTIALLY_TRUE' THEN 'MEDIUM' ELSE 'NONE' END confidence_label,
+      CASE WHEN verdict = 'UNSUPPORTED_CLAIM_TYPE' THEN 'No source client registered for ' || claim_type || '.'
+        WHEN verdict = 'SOURCE_UNAVAILABLE' THEN 'No evidence returned by source client.'
+        WHEN claim_type = 'STATIC_FACT' AND verdict = 'UNVERIFIED' THEN 'Missing claimed or actual text for static fact.'
+        WHEN claim_type = 'STATIC_FACT' THEN 'Claimed ''' || trim(value_text) || CASE verdict WHEN 'TRUE' THEN ''' matches' ELSE ''' does not match' END
+          || ' source value ''' || trim(actual_text) || '''.'
+        WHEN "value" IS NULL OR actual IS NULL THEN 'Numeric claim or evidence value is missing.'
+        WHEN diff_pct IS NULL THEN 'Source value is zero; relative diff undefined.'
+        ELSE 'Diff ' || printf('%.2f', diff_pct) || CASE verdict WHEN 'TRUE' THEN '% within 0-3% band → TRUE.'
+          WHEN 'PARTIALLY_TRUE' THEN '% within 3-10% band → PARTIALLY_TRUE.' ELSE '% exceeds 10% threshold → FALSE.' END END reason FROM av)"""
 
 _priority = (
     f"CASE WHEN {_any('lower(text)', rec.CRITICAL_TERMS)} THEN 'CRITICAL' WHEN {_any('lower(text)', rec.HIGH_TERMS)} THEN 'HIGH' ELSE '%s' END"
@@ -227,7 +236,7 @@ ORACLES: dict[str, str] = {
     ),
     "claim_verdicts": _on_u(
         "SELECT session_id, utt_id, claim_ms, claim_type, subject, \"value\", value_text, 'claim_1' claim_id, claim_type || '|' || subject signature, "
-        "fetched_ms, actual, actual_text, source, diff_pct, verdict, confidence, confidence_label FROM vd",
+        "fetched_ms, actual, actual_text, source, diff_pct, verdict, confidence, confidence_label, reason FROM vd",
         CLAIMS,
         VERDICTS,
     ),
