@@ -18,8 +18,8 @@ from pyspark.sql.types import DoubleType
 
 from parley.llm._shared import id_remainder, materialize
 
-#: Lengths of the n-grams, bits of their hash, features kept, and rows that the regression is fitted on at most.
-LENGTHS, BITS, FEATURES, FIT_ROWS = (3, 4, 5, 6), 20, 1 << 13, 10_000
+#: Lengths of the n-grams, bits of their hash, and labelled rows that the regression is fitted on, about.
+LENGTHS, BITS, FIT_ROWS = (3, 4, 5, 6), 20, 10_000
 #: Labels up to which they are broadcast to the texts (some 50 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Standard errors between a feature's shares in the two classes from which it is kept.
@@ -72,15 +72,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[self.features(text)].sum() + self.bias, -30, 30))))
 
 
-def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (times the ratios) and bias of a ridge logistic regression; both classes weigh the same."""
+def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights (times the ratios) and bias of a ridge logistic regression; a row counts ``copies`` times, both classes weigh the same."""
+    copies = np.ones(len(rows)) if copies is None else copies.astype(np.float64)
     sizes = np.array([len(x) for x in rows])
     at = np.repeat(np.arange(len(rows)), sizes)
     columns = np.concatenate(rows).astype(np.int64)
     values = ratios[columns]
-    norm = max(1.0, float(np.sqrt(np.bincount(at, values * values, len(rows)).mean())))
+    norm = max(1.0, float(np.sqrt(np.average(np.bincount(at, values * values, len(rows)), weights=copies))))
     values = values / norm
-    balance = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    balance = 0.5 * copies / np.where(toxic == 1, max(1.0, copies[toxic == 1].sum()), max(1.0, copies[toxic == 0].sum()))
     weights, bias = np.zeros(len(ratios)), 0.0
     first, second = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
     for step in range(1, STEPS + 1):
@@ -124,32 +125,35 @@ def fit_sample(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFr
     return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < bound)
 
 
-def train(texts: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
+def train(texts: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from ``texts`` (columns ``doc_id``, ``text``, ``toxic`` 0 or 1), null labels left out.
 
     Log-count ratios cover every row. The regression sees ``fit_sample``: all of a class that has no more than half of
-    ``fit_rows``. The driver receives at most ``features`` ratios (those that are ``CLEAR`` standard errors apart, the
-    clearest first) and at most twice ``fit_rows`` rows' features, whatever the size of the table. Without rows of
-    both classes every score is 0.5.
+    ``fit_rows``; rows that repeat an id and its text are one row with their number as its weight. The driver receives
+    the ratios that are ``CLEAR`` standard errors apart, of the 2 ** ``BITS`` that there are, and the features of about
+    ``fit_rows`` rows. Without rows of both classes every score is 0.5.
     """
     rows = materialize(texts.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int")), "toxicity")
     totals = dict(rows.groupBy("toxic").count().collect())
     if not totals.get(0) or not totals.get(1):
         return Model(np.zeros(1 << BITS, np.int64), np.zeros(1), 0.0)
-    best = log_count_ratios(rows, totals).where(F.col("clear") >= CLEAR).orderBy(F.desc("clear"), "bucket").limit(features).toPandas()
+    best = log_count_ratios(rows, totals).where(F.col("clear") >= CLEAR).toPandas().sort_values("bucket", ignore_index=True)
     place = np.full(1 << BITS, len(best), np.int64)
     place[best["bucket"].to_numpy()] = np.arange(len(best))
     model = Model(place, np.zeros(len(best) + 1), 0.0)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "found": [model.features(x) for x in batch["text"]]})
+            found = [model.features(x) for x in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"], "toxic": batch["toxic"], "copies": batch["copies"], "found": found})
 
-    sample = fit_sample(rows, totals, fit_rows).mapInPandas(featured, "toxic int, found array<int>")
-    fitted = sample.limit(2 * fit_rows).toPandas()  # copies of one row share its hash
+    sample = fit_sample(rows, totals, fit_rows).groupBy(F.xxhash64("doc_id", "text").alias("key"), "toxic")
+    sample = sample.agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    fitted = sample.mapInPandas(featured, "key long, toxic int, copies long, found array<int>").toPandas()
+    fitted = fitted.sort_values(["key", "toxic"], ignore_index=True)
     if fitted["toxic"].nunique() < 2:
         return Model(place, np.zeros(len(best) + 1), 0.0)
-    weights, bias = _fit(list(fitted["found"]), fitted["toxic"].to_numpy(), best["ratio"].to_numpy())
+    weights, bias = _fit(list(fitted["found"]), fitted["toxic"].to_numpy(), best["ratio"].to_numpy(), fitted["copies"].to_numpy())
     return Model(place, np.append(weights, 0.0), bias)
 
 
