@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 from parley.llm._shared import id_remainder, materialize
 
 #: Lengths of the n-grams, bits of their hash, and labelled rows that the regression is fitted on, about.
-LENGTHS, BITS, FIT_ROWS = (3, 4, 5, 6), 20, 10_000
+LENGTHS, BITS, FIT_ROWS = (3, 4, 5, 6), 20, 3000
 #: Labels up to which they are broadcast to the texts (some 50 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Standard errors between a feature's shares in the two classes from which it is kept.
@@ -76,11 +76,11 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, copies:
     """Weights (times the ratios) and bias of a ridge logistic regression; a row counts ``copies`` times, both classes weigh the same."""
     copies = np.ones(len(rows)) if copies is None else copies.astype(np.float64)
     sizes = np.array([len(x) for x in rows])
-    at = np.repeat(np.arange(len(rows)), sizes)
-    columns = np.concatenate(rows).astype(np.int64)
-    values = ratios[columns]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    columns = np.concatenate(rows).astype(np.int32)
+    values = ratios.astype(np.float32)[columns]
     norm = max(1.0, float(np.sqrt(np.average(np.bincount(at, values * values, len(rows)), weights=copies))))
-    values = values / norm
+    values /= np.float32(norm)
     balance = 0.5 * copies / np.where(toxic == 1, max(1.0, copies[toxic == 1].sum()), max(1.0, copies[toxic == 0].sum()))
     weights, bias = np.zeros(len(ratios)), 0.0
     first, second = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
