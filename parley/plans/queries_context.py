@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import context, recommend
+from parley.operators import context, keywords, recommend
 from parley.plans.bundle import build_bundle
 from parley.plans.oracles import ORACLES as TABLES
 from parley.plans.oracles_summary import ORACLES as TEXTS
 from parley.plans.oracles_text import ORACLES as LANGUAGE
 from parley.plans.queries import Query, claim_results
-from parley.sources.adapters import utterances_from_events
+from parley.sources.adapters import read_table, utterances_from_events
 from parley.sources.scratch import materialize
 
 
@@ -38,7 +38,21 @@ def flagged_recommendations(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.run_recommendations(turns, context.reviewed_claims(known), negative=context.negative_sessions(known))
 
 
+def phrase_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of neighbouring terms of every turn; turns and pairs have vectors of the embeddings table."""
+    vectors = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    n = vectors.count()
+    event = F.substring("utt_id", 2, 20).cast("long")
+    turns = utterances_from_events(spark, folder).withColumn("vec_id", event % n)
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), 0)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("terms", i - 1), F.get("terms", i)))
+    found = turns.withColumn("terms", terms).where(F.size("terms") > 1).select("session_id", "utt_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
+    found = found.withColumn("vec_id", (F.length("phrase") * 31 + event) % n)
+    return keywords.phrase_keywords(turns.join(vectors, "vec_id"), found.join(vectors, "vec_id"), 3)
+
+
 QUERIES: dict[str, Query] = {
+    "phrase_keywords": phrase_keywords,
     "session_contexts": session_contexts,
     "negative_sessions": lambda spark, folder: context.negative_sessions(contexts(spark, folder)),
     "flagged_recommendations": flagged_recommendations,
@@ -46,6 +60,13 @@ QUERIES: dict[str, Query] = {
 _FIXED = "list_position(['negative_session_mood', 'declining_session_tone', 'conversation_escalation', 'conversation_inconsistency'], \"type\")"
 _ORDER = f"CASE WHEN speaker IS NULL THEN 1000000 + {_FIXED} ELSE first_seq * 10 + list_position(['speaker_dominance', 'high_tension'], \"type\") END"
 ORACLES: dict[str, str] = {
+    "phrase_keywords": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddings), k AS (SELECT count(*) n FROM v),
+        tw AS ({LANGUAGE["term_weights"]}), t AS (SELECT session_id, utt_id, CAST(utt_id[2:] AS BIGINT) e, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') w FROM ({TABLES["utterances"]})),
+        p AS (SELECT DISTINCT session_id, utt_id, e, w[i] || ' ' || w[i + 1] phrase, [w[i], w[i + 1]] ws FROM (SELECT *, unnest(range(1, len(w))) i FROM t)),
+        g AS (SELECT session_id, utt_id, phrase, sum(weight::DECIMAL(20, 6))::DOUBLE weight FROM (SELECT *, unnest(ws) term FROM p) JOIN tw USING (session_id, utt_id, term) GROUP BY ALL),
+        s AS (SELECT p.session_id, p.utt_id, phrase, weight, round(list_cosine_similarity(a.x, b.x), 6) similarity FROM p JOIN g USING (session_id, utt_id, phrase), k
+          JOIN v a ON a.vec_id = p.e % k.n JOIN v b ON b.vec_id = (length(phrase) * 31 + p.e) % k.n)
+        SELECT *, round(weight + similarity, 6) score, row_number() OVER (PARTITION BY session_id, utt_id ORDER BY round(weight + similarity, 6) DESC, phrase) place FROM s QUALIFY place <= 3""",
     "session_contexts": f"""SELECT a.session_id, segments, starts, o.summary, s.label sentiment, coalesce(f.t, '') flags, coalesce(c.t, '') claims FROM
         (SELECT session_id, count(*) segments, string_agg(start_time, ',' ORDER BY start_time, end_time) starts FROM ({LANGUAGE["agent_context"]}) GROUP BY 1) a
         LEFT JOIN ({TEXTS["overall_summary"]}) o USING (session_id) LEFT JOIN ({TABLES["session_sentiment"]}) s USING (session_id)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parley.operators import context, recommend
+from parley.operators import context, keywords, recommend
 
 
 def turns(spark):
@@ -38,3 +38,18 @@ def test_insights_and_claims_are_side_by_side_and_raise_escalations(spark):
     calm = recommend.run_recommendations(turns(spark)).where("action_type = 'SUPPORT'").first().confidence
     raised = found.where(F.col("action_type") == "SUPPORT").first().confidence
     assert abs(raised - calm - 0.1) < 1e-9
+
+
+def test_keywords_add_weights_and_similarity(spark):
+    turns = spark.createDataFrame(
+        [("s", "u1", "red wine red", [1.0, 0.0]), ("s", "u2", "red wine", None), ("s", "u3", "a", [1.0, 1.0])], "session_id string, utt_id string, text string, vector array<double>"
+    )
+    phrases = [("s", "u1", "Red Wine", [0.0, 1.0]), ("s", "u1", "red", [1.0, 0.0]), ("s", "u1", "red", [1.0, 0.0]), ("s", "u1", "blue", [0.0, 0.0]), ("s", "u2", "wine", [1.0, 0.0]), ("s", "u2", "red", None)]
+    df = spark.createDataFrame(phrases, "session_id string, utt_id string, phrase string, vector array<double>")
+    found = {(r.utt_id, r.phrase): (r.weight, r.similarity, r.score, r.place) for r in keywords.phrase_keywords(turns, df).collect()}
+    one, two, half = 0.447214, 0.894427, 0.707107
+    assert found == {
+        ("u1", "red"): (two, 1.0, 1.894427, 1), ("u1", "red wine"): (1.341641, 0.0, 1.341641, 2), ("u1", "blue"): (0.0, 0.0, 0.0, 3),
+        ("u2", "red"): (half, 0.0, half, 1), ("u2", "wine"): (half, 0.0, half, 2),
+    }
+    assert abs(one + two - 1.341641) < 1e-9 and keywords.phrase_keywords(turns, df, 1).count() == 2
