@@ -104,9 +104,12 @@ def read_stage(spark: SparkSession, path: str, stage: str) -> DataFrame | None:
 
 
 def newest_first(rows: DataFrame, n: int, key: str = "session_id", at: str = "updated_at") -> DataFrame:
-    """The page of the ``n`` rows updated last: keys and times are sorted, and only the page's rows are fetched."""
+    """The page of the ``n`` rows updated last: keys and times are sorted, and only the page's rows are fetched.
+
+    The page is as large as the caller asks for, so Spark chooses the join by its size.
+    """
     page = rows.select(key, at).orderBy(F.desc(at), key).limit(n)
-    return rows.join(F.broadcast(page), [key, at], "left_semi").orderBy(F.desc(at), key)
+    return rows.join(page, [key, at], "left_semi").orderBy(F.desc(at), key)
 
 
 def append_results(results: DataFrame, path: str, day: Column) -> None:
