@@ -19,11 +19,13 @@ from pyspark.sql.types import DoubleType
 from parley.llm._shared import id_remainder, materialize
 
 #: Lengths of the n-grams, bits of their hash, and labelled rows that the regression is fitted on, about.
-LENGTHS, BITS, FIT_ROWS = (3, 4, 5, 6), 20, 3000
+LENGTHS, BITS, FIT_ROWS = (3, 4, 5, 6), 20, 10_000
 #: Labels up to which they are broadcast to the texts (some 50 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Standard errors between a feature's shares in the two classes from which it is kept.
-CLEAR = 4.0
+#: A feature is kept if its shares in the two classes are so many standard errors and so much of all texts apart, and if
+#: its log-count ratio is of this size: it is then three times as common in one class. These are effects and not a number
+#: of features, so more texts do not make more features pass.
+CLEAR, APART, STRONG = 4.0, 0.01, 1.0
 SMOOTHING, RIDGE, STEPS, CUT = 1.0, 1e-4, 400, 0.7
 
 _KEPT = np.array([chr(i).isalnum() for i in range(128)])
@@ -96,7 +98,7 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, copies:
 
 
 def log_count_ratios(rows: DataFrame, totals: dict[int, int]) -> DataFrame:
-    """``bucket``, ``ratio`` and ``clear`` (standard errors between the shares of the classes) of every feature.
+    """``bucket``, ``ratio``, ``clear`` (standard errors between the shares of the classes) and ``apart`` (their difference) of every feature.
 
     ``totals`` are the numbers of rows of class 0 and 1 in ``rows`` (``text``, ``toxic``).
     """
@@ -109,7 +111,7 @@ def log_count_ratios(rows: DataFrame, totals: dict[int, int]) -> DataFrame:
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     gap = F.abs(F.col("toxic") / toxic - F.col("clean") / clean)
     clear = gap / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean) + 1e-12)
-    return counts.select("bucket", ratio.alias("ratio"), clear.alias("clear"))
+    return counts.select("bucket", ratio.alias("ratio"), clear.alias("clear"), gap.alias("apart"))
 
 
 def fit_sample(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFrame:
@@ -130,14 +132,15 @@ def train(texts: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     Log-count ratios cover every row. The regression sees ``fit_sample``: all of a class that has no more than half of
     ``fit_rows``; rows that repeat an id and its text are one row with their number as its weight. The driver receives
-    the ratios that are ``CLEAR`` standard errors apart, of the 2 ** ``BITS`` that there are, and the features of about
+    the ratios that pass ``CLEAR``, ``APART`` and ``STRONG``, of the 2 ** ``BITS`` that there are, and the features of about
     ``fit_rows`` rows. Without rows of both classes every score is 0.5.
     """
     rows = materialize(texts.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int")), "toxicity")
     totals = dict(rows.groupBy("toxic").count().collect())
     if not totals.get(0) or not totals.get(1):
         return Model(np.zeros(1 << BITS, np.int64), np.zeros(1), 0.0)
-    best = log_count_ratios(rows, totals).where(F.col("clear") >= CLEAR).toPandas().sort_values("bucket", ignore_index=True)
+    kept = (F.col("clear") >= CLEAR) & (F.col("apart") >= APART) & (F.abs("ratio") >= STRONG)
+    best = log_count_ratios(rows, totals).where(kept).toPandas().sort_values("bucket", ignore_index=True)
     place = np.full(1 << BITS, len(best), np.int64)
     place[best["bucket"].to_numpy()] = np.arange(len(best))
     model = Model(place, np.zeros(len(best) + 1), 0.0)
