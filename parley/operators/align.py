@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -176,31 +176,29 @@ def conversation_turns(segments: DataFrame, max_gap_ms: int = MERGE_GAP_MS) -> D
 
 
 def _smoother(min_ms: float, gap_ms: float):
-    def smooth(rows: list) -> list:
-        kept: list = []
+    def smooth(rows: Iterator) -> Iterator:
+        """Turns in order, of one session after the other; only the turn that was kept last is held."""
+        last = None
         for x in rows:
-            last = kept[-1] if kept else None
-            near = last is not None and x.speaker == last.speaker and 0 <= x.start_ms - last.end_ms <= gap_ms
-            if near or (last is not None and x.end_ms - x.start_ms < min_ms):
-                kept[-1] = last._replace(
+            same = last is not None and x.session_id == last.session_id
+            near = same and x.speaker == last.speaker and 0 <= x.start_ms - last.end_ms <= gap_ms
+            if near or (same and x.end_ms - x.start_ms < min_ms):
+                last = last._replace(
                     end_ms=max(last.end_ms, x.end_ms),
                     confidence=(last.confidence + x.confidence) / 2,
                     diarization_confidence=(last.diarization_confidence + x.diarization_confidence) / 2,
                 )
             else:
-                kept.append(x)
-        return kept
+                if last is not None:
+                    yield last
+                last = x
+        if last is not None:
+            yield last
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (x for part in parts for x in part.itertuples(index=False, name="Turn"))
-        kept: list = []
-        for _, session in groupby(rows, key=lambda x: x.session_id):
-            kept += smooth(list(session))
-            if len(kept) > 10_000:
-                yield pd.DataFrame(kept)
-                kept = []
-        if kept:
-            yield pd.DataFrame(kept)
+        kept = smooth(x for part in parts for x in part.itertuples(index=False, name="Turn"))
+        while some := list(islice(kept, 10_000)):
+            yield pd.DataFrame(some)
 
     return batches
 

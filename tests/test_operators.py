@@ -233,6 +233,26 @@ def test_smoothing_merging_and_turns(spark):
     assert [(r.speaker, r.speaker_raw) for r in said] == [("CUSTOMER", "A"), ("AGENT", "B"), ("CUSTOMER", "A"), ("AGENT", "B")]
 
 
+def test_smoothing_follows_the_plain_rule(spark):
+    rng, rows = random.Random(2), []
+    for s in range(7):
+        t = 0
+        for i in range(120):
+            d = rng.choice([100, 300, 600, 900, 2000])
+            rows.append((f"s{s}", i, rng.choice("AB"), t, t + d, rng.random(), rng.random()))
+            t += d + rng.choice([-50, 0, 100, 400, 900])
+    df = spark.createDataFrame(rows, "session_id string, pos long, speaker string, start_ms long, end_ms long, confidence double, diarization_confidence double")
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        k = kept[-1] if kept and kept[-1][0] == r[0] else None
+        if k and ((r[2] == k[2] and 0 <= r[3] - k[4] <= 300) or r[4] - r[3] < 500):
+            kept[-1] = (*k[:4], max(k[4], r[4]), (k[5] + r[5]) / 2, (k[6] + r[6]) / 2)
+        else:
+            kept.append(r)
+    assert sorted(tuple(r) for r in align.smooth_turns(df).collect()) == sorted(kept)
+    assert align.smooth_turns(df.limit(0)).count() == 0
+
+
 def test_error_rates(spark):
     rng = random.Random(6)
     words = ["a", "b", "c", "dd", "\u00e9", "\u4e2d", "A"] + [f"w{i}" for i in range(300)]
