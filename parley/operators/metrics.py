@@ -36,8 +36,12 @@ def sequence(utterances: DataFrame, bounds: DataFrame | None = None) -> DataFram
     (``chunks.long_sessions``) long sessions are placed by chunk too, and turns tell their ``chunk``.
     """
     before = ["utt_id", "speaker", "start_ms", "end_ms"]
-    rows = utterances.repartition("session_id") if bounds is None else in_chunks(utterances, bounds)
-    rows = running(rows, ["session_id"], ORDER, {"prev": F.struct(*before)}, "seq")
+    if bounds is None:
+        order = Window.partitionBy("session_id").orderBy(*ORDER)
+        last = F.struct(*[F.lag(c).over(order).alias(c) for c in before])
+        rows = utterances.repartition("session_id").withColumns({"seq": F.row_number().over(order), "prev": last})
+    else:
+        rows = running(in_chunks(utterances, bounds), ["session_id"], ORDER, {"prev": F.struct(*before)}, "seq")
     return rows.select(
         *[c for c in rows.columns if c not in ("prev", "seq", "chunk")],
         F.col("seq").cast("long").alias("seq"),
