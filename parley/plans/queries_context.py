@@ -43,12 +43,15 @@ def phrase_keywords(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     n = vectors.count()
     event = F.substring("utt_id", 2, 20).cast("long")
-    turns = utterances_from_events(spark, folder).withColumn("vec_id", event % n)
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # placed by turn once, so that its terms, phrases and places need no exchange of their own
+    placed = utterances_from_events(spark, folder).select("session_id", "utt_id", "text").repartition(places, "session_id", "utt_id")
+    turns = placed.withColumn("vec_id", event % n)
     terms = F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), 0)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("terms", i - 1), F.get("terms", i)))
     found = turns.withColumn("terms", terms).where(F.size("terms") > 1).select("session_id", "utt_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
     found = found.withColumn("vec_id", (F.length("phrase") * 31 + event) % n)
-    return keywords.phrase_keywords(turns.join(vectors, "vec_id"), found.join(vectors, "vec_id"), 3)
+    return keywords.phrase_keywords(turns, found, 3, vectors)
 
 
 QUERIES: dict[str, Query] = {
