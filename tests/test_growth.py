@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import keywords, quality
+from parley.operators import keywords, payloads, quality
 from parley.plans import queries_context, queries_records
 
 FOLDER = "/root/testdata/sf0.001"
@@ -61,3 +61,27 @@ def test_long_sessions_are_evaluated_in_time(spark):
     assert time.process_time() - start < 4
     plan = quality.error_rates(*(spark.createDataFrame([("s", one)], f"session_id string, {c} string") for c in ("text", "said"))).select("cer")
     assert "levenshtein" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_parsed_once_and_keep_their_issues(spark):
+    values = [
+        "[1]", "7", "{", '{"utterances": null}', '{"session_id": 1, "utterances": []}', '{"session_id": 1.5, "utterances": {}, "speakers": 1, "duration_sec": -1}',
+        '{"session_id": "s", "utterances": [null, 3, {"start": 2, "end": 1.5}, {"start": 1, "end": "x", "overlap": 0, "word_count": -1}]}',
+        '{"session_id": "s", "utterances": [{"start": 0, "end": 1e0, "confidence": 2, "emotion": []}]}',
+    ]
+    lines = spark.createDataFrame([*enumerate(values), (8, None)], "payload_id int, value string")
+    issues = payloads.payload_issues(payloads.read_payloads(lines))
+    found = {}
+    for r in issues.collect():
+        found.setdefault(r.payload_id, set()).add((r.code, r.field))
+    u = "utterances"
+    assert found == {
+        0: {("invalid_payload_type", "root")}, 1: {("invalid_payload_type", "root")}, 2: {("invalid_payload_type", "root")}, 8: {("invalid_payload_type", "root")},
+        3: {("missing_required_field", "session_id"), ("invalid_utterances", u)}, 4: {("empty_utterances", u)},
+        5: {("invalid_session_id", "session_id"), ("invalid_utterances", u), ("invalid_speakers", "speakers"), ("invalid_duration", "duration_sec")},
+        6: {("invalid_utterance_type", f"{u}[0]"), ("invalid_utterance_type", f"{u}[1]"), ("end_before_start", f"{u}[2].end"), ("irregular_order", f"{u}[3].start"),
+            ("invalid_end", f"{u}[3].end"), ("invalid_overlap", f"{u}[3].overlap"), ("invalid_word_count", f"{u}[3].word_count")},
+        7: {("invalid_confidence", f"{u}[0].confidence"), ("invalid_emotion", f"{u}[0].emotion")},
+    }
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and "Union" not in plan
