@@ -8,8 +8,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import keywords, payloads, quality
+from parley.operators import keywords, metrics, payloads, quality
 from parley.plans import queries_context, queries_records
+from parley.sources import store
+from parley.sources.adapters import utterances_from_events
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -85,3 +87,20 @@ def test_payloads_are_parsed_once_and_keep_their_issues(spark):
     }
     plan = issues._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 2 and "Union" not in plan
+
+
+def test_turns_in_sequence_are_placed_once(spark):
+    plan = metrics.sequence(utterances_from_events(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_new_records_are_placed_only_where_a_key_repeats(spark, tmp_path, monkeypatch):
+    asked, newest = [], store.latest_by_key
+    monkeypatch.setattr(store, "latest_by_key", lambda *args: asked.append(1) or newest(*args))
+    schema = "session_id string, created_at long, updated_at long, text string"
+    rows = [("a", 1, 1, "x"), ("b", 1, 1, "y")]
+    store.upsert(spark.createDataFrame(rows, schema), str(tmp_path / "one"))
+    assert not asked and spark.read.parquet(str(tmp_path / "one")).count() == 2
+    store.upsert(spark.createDataFrame([*rows, ("a", 2, 5, "z")], schema), str(tmp_path / "two"))
+    found = {(r.session_id, r.created_at, r.text) for r in spark.read.parquet(str(tmp_path / "two")).collect()}
+    assert asked and found == {("a", 1, "z"), ("b", 1, "y")}
