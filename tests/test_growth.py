@@ -8,8 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import keywords, metrics, payloads, quality
-from parley.plans import queries_context, queries_records
+from parley.operators import keywords, metrics, payloads, quality, recommend
+from parley.plans import queries, queries_context, queries_records
 from parley.sources import store
 from parley.sources.adapters import utterances_from_events
 
@@ -104,3 +104,15 @@ def test_new_records_are_placed_only_where_a_key_repeats(spark, tmp_path, monkey
     store.upsert(spark.createDataFrame([*rows, ("a", 2, 5, "z")], schema), str(tmp_path / "two"))
     found = {(r.session_id, r.created_at, r.text) for r in spark.read.parquet(str(tmp_path / "two")).collect()}
     assert asked and found == {("a", 1, "z"), ("b", 1, "y")}
+
+
+def test_detectors_take_a_text_once_for_all_phrases(spark):
+    """The filter on phrases names the text's own expression once, however many phrases there are."""
+    for name in ("task", "meeting", "email", "escalation"):
+        found = queries.QUERIES[f"{name}_recommendations"](spark, FOLDER)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and all(line.count("get_json_object") <= 1 and line.count("regexp_replace") <= 1 for line in filters), filters
+    rows = [("s", "u1", "\t Please SEND the file \n"), ("s", "u2", "  "), ("s", "u3", None), ("s", "u4", "nothing here")]
+    turns = spark.createDataFrame(rows, "session_id string, utt_id string, text string")
+    assert [(r.segment_id, r.title) for r in recommend.task_recommendations(turns).collect()] == [("u1", "Please SEND the file")]
