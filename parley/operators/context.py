@@ -24,10 +24,8 @@ def session_context(
     ``claim_id``, ``claim_text``, ``verdict`` and ``confidence``, each by session. Every section has a default: null texts,
     and empty lists of flags and claims. The transcript is in the order of the input, flags in theirs, claims by utterance.
     """
-    at = turns.select("session_id", F.col("utt_id").alias("segment_id"), "pos")
-    said = agent_context(turns).join(at, ["session_id", "segment_id"])
     segment = F.struct("pos", "segment_id", "speaker", "start_time", "end_time", "text", "confidence")
-    rows = said.groupBy("session_id").agg(F.array_sort(F.collect_list(segment)).alias("transcript"))
+    rows = agent_context(turns, "pos").groupBy("session_id").agg(F.array_sort(F.collect_list(segment)).alias("transcript"))
     parts = {
         "sentiment": None if sentiment is None else sentiment.select("session_id", F.col("label").alias("sentiment")),
         "summary": None if summaries is None else summaries.select("session_id", "summary"),

@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import context, keywords, recommend
-from parley.plans.bundle import build_bundle
+from parley.plans.bundle import Bundle, build_bundle
 from parley.plans.oracles import ORACLES as TABLES
 from parley.plans.oracles_summary import ORACLES as TEXTS
 from parley.plans.oracles_text import ORACLES as LANGUAGE
-from parley.plans.queries import Query, claim_results
+from parley.plans.queries import Query, checked_claims
 from parley.sources.adapters import read_table, utterances_from_events
 from parley.sources.scratch import materialize
 
 
-def contexts(spark: SparkSession, folder: str) -> DataFrame:
-    turns = materialize(utterances_from_events(spark, folder), "turns")
-    bundle = build_bundle(turns)
-    found = context.session_context(turns, bundle.session_sentiment, bundle.session_flags, bundle.overall, claim_results(spark, folder))
+def contexts(spark: SparkSession, bundle: Bundle) -> DataFrame:
+    """The records of a bundle's sessions; its turns are those that the bundle wrote, so nothing is read or placed again."""
+    turns = bundle.turns
+    found = context.session_context(turns, bundle.session_sentiment, bundle.session_flags, bundle.overall, checked_claims(spark, turns))
     return materialize(found, "contexts")
 
 
 def session_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """The records in flat columns."""
     claims = F.transform("claims", lambda c: F.concat_ws(" ", c["utt_id"], c["claim_id"], c["status"]))
-    return contexts(spark, folder).select(
+    return contexts(spark, build_bundle(utterances_from_events(spark, folder))).select(
         "session_id", F.size("transcript").cast("long").alias("segments"), F.array_join(F.transform("transcript", lambda t: t["start_time"]), ",").alias("starts"),
         "insights.summary", "insights.sentiment", F.array_join("insights.escalation_flags", ",").alias("flags"), F.array_join(claims, ",").alias("claims"),
     )
@@ -33,9 +33,15 @@ def session_contexts(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagged_recommendations(spark: SparkSession, folder: str) -> DataFrame:
     """Recommendations from the records: checked claims are reviewed, flags and mood raise escalations."""
-    known = contexts(spark, folder)
-    turns = utterances_from_events(spark, folder)
-    return recommend.run_recommendations(turns, context.reviewed_claims(known), negative=context.negative_sessions(known))
+    bundle = build_bundle(utterances_from_events(spark, folder))
+    known = contexts(spark, bundle)
+    return recommend.run_recommendations(bundle.turns, context.reviewed_claims(known), negative=context.negative_sessions(known))
+
+
+def negative_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Moods and flags decide; transcripts, summaries and claims are not made for it."""
+    bundle = build_bundle(utterances_from_events(spark, folder))
+    return context.negative_sessions(context.session_context(bundle.turns, bundle.session_sentiment, bundle.session_flags))
 
 
 def phrase_keywords(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +63,7 @@ def phrase_keywords(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "phrase_keywords": phrase_keywords,
     "session_contexts": session_contexts,
-    "negative_sessions": lambda spark, folder: context.negative_sessions(contexts(spark, folder)),
+    "negative_sessions": negative_sessions,
     "flagged_recommendations": flagged_recommendations,
 }
 _FIXED = "list_position(['negative_session_mood', 'declining_session_tone', 'conversation_escalation', 'conversation_inconsistency'], \"type\")"

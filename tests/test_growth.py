@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import keywords, metrics, payloads, quality, recommend
+from parley.operators import context, keywords, metrics, payloads, quality, recommend
 from parley.plans import queries, queries_context, queries_records
 from parley.sources import store
 from parley.sources.adapters import utterances_from_events
@@ -116,3 +116,23 @@ def test_detectors_take_a_text_once_for_all_phrases(spark):
     rows = [("s", "u1", "\t Please SEND the file \n"), ("s", "u2", "  "), ("s", "u3", None), ("s", "u4", "nothing here")]
     turns = spark.createDataFrame(rows, "session_id string, utt_id string, text string")
     assert [(r.segment_id, r.title) for r in recommend.task_recommendations(turns).collect()] == [("u1", "Please SEND the file")]
+
+
+def test_a_transcript_has_each_turn_once_and_needs_no_join(spark):
+    rows = [("s", "u1", 1, "a", 0, 900, "Hello", 1.0), ("s", "u1", 2, "a", 1000, 1900, "Hello", 1.0)]  # an id that repeats
+    turns = spark.createDataFrame(rows, "session_id string, utt_id string, pos long, speaker string, start_ms long, end_ms long, text string, confidence double")
+    found = context.session_context(turns)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [t.pos for t in found.first().transcript] == [1, 2]
+
+
+def test_records_read_the_events_once(spark, monkeypatch):
+    """What recommendations and claims read are the turns that the bundle wrote; moods and flags need no claims."""
+    reads, checked = [], []
+    monkeypatch.setattr(queries_context, "utterances_from_events", lambda *a: reads.append(1) or utterances_from_events(*a))
+    monkeypatch.setattr(queries, "utterances_from_events", lambda *a: reads.append(1) or utterances_from_events(*a))
+    monkeypatch.setattr(queries_context, "checked_claims", lambda *a: checked.append(1) or queries.checked_claims(*a))
+    queries_context.flagged_recommendations(spark, FOLDER)
+    assert (len(reads), len(checked)) == (1, 1)
+    queries_context.QUERIES["negative_sessions"](spark, FOLDER)
+    assert (len(reads), len(checked)) == (2, 1)
