@@ -8,10 +8,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import context, keywords, metrics, payloads, quality, recommend
+from parley.operators import context, inconsistency, keywords, metrics, payloads, quality, recommend, timeline
 from parley.plans import queries, queries_context, queries_records
 from parley.sources import store
 from parley.sources.adapters import utterances_from_events
+from parley.sources.scratch import materialize
+from parley.thresholds import Thresholds
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -136,3 +138,11 @@ def test_records_read_the_events_once(spark, monkeypatch):
     assert (len(reads), len(checked)) == (1, 1)
     queries_context.QUERIES["negative_sessions"](spark, FOLDER)
     assert (len(reads), len(checked)) == (2, 1)
+
+
+def test_markers_of_turns_are_placed_once_and_hits_made_once(spark):
+    turns = materialize(metrics.sequence(utterances_from_events(spark, FOLDER)), "turns")
+    plan = timeline.turn_markers(turns, Thresholds())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    hits = inconsistency.inconsistent_turns(inconsistency.read_turns(turns))._jdf.queryExecution().optimizedPlan().toString()
+    assert hits.count("disagrees with lexical tone") == 1, hits
