@@ -10,11 +10,11 @@ lines; each line probes it with the substrings at the few starts where a match c
 one below. In longer lines a linked pair shares 13 words in a row, so that both choose the same word of a window
 (the one of the smallest hash), from which on seven words are a key of both.
 
-Buckets are settled without all pairs: members first link to one line of their bucket (a star), then only lines
-of different classes are paired. A bucket of more than ``BUCKET`` lines of different classes is split before that:
-two lines within t word edits share one of their t + 1 rarest words (of the words of such buckets), and lines within
-one character share half of what is left of them, again and again. What pairs up is checked by the parity of its
-words and verified by a banded bit-parallel edit distance, or by the distance of words.
+Buckets of up to ``BUCKET`` lines are settled pair by pair. Lines of larger ones meet by exact keys instead: two of up
+to 39 words share what is left without the word that differs, or one becomes the other by one deletion, so no other
+pair is made; two longer ones share one of their rarest runs of words, where members first link to a few lines of
+their run and then only lines of different classes are paired. What pairs up is checked by the parity of its words, by
+strings of a character a word, and verified by a banded bit-parallel edit distance, or by the distance of words.
 
 Everything is DataFrame expressions. Texts are read once for the keys, which are hashes; copies of a line are
 combined before each shuffle.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm._shared import connected_components, materialize
+from parley.llm._shared import connected_components, discard, materialize
 
 MAX_EDITS, MIN_CHARS = 1, 20
 #: A word edit is allowed for so many words, and one from ``FEW_WORDS`` on.
@@ -33,8 +33,10 @@ WORDS_AN_EDIT, FEW_WORDS = 20, 6
 #: Words from which lines meet by windows (two word edits are allowed from there), words of a window and of a key:
 #: lines of 40 words within the allowed edits share 13 words in a row at least.
 LONG, WINDOW, GRAM = 2 * WORDS_AN_EDIT, 7, 7
-#: Rows of a bucket with several classes above which it is split.
+#: Lines of a bucket above which it is not settled pair by pair.
 BUCKET = 32
+#: Words of the runs by which long lines of such buckets meet, and lines of a run that the others are compared with first.
+RUN, PIVOTS = 2, 4
 #: Rows up to which keys or ids are broadcast (some 50 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -84,13 +86,6 @@ def _probe_keys(line: Column, length: Column, max_edits: int, least: int = 0) ->
     return F.array_compact(F.array_distinct(F.array(*keys)))
 
 
-def _word_parity(line: Column) -> Column:
-    """A long whose bits say of which hashes the line holds an odd number of words."""
-    one = F.lit(1).cast("long")
-    bits = F.transform(F.split(line, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda seen, bit: seen.bitwiseXOR(F.call_function("shiftleft", one, bit)))
-
-
 def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     """The edit distance of two strings if it is at most ``max_edits`` (up to 30), else a larger number.
 
@@ -281,140 +276,188 @@ def word_distance_within(a: Column, b: Column, most: Column) -> Column:
     return _let(pair, lambda p: _let(rest(p), lambda q: _let(rest(q), close)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
-    """Those ``pairs`` of ids that the allowed word edits or ``max_edits`` characters part.
+#: What tells of a line, without its text, that it is too far from another: its number of words, and longs whose bits
+#: say of which hashes it holds an odd number of words.
+PARITY = ("parity_0", "parity_1")
+SKETCH = ("n", *PARITY)
+
 
-    The parity of their words, a few bytes a line, drops most pairs before texts are fetched.
+def _sketches(texts: DataFrame) -> DataFrame:
+    """``lid`` and ``SKETCH`` of every line."""
+    words = texts.select("lid", F.explode(F.split("line", " ")).alias("word")).select("lid", F.xxhash64("word").alias("w"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(F.lit(63)).cast("int"))
+    which = F.shiftright("w", 6).bitwiseAND(F.lit(len(PARITY) - 1))
+    odd = [F.bit_xor(F.when(which == k, bit).otherwise(F.lit(0).cast("long"))).alias(name) for k, name in enumerate(PARITY)]
+    return words.groupBy("lid").agg(F.count("*").cast("int").alias("n"), *odd)
+
+
+def _alike(max_edits: int) -> Column:
+    """Whether the sketches of two lines (``n_a``, ``n_b`` and so on) let them be linked.
+
+    A word that takes another's place changes two parities, one that is added or missing changes one.
     """
+    most, apart = allowed_word_edits(F.least("n_a", "n_b")), F.abs(F.col("n_a") - F.col("n_b"))
+    bits = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
+    return (apart <= F.greatest(most, F.lit(max_edits))) & (bits <= F.greatest(2 * most - apart, F.lit(3 * max_edits)))
+
+
+def _letter(word: Column) -> Column:
+    """A number of four hexadecimal digits for a word, no surrogate."""
+    return F.pmod(F.xxhash64(word), F.lit(0xD800 - 0x1000)) + 0x1000
+
+
+def _code(words: Column) -> Column:
+    """A string with a character for each word: equal words have equal ones, different words nearly always others."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.hex(_letter(w))), "")), "UTF-16BE")
+
+
+def _told_apart(line: Column, other: Column) -> Column:
+    """Whether all different words of two lines have different letters in their codes."""
+    words = F.array_distinct(F.concat(F.split(line, " "), F.split(other, " ")))
+    return _let(words, lambda w: F.size(F.array_distinct(F.transform(w, _letter))) == F.size(w))
+
+
+def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    """``columns`` and the sketch of ``rows`` under names that end in ``side``, beside their ``key``."""
+    return rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("lid", *columns, *SKETCH)])
+
 
-    def sides(*columns: str) -> list[DataFrame]:
-        return [texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("lid", *columns)]) for x in "ab"]
+def _met(one: DataFrame, two: DataFrame, wanted: Column, max_edits: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of lines of two ``_side`` tables whose keys and sketches agree."""
+    return one.join(two, "key").where(wanted & _alike(max_edits)).select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b"))
 
-    def met(left: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-        return left.join(one, F.col("a") == F.col("lid_a")).join(two, F.col("b") == F.col("lid_b")).drop("lid_a", "lid_b")
 
+def _verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Those ``pairs`` of ids that the allowed word edits or ``max_edits`` characters part, as a table.
+
+    The distance of their codes is no larger than that of their words and drops most pairs that do not link. Where
+    no two words of a pair share a letter it is the distance of their words.
+    """
+    one, two = (texts.select(F.col("lid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "line", "code")]) for x in "ab")
     most = allowed_word_edits(F.least("n_a", "n_b"))
-    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= F.greatest(2 * most, F.lit(3 * max_edits))
-    apart = F.abs(F.col("n_a") - F.col("n_b"))
-    near = met(pairs, *sides("n", "parity")).where((apart <= F.greatest(most, F.lit(max_edits))) & alike)
-    by_words = (apart <= most) & word_distance_within(F.split("line_a", " "), F.split("line_b", " "), most)
-    by_chars = (F.abs(F.length("line_a") - F.length("line_b")) <= max_edits) & (edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits)
-    return met(near, *sides("line")).where(by_words | by_chars).select("a", "b")
 
+    def codes_within(edits: Column) -> Column:
+        return F.call_function("levenshtein", F.col("code_a"), F.col("code_b"), edits) >= 0
 
-class _Links:
-    """Links found so far, and how buckets are settled."""
+    exact = _told_apart(F.col("line_a"), F.col("line_b")) | word_distance_within(F.split("line_a", " "), F.split("line_b", " "), most)
+    by_words = (F.abs(F.col("n_a") - F.col("n_b")) <= most) & codes_within(most) & exact
+    by_chars = (F.abs(F.length("line_a") - F.length("line_b")) <= max_edits) & (edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits)
+    met = pairs.where("a != b").distinct().join(one, "a").join(two, "b")
+    return materialize(met.where(codes_within(F.greatest(most, F.lit(2 * max_edits))) & (by_words | by_chars)).select("a", "b"), "line-links")
 
-    def __init__(self, texts: DataFrame, max_edits: int):
-        self.texts, self.max_edits, self.found, self.roots = texts, max_edits, None, None
 
-    def _add(self, pairs: DataFrame) -> None:
-        links = materialize(_verified(pairs, self.texts, self.max_edits), "line-links")
-        if self.found is None:
-            self.found = links
-        elif not links.isEmpty():
-            self.found, self.roots = self.found.unionAll(links), None
+def _one_edit_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` that join all lines of at most ``LONG`` words which one edit parts.
 
-    def _classes(self) -> DataFrame:
-        """The classes of the links so far."""
-        if self.roots is None:
-            self.roots = connected_components(self.found, "line-star-classes")
-        return self.roots
+    Lines that differ in one word share what is left without it; of such a group one line stands for all. Of
+    lines of different numbers of words one becomes the other by one deletion, of a word or of a space, or where a
+    space takes the place of a character. Lines of few words do the same with characters. No other pair is made.
+    """
+    line, n, words, length = F.col("line"), F.col("n"), F.split("line", " "), F.length("line")
+    none = F.array().cast("array<bigint>")
+    few = (n <= FEW_WORDS) & (length > MAX_EDITS)
+
+    def each(last: Column, key) -> Column:
+        return F.transform(F.sequence(F.lit(1), last), key)
+
+    def without(w: Column, i: Column) -> list[Column]:
+        return [F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.size(w))]
+
+    def chars(p: Column, instead: str) -> Column:
+        return F.concat(F.substr(line, F.lit(1), p - 1), F.lit(instead), F.substr(line, p + 1))
+
+    def joined(w: Column, i: Column) -> Column:
+        """The line without the space behind its word ``i``."""
+        return F.concat(F.array_join(F.slice(w, F.lit(1), i), " "), F.array_join(F.slice(w, i + 1, F.size(w)), " "))
+
+    shared = _let(words, lambda w: F.concat(
+        F.when((n >= FEW_WORDS) & (n < LONG), each(n, lambda i: F.xxhash64(F.lit("word"), n, i, *without(w, i)))).otherwise(none),
+        F.when(few, each(length, lambda p: F.xxhash64(F.lit("char"), length, p, chars(p, "")))).otherwise(none),
+    ))
+    asked = _let(words, lambda w: F.concat(
+        F.when(n > FEW_WORDS, each(n, lambda i: F.xxhash64(F.array_join(F.concat(*without(w, i)), " ")))).otherwise(none),
+        F.when(n > FEW_WORDS, each(n - 1, lambda i: F.xxhash64(joined(w, i)))).otherwise(none),
+        F.when(n >= FEW_WORDS, each(length, lambda p: F.xxhash64(chars(p, " ")))).otherwise(none),
+        F.when(few & (length > MAX_EDITS + 1), each(length, lambda p: F.xxhash64(chars(p, "")))).otherwise(none),
+    ))
+    short = texts.where(n <= LONG)
+    groups = short.select("lid", F.explode(shared).alias("key"))
+    stars = groups.select(F.min("lid").over(Window.partitionBy("key")).alias("a"), F.col("lid").alias("b")).where("a != b")
+    whole = short.select(F.col("lid").alias("a"), F.xxhash64("line").alias("key"))
+    found = _in_size(short.select(F.col("lid").alias("b"), F.explode(asked).alias("key")), "key", whole)
+    return stars.unionByName(found.select("a", "b"))
+
+
+def _rare_grams(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Keys of lines of ``LONG`` words and more: their rarest runs of ``RUN`` words, as many for each edit, and one.
+
+    An edit takes ``RUN`` of them from a line at most, so lines within t edits share one of their RUN * t + 1 rarest.
+    An edit also makes runs of a line's own, so lines of more edits soon have nothing but those. Of edited copies the
+    one that has no run of its own is nearest to all: ``rank`` is how often a line's rarest run occurs.
+    """
+    grams = _let(F.split("line", " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - RUN + 1), lambda i: F.xxhash64(F.slice(w, i, RUN)))))
+    grams = materialize(texts.where(F.col("n") >= LONG).select("lid", "n", F.explode(grams).alias("key")), "line-grams")
+    own = Window.partitionBy("lid")
+    ranked = grams.join(grams.groupBy("key").agg(F.count("*").alias("df")), "key")
+    ranked = ranked.select("lid", "n", "key", "df", F.row_number().over(own.orderBy("df", "key")).alias("place"), F.min("df").over(own).alias("rank"))
+    rare = ranked.where((F.col("place") <= RUN * allowed_word_edits(F.col("n")) + 1) & (F.col("df") > 1)).select("key", "lid", "rank")
+    rare = materialize(rare.join(sketches, "lid"), "line-rare")
+    discard(grams)
+    return rare
 
-    def settle(self, keyed: DataFrame, split: bool) -> DataFrame | None:
-        """Link the lines of each bucket (columns ``key``, ``lid``, ``held``); rows of buckets that must be split first.
 
-        Without ``split`` every bucket is settled, whatever its size. A column ``rank`` tells which line to link
-        the others with first: the largest.
-        """
-        rank = F.col("rank") if "rank" in keyed.columns else F.lit(0)
-        pivot = F.max(F.when(F.col("held"), F.struct(rank.alias("rank"), "lid")))["lid"]
-        sizes = keyed.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("n"))
-        shared = materialize(keyed.join(sizes.where("n > 1 and pivot is not null"), "key"), "line-buckets")
-        if self.found is not None and shared.isEmpty():
-            return None
-        stars = shared.where("lid != pivot").select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
-        self._add(stars)
-        roots = self._classes()
-        known = shared.join(roots, shared.lid == roots.node, "left").select("key", "lid", "held", "n", F.coalesce("root", "lid").alias("root"))
-        known = materialize(known, "line-known")
-        # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself
-        major = known.groupBy("key", "root").agg(F.count("*").alias("k"), F.first("n").alias("n")).groupBy("key")
-        major = major.agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("classes"), F.first("n").alias("size")).where("classes > 1")
-        mixed = known.join(major.select("key", F.col("m.root").alias("major"), "size"), "key")
-        mixed = materialize(mixed.select("key", "lid", "held", "root", "major", "size"), "line-mixed")
-        cold = mixed.where(F.col("size") <= BUCKET) if split else mixed
-        minor = cold.where("root != major").select("key", F.col("lid").alias("x"), F.col("held").alias("x_held"), F.col("root").alias("x_root"))
-        met = minor.join(cold, "key").where("x_root != root and (held or x_held)")
-        self._add(met.select(F.least("x", "lid").alias("a"), F.greatest("x", "lid").alias("b")).distinct())
-        if not split:
-            return None
-        hot = mixed.where(F.col("size") > BUCKET).select("key", "lid", "held")
-        return None if hot.isEmpty() else hot
-
-    def by_rare_words(self, hot: DataFrame) -> DataFrame:
-        """Buckets of the lines of a hot bucket that share one of their rarest words, each occurrence being a word of its own.
-
-        Of edited copies the one that has no word of its own is nearest to all: the line whose rarest word is the
-        most frequent ranks first.
-        """
-        lids = hot.select("lid").distinct()
-        words = self.texts.join(lids, "lid").select("lid", F.explode(F.split("line", " ")).alias("word")).groupBy("lid", "word").agg(F.count("*").alias("k"))
-        words = words.select("lid", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k"), F.xxhash64("word").alias("w"))
-        words = materialize(words.select("lid", F.xxhash64("w", "k").alias("w")), "line-words")
-        frequency = words.groupBy("w").agg(F.count("*").alias("df"))
-        own = Window.partitionBy("lid")
-        ranked = words.join(frequency, "w").select("lid", "w", F.row_number().over(own.orderBy("df", "w")).alias("place"), F.min("df").over(own).alias("rank"))
-        rare = ranked.join(self.texts.select("lid", allowed_word_edits(F.col("n")).alias("most")), "lid").where("place <= greatest(most, 1) + 1")
-        met = hot.join(rare.select("lid", "w", "rank"), "lid")
-        return met.select(F.xxhash64("key", "w").alias("key"), "lid", "held", "rank")
-
-    def by_halves(self, hot: DataFrame) -> None:
-        """Settle what one character parts: lines in a hot bucket share one half of what they have not been found to share."""
-        texts = self.texts.where(F.col("n") <= LONG).select("lid", "line")  # in longer lines it is a matter of two word edits
-        asks = [hot.join(texts, "lid").select(F.col("key").alias("scope"), "lid", F.lit(role).alias("held"), F.col("line").alias("rest")).distinct() for role in (True, False)]
-        rest = asks[0].unionAll(asks[1])
-        while rest is not None:
-            rest = materialize(rest, "line-rests")
-            # length of the shorter line's rest: a row that only asks is one longer than the rows it can meet
-            least = F.length("rest") - F.when(F.col("held"), 0).otherwise(1)
-            cut = F.floor(least / 2).cast("int")
-            front, behind = F.greatest(cut, F.lit(1)), F.length("rest") - (least - cut)
-            sides = F.array(
-                F.struct(F.xxhash64("scope", F.lit("front"), least, F.substr("rest", F.lit(1), front)).alias("key"), F.substr("rest", front + 1).alias("rest")),
-                F.struct(F.xxhash64("scope", F.lit("back"), least, F.substr("rest", behind + 1)).alias("key"), F.substr("rest", F.lit(1), behind).alias("rest")),
-            )
-            halves = materialize(rest.where(least >= 1).select("lid", "held", F.explode(sides).alias("s")).select("s.key", "lid", "held", "s.rest"), "line-halves")
-            hot = self.settle(halves.select("key", "lid", "held"), True)
-            rest = None
-            if hot is not None:
-                keys = hot.select("key").distinct()
-                rest = halves.join(keys, "key").select(F.col("key").alias("scope"), "lid", "held", "rest").distinct()
+def line_buckets(keyed: DataFrame) -> DataFrame:
+    """The lines of every key that different lines have and one of them holds, as a table with the number of lines (``size``).
+
+    The keys are shuffled once; their lines are told from the same exchange.
+    """
+    keyed = keyed.repartition("key")
+    several = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("held").alias("any"))
+    several = several.where("lo != hi and any").select("key")
+    rows = keyed.join(several.hint("shuffle_hash"), "key").groupBy("key", "lid").agg(F.max("held").alias("held"))
+    return materialize(rows.select("*", F.count("*").over(Window.partitionBy("key")).alias("size")), "line-buckets")
 
 
-def link_keyed_lines(keyed: DataFrame, texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def link_bucketed_lines(buckets: DataFrame, lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """Pairs ``a``, ``b`` of ids that join lines into classes (not every pair of a class).
 
-    ``keyed`` has a row (``key``, ``lid``, ``held``) for each of a line's ``line_keys``, ``texts`` the lines
-    (``lid``, ``line``) of shared keys.
+    ``buckets`` has a row (``key``, ``lid``, ``held``, ``size``) for each line of a shared key, ``lines`` their texts
+    (``lid``, ``line``).
     """
-    texts = materialize(texts.select("lid", "line", F.size(F.split("line", " ")).alias("n"), _word_parity(F.col("line")).alias("parity")), "line-texts")
-    links = _Links(texts, max_edits)
-    hot = links.settle(keyed, True)
-    if hot is not None:
-        hot = materialize(hot, "line-hot")
-        links.settle(links.by_rare_words(hot), False)
-        if max_edits == 1:
-            links.by_halves(hot)
-        else:
-            links.settle(hot, False)
-    return links.found
+    texts = lines.select("lid", "line", _let(F.split("line", " "), lambda w: F.struct(F.size(w).alias("n"), _code(w).alias("code"))).alias("w"))
+    texts = materialize(texts.select("lid", "line", "w.*"), "line-texts")
+    sketches = materialize(_sketches(texts), "line-sketches")
+    cold = buckets.where(F.col("size") <= BUCKET) if max_edits == 1 else buckets
+    cold = _in_size(cold, "lid", sketches)
+    pairs = _met(_side(cold, "a", "held"), _side(cold, "b", "held"), F.expr("lid_a < lid_b and (held_a or held_b)"), max_edits)
+    hot = buckets.where(F.col("size") > BUCKET).select("lid").distinct() if max_edits == 1 else None
+    if hot is None or hot.isEmpty():
+        links = _verified(pairs, texts, max_edits)
+        discard(texts, sketches)
+        return links
+
+    hot = materialize(_in_size(texts, "lid", hot), "line-hot")
+    rare = _rare_grams(hot, sketches)
+    nearest = Window.partitionBy("key").orderBy(F.desc("rank"), "lid")
+    pivots = rare.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= PIVOTS)
+    stars = _met(_side(pivots, "a"), _side(rare, "b"), F.expr("lid_a != lid_b"), max_edits)
+    links = _verified(pairs.unionByName(stars).unionByName(_one_edit_pairs(hot)), texts, max_edits)
+    # what the stars have not joined: lines of different classes only, each bucket's largest class never with itself
+    roots = connected_components(links, "line-star-classes")
+    known = rare.join(roots, rare.lid == roots.node, "left").select("key", "lid", *SKETCH, F.coalesce("root", "lid").alias("root"))
+    known = materialize(known, "line-known")
+    major = known.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("classes"))
+    mixed = known.join(major.where("classes > 1").select("key", F.col("m.root").alias("major")), "key")
+    more = _met(_side(mixed.where("root != major"), "a", "root"), _side(mixed, "b", "root"), F.expr("root_a != root_b"), max_edits)
+    more = _verified(more, texts, max_edits)
+    discard(texts, sketches, hot, rare, roots, known)
+    return links.unionAll(more)
 
 
 def link_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """``link_keyed_lines`` of different lines (columns ``lid``, ``line``)."""
+    """``link_bucketed_lines`` of different lines (columns ``lid``, ``line``)."""
     keyed = lines.select("lid", F.explode(line_keys(F.col("line"), max_edits)).alias("k")).select("k.key", "lid", "k.held")
-    return link_keyed_lines(materialize(keyed, "line-keys"), lines, max_edits)
+    return link_bucketed_lines(line_buckets(keyed), lines, max_edits)
 
 
 def find_duplicate_lines(
@@ -435,6 +478,11 @@ def find_duplicate_lines(
     than ``min_chars`` repeat only lines equal to them. Null text has no lines. Rows that repeat id and text count as one
     document and get equal results; an empty table gives no rows. Only the two named columns are read.
     """
+    return _found(docs, id_col, text_col, max_edits, min_chars, exact_chars)[0]
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int, exact_chars: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``find_duplicate_lines`` and the tables that it still reads."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = ["doc_id", "text_key"]
     lines = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -445,19 +493,18 @@ def find_duplicate_lines(
     distinct = placed.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     distinct = materialize(distinct, "lines")
 
-    # keys that occur more than once (a count is all that is shuffled), and their lines
-    keyed = placed.select(F.explode("keys").alias("k"), F.col("h").alias("lid")).select("k.key", "lid", "k.held")
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-shared-keys")
-    keyed = materialize(_in_size(keyed, "key", shared).distinct(), "line-keys")
-    ids = materialize(keyed.select("lid").distinct(), "line-ids")
+    # different lines that share a key, and their texts
+    buckets = line_buckets(placed.select(F.explode("keys").alias("k"), F.col("h").alias("lid")).select("k.key", "lid", "k.held"))
+    ids = materialize(buckets.select("lid").distinct(), "line-ids")
     met = lines.where(near).select(F.xxhash64("line").alias("lid"), "line")
     met = _in_size(met, "lid", ids).groupBy("lid").agg(F.min("line").alias("line"))
-    links = link_keyed_lines(keyed, met, max_edits)
+    links = link_bucketed_lines(buckets, met, max_edits)
+    discard(buckets, ids)
     classes = connected_components(links, "line-classes")
-
     # one line of each class stays; lines without a link are a class of their own
     joined = distinct.join(classes, distinct.h == classes.node, "left").where("copies > 1 or root is not null")
     member = materialize(joined.select("least", "h", "h2", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).alias("own")), "line-members")
+    discard(distinct, links, classes)
     keeper = member.groupBy("root", "own").agg(F.min(F.struct(F.col("least").isNull(), "least", "h", "h2")).alias("k"))
     keeper = keeper.select(F.col("root").alias("k_root"), F.col("own").alias("k_own"), F.col("k.h").alias("k_h"), F.col("k.h2").alias("k_h2"))
     stays = (F.col("h") == F.col("k_h")) & (F.col("h2") == F.col("k_h2"))
@@ -475,7 +522,7 @@ def find_duplicate_lines(
     on = counted.doc_id.eqNullSafe(dropped.doc_id) & (counted.text_key == dropped.text_key)
     none = F.array().cast("array<int>")
     n_near = F.coalesce(F.size("near"), F.lit(0))
-    return counted.join(dropped, on, "left").select(
+    found = counted.join(dropped, on, "left").select(
         counted.doc_id,
         F.col("n_lines").cast("long").alias("n_lines"),
         (F.coalesce(F.size("dropped"), F.lit(0)) - n_near).cast("long").alias("n_exact"),
@@ -483,6 +530,7 @@ def find_duplicate_lines(
         F.coalesce("dropped", none).alias("dropped"),
         counted.text_key,
     )
+    return found, [placed, member]
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", exact_chars: int = MIN_CHARS) -> DataFrame:
@@ -491,8 +539,10 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document whose every line repeats a kept line goes, for nothing of it is left. Lines under ``exact_chars``
     characters are not dropped: a corpus keeps its list marks, braces and one-word lines.
     """
-    found = find_duplicate_lines(docs, id_col, text_col, exact_chars=exact_chars).where("size(dropped) > 0").distinct()
-    found = materialize(found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "dropped", "n_lines"), "line-drops")
+    found, tables = _found(docs, id_col, text_col, MAX_EDITS, MIN_CHARS, exact_chars)
+    found = found.where("size(dropped) > 0").distinct().select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "dropped", "n_lines")
+    found = materialize(found, "line-drops")
+    discard(*tables)
     # the row goes through the join as one column, so no name of the user's can clash
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.struct(*docs.columns).alias("row"))
     on = rows.id.eqNullSafe(found.id) & (rows.key == found.key)

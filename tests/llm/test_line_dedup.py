@@ -162,3 +162,20 @@ def test_helper_names_may_be_columns_of_the_table(spark):
                                  "doc_id long, text string, dropped int, d_lines int, row int, id int")
     kept = drop_duplicate_lines(docs)
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {LINE, "something else that stays here"}
+
+
+def test_permuted_lines_are_not_paired(spark, monkeypatch):
+    """Lines of one front half and the same words in other orders: as many pairs as lines are compared, not their square."""
+    monkeypatch.setattr(line_dedup, "BUCKET", 8)
+    rng, verify, compared = random.Random(7), line_dedup._verified, []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    lines = sorted({" ".join(["this", "front", "half", "is", "in", "all", "the", "lines", *rng.sample(words, 8)]) for _ in range(150)})
+    lines.append(lines[0] + "s")
+    assert linked(spark, lines) == brute(lines)
+    assert sum(compared) < 3 * len(lines)
